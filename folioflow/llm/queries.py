@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import near_dedup, suffix_dedup, toxicity
+from folioflow.llm import near_dedup, secrets, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    base = F.sha2(secrets.rendered(F.col("found"), base=True).cast("binary"), 256)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), secrets.rendered(F.col("found")).alias("spans"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -28,12 +34,12 @@ def queries() -> dict:
     return {
         "op1_near_dedup": op1_near_dedup,
         "op2_toxicity": op2_toxicity,
+        "op6_secret_scan": op6_secret_scan,
         "op8_suffix_dedup": op8_suffix_dedup,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
-
-
-_ = F
+    return {
+        "op6_secret_scan": secrets.duckdb_sql(),
+    }
