@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import near_dedup, secrets, suffix_dedup, toxicity
+from folioflow.llm import near_dedup, secrets, suffix_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,26 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", topk.whole_numbers(F.col("embedding")).alias("x"))
+    return topk.top_k(rows, rows.where("vec_id % 50 = 0"))
+
+
+OP5_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda c: floor(256 * cast(c as double))) as x from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.x, c.x) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+), r as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_table(spark, sf_dir, "documents"))
     base = F.sha2(secrets.rendered(F.col("found"), base=True).cast("binary"), 256)
@@ -34,6 +54,7 @@ def queries() -> dict:
     return {
         "op1_near_dedup": op1_near_dedup,
         "op2_toxicity": op2_toxicity,
+        "op5_top_k": op5_top_k,
         "op6_secret_scan": op6_secret_scan,
         "op8_suffix_dedup": op8_suffix_dedup,
     }
@@ -41,5 +62,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op5_top_k": OP5_SQL,
         "op6_secret_scan": secrets.duckdb_sql(),
     }
