@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import near_dedup, secrets, suffix_dedup, topk, toxicity
+from folioflow.llm import html_text, near_dedup, secrets, suffix_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {
         "op1_near_dedup": op1_near_dedup,
@@ -57,6 +61,7 @@ def queries() -> dict:
         "op5_top_k": op5_top_k,
         "op6_secret_scan": op6_secret_scan,
         "op8_suffix_dedup": op8_suffix_dedup,
+        "op9_html_extraction": op9_html_extraction,
     }
 
 
