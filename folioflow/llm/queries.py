@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import html_text, line_dedup, near_dedup, secrets, suffix_dedup, topk, toxicity
+from folioflow.llm import decontaminate, html_text, line_dedup, near_dedup, secrets, suffix_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc").alias("doc_id"), "item_id", "start", "n_words", "similarity")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicate_lines(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ def queries() -> dict:
     return {
         "op1_near_dedup": op1_near_dedup,
         "op2_toxicity": op2_toxicity,
+        "op3_decontamination": op3_decontamination,
         "op4_line_dedup": op4_line_dedup,
         "op5_top_k": op5_top_k,
         "op6_secret_scan": op6_secret_scan,
