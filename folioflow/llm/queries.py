@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import decontaminate, html_text, line_dedup, near_dedup, secrets, suffix_dedup, topk, toxicity
+from folioflow.llm import chat, decontaminate, html_text, line_dedup, mixing, near_dedup, secrets, suffix_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), secrets.rendered(F.col("found")).alias("spans"))
 
 
+def op7_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_calls(_table(spark, sf_dir, "conversations"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,11 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return rated.select("doc_id", "words", *[f"post_{d}" for d in mixing.DOMAINS], "rate")
+
+
 def queries() -> dict:
     return {
         "op1_near_dedup": op1_near_dedup,
@@ -71,8 +80,10 @@ def queries() -> dict:
         "op4_line_dedup": op4_line_dedup,
         "op5_top_k": op5_top_k,
         "op6_secret_scan": op6_secret_scan,
+        "op7_tool_call_linking": op7_tool_call_linking,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_html_extraction": op9_html_extraction,
+        "op10_mixing": op10_mixing,
     }
 
 
