@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from folioflow.plans import catalog, layout, legal, markdown
+
+_ALL = {**markdown.QUERIES, **layout.QUERIES, **legal.QUERIES, **catalog.QUERIES}
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, (run, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
