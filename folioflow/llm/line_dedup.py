@@ -1,11 +1,11 @@
 """Fuzzy line deduplication in DataFrame functions only: MinHash signatures, banding, exact Jaccard, distributed union-find.
 
-A line's signature is the KEEP least 64-bit hashes of its character shingles that begin at a word (up to 9 characters; lines
-of very long words use the shingle at every character).  Its bands are all 3-subsets of the signature: two lines of
+A line's signature is the KEEP least 64-bit hashes of its character shingles that begin at a word and go on to the fourth
+character of the next (lines of very long words also use the 9 characters at every place).  Its bands are all 3-subsets of the signature: two lines of
 similarity s share one if three of the first six of their joint shingles are common, with probability 0.98 at s = 0.8
 and 0.999 at 0.9.  In each bucket the member of least hash, then others under further seeds, are paired with the rest; what is in
 different components after that is paired too.  Pairs are verified by the exact Jaccard index of the sets of all 5-character
-shingles.  Equal lines meet by 128 bits of hash before any of this.  Of each component the earliest line stays.
+shingles (as 64-bit hashes).  Equal lines meet by 128 bits of hash before any of this.  Of each component the earliest line stays.
 """
 
 from __future__ import annotations
@@ -15,58 +15,65 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import components, maybe_broadcast, small, written
+from folioflow.llm.common import components, maybe_broadcast, written
 
 THRESHOLD = 0.8
 KEEP = 6
-STARS = 3
+STARS = 1
 SKETCH = [f"s{k}" for k in range(KEEP)]
 
 
-def _signature(line: Column) -> Column:
-    words = F.regexp_extract_all(line, F.lit(r"(?s)(?<!\S)(?=(\S.{0,8}))"), F.lit(1))
-    every = F.regexp_extract_all(line, F.lit(r"(?s)(?=(\S.{8}))"), F.lit(1))
-    found = F.when(F.length(line) > 24 * F.size(words) + 9, F.concat(words, every)).otherwise(words)
-    return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))), 1, KEEP)
+def _signed(lines: DataFrame) -> DataFrame:
+    """lines with sig, the least hashes of their shingles in rising order."""
+    words = lines.withColumn("w", F.filter(F.split("line", " "), lambda x: x != ""))
+    found = F.transform("w", lambda x, i: F.xxhash64(x, F.substring(F.get("w", i + 1), 1, 4)))
+    every = F.transform(F.regexp_extract_all("line", F.lit(r"(?s)(?=(\S.{8}))"), F.lit(1)), lambda x: F.xxhash64(x))
+    found = F.when(F.length("line") > 24 * F.size("w") + 9, F.concat(found, every)).otherwise(found)
+    return words.withColumn("sig", F.slice(F.sort_array(F.array_distinct(found)), 1, KEEP)).drop("w")
+
+
+def _place() -> Column:
+    """Place of an occurrence as one number that sorts by document (null last), then line; it fits a hash aggregate's row."""
+    doc = F.coalesce(F.col("doc").cast("decimal(38,0)"), F.lit(str(2**63)).cast("decimal(38,0)"))
+    return (doc * F.lit(str(2**32)).cast("decimal(18,0)") + F.col("pos").cast("decimal(18,0)")).cast("decimal(38,0)")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, row, pos, line, l1, l2): the lines of each row; row is a hash of the row's text, pos counts from 0."""
+    """(doc, row, pos, line, l1, l2, place): the lines of each row; row is a hash of the row's text, pos counts from 0."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return rows.withColumns({"l1": F.xxhash64("line"), "l2": F.xxhash64(F.lit(1), "line")})
+    return rows.withColumns({"l1": F.xxhash64("line"), "l2": F.xxhash64(F.lit(1), "line"), "place": _place()})
 
 
 def _shingles(line: str) -> Column:
-    return F.when(F.length(line) < 5, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{5}))"), F.lit(1))))
+    grams = F.transform(F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{5}))"), F.lit(1)), lambda x: F.xxhash64(x))
+    return F.when(F.length(line) < 5, F.array(F.xxhash64(line))).otherwise(F.array_distinct(grams))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of l1 whose lines are similar enough, as structs (l1, l2)."""
-    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("l1")).distinct(), "ends")
-    texts = lines.select("l1", "l2", "line")
-    texts = texts.join(F.broadcast(ends), "l1", "left_semi") if small(ends) else texts.join(ends, "l1", "left_semi")
-    texts = written(texts.groupBy("l1", "l2").agg(F.min("line").alias("line")).select("l1", F.struct("l1", "l2").alias("v"), _shingles("line").alias("g")), "texts")
-    one, two = texts.toDF("a", "va", "ga"), texts.toDF("b", "vb", "gb")
-    both = F.size(F.array_intersect("ga", "gb"))
-    met = pairs.join(one, "a").join(two, "b").where(both >= threshold * (F.size("ga") + F.size("gb") - both))
-    return met.select(F.col("va").alias("a"), F.col("vb").alias("b"))
+    ends = maybe_broadcast(written(pairs.select(F.explode(F.array("a", "b")).alias("l1")).distinct(), "ends"))
+    own = texts.join(ends, "l1", "left_semi").select("l1", F.struct("l1", "l2").alias("v"), _shingles("line").alias("g"))
+    one, two = own.toDF("a", "va", "ga"), own.toDF("b", "vb", "gb")
+    met = pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("ga", "gb")))
+    met = met.where(F.col("both") >= threshold * (F.size("ga") + F.size("gb") - F.col("both")))
+    return met.select(F.col("va").alias("a"), F.col("vb").alias("b")).distinct()
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(l1, l2, keep): the earliest (doc, pos) of the component, for each line that is repeated or similar to another."""
     lines = _lines(docs, id_col, text_col).where(F.trim("line") != "")
-    sketched = lines.withColumn("sig", _signature(F.col("line"))).select("l1", "l2", "doc", "pos", *[F.get("sig", F.lit(k)).alias(c) for k, c in enumerate(SKETCH)])
-    # an occurrence without a document id comes after all others
-    first = F.min(F.struct(F.col("doc").isNull().alias("n"), "doc", "pos")).alias("first")
-    reps = written(sketched.groupBy("l1", "l2").agg(first, F.count("*").alias("n"), *[F.min(c).alias(c) for c in SKETCH]), "lines")
+    sketched = _signed(lines).select("l1", "l2", "place", *[F.get("sig", F.lit(k)).alias(c) for k, c in enumerate(SKETCH)])
+    reps = written(sketched.groupBy("l1", "l2").agg(F.min("place").alias("first"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in SKETCH]), "lines")
     keys = [F.when(F.col(SKETCH[k]).isNotNull(), F.xxhash64(*[SKETCH[x] for x in (i, j, k)])) for i, j, k in combinations(range(KEEP), 3)]
     few = F.when(F.col("s0").isNotNull() & F.col("s2").isNull(), F.xxhash64(F.lit(2), "s0", "s1"))
     bands = reps.select("l1", F.explode(F.array_compact(F.array(*keys, few))).alias("band"))
-    # one shuffle, read twice: by the aggregate and by the rows that it selects
-    dealt = bands.repartition("band")
-    shared = dealt.groupBy("band").agg(F.min("l1").alias("lo"), F.max("l1").alias("hi")).where("lo <> hi")
-    buckets = written(dealt.join(shared.select("band"), "band", "left_semi").select("band", "l1").distinct(), "buckets")
+    shared = bands.groupBy("band").agg(F.min("l1").alias("lo"), F.max("l1").alias("hi")).where("lo <> hi").select("band")
+    buckets = written(bands.join(maybe_broadcast(written(shared, "shared")), "band", "left_semi"), "buckets")
+    asked = written(reps.join(maybe_broadcast(written(buckets.select("l1").distinct(), "asked")), "l1", "left_semi").select("l1", "l2", "first"), "asked")
+    # of each line in a bucket its text, from its earliest occurrence
+    near = maybe_broadcast(asked.withColumnsRenamed({"l1": "a1", "l2": "a2"}))
+    texts = written(lines.join(near, F.expr("l1 = a1 and l2 = a2 and place = first")).select("l1", "l2", "line"), "texts")
     links, mixed = None, buckets.withColumn("root", F.struct("l1", F.lit(None).cast("long").alias("l2")))
     for star in range(STARS + 1):
         x, y = mixed.alias("x"), mixed.alias("y")
@@ -76,7 +83,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         else:
             pairs = x.join(y, F.expr("x.band = y.band and x.l1 < y.l1 and x.root <> y.root"))
         pairs = written(pairs.select(F.least("x.l1", "y.l1").alias("a"), F.greatest("x.l1", "y.l1").alias("b")).distinct(), "pairs")
-        found = _verified(pairs, lines, threshold)
+        found = _verified(pairs, texts, threshold)
         links = written(found if links is None else links.union(found).distinct(), "links")
         roots = written(components(links), "roots")
         if star == STARS:
@@ -104,7 +111,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = written(line_classes(docs, id_col, text_col, threshold), "classes")
     known = maybe_broadcast(classes)
     marked = _lines(docs, id_col, text_col).join(known, ["l1", "l2"], "left")
-    stays = F.col("keep").isNull() | (F.col("keep.doc").eqNullSafe(F.col("doc")) & (F.col("keep.pos") == F.col("pos")))
+    stays = F.col("keep").isNull() | (F.col("keep") == F.col("place"))
     marked = marked.withColumn("stays", stays)
     hit = written(marked.where(~F.col("stays")).select("doc").distinct(), "hit")
     # only documents that lose a line are taken apart; the ids that do are few enough to broadcast, or else met by shuffle
