@@ -3,10 +3,11 @@
 (1) A classifier fitted on the labelled table (multinomial Naive Bayes over hashed words, length-normalised and calibrated by a
 temperature) predicts each document's posterior over domains.  A domain is a value of (quality, toxic).  (2) Each document gets a rate
 r >= 0, how often it is taken.  With t words and posteriors p, the expected words of domain d are sum(r * t * p[d]); projected
-gradient steps on half the squared distance of these to the targets, preconditioned by the documents' Gram matrix
-sum(t * p * p') and beginning at r = 1, find the rates.  A step is r <- max(0, r - sum_d p[d] * g[d]), so after any number of steps a document's rate
+gradient steps on half the squared distance of these to the targets, preconditioned by the Gram matrix
+sum(t * p * p') of the documents that are not held at 0, and beginning at r = 1, find the rates.  A step is r <- max(0, r - sum_d p[d] * g[d]), so after any number of steps a document's rate
 follows from its posteriors and the list of the g's: no state by document is kept, and a step needs one aggregation of the
-posterior table, of as many numbers as there are domains squared.
+posterior table, of as many numbers as there are domains and their squares.  Targets out of reach (posteriors are a mixture, rates are
+not negative) end at the nearest shares found.
 
 The classifier is fitted on at most FIT_ROWS labelled rows (least hash of the id); all else covers all documents.
 """
@@ -28,10 +29,11 @@ FIT_ROWS = 50_000
 SLOTS = 1 << 16
 DOMAINS = ("q0t0", "q0t1", "q1t0", "q1t1")
 #: Target share of words of each domain.
-TARGETS = {"q0t0": 0.10, "q0t1": 0.02, "q1t0": 0.85, "q1t1": 0.03}
-STEPS = 200
+TARGETS = {"q0t0": 0.08, "q0t1": 0.02, "q1t0": 0.80, "q1t1": 0.10}
+STEPS = 40
 TOLERANCE = 1e-4
-SMOOTH = 1.0
+#: Steps without a tenth of progress before the targets count as out of reach.
+PATIENCE = 4
 BACKING = 20_000.0
 
 
@@ -68,7 +70,8 @@ def posteriors_of(log_odds: np.ndarray, prior: np.ndarray, temperature: float, s
     """Posteriors (n x domains) and words of each text; a text without words has the prior."""
     words = np.bincount(of, minlength=n)
     s = np.stack([np.bincount(of, log_odds[d][slot], n) for d in range(len(prior))], axis=1) / np.maximum(words, 1)[:, None] * temperature
-    s += np.log(prior)
+    with np.errstate(divide="ignore"):
+        s += np.log(prior)
     s = np.exp(s - s.max(axis=1, keepdims=True))
     return s / s.sum(axis=1, keepdims=True), words
 
@@ -86,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return flat
     total = np.zeros((len(DOMAINS), SLOTS + 1))
     total[counts["domain"].to_numpy(), counts["slot"].to_numpy() + 1] = counts["n"].to_numpy()
-    prior = (total[:, 0] + SMOOTH) / (total[:, 0] + SMOOTH).sum()
+    prior = total[:, 0] / total[:, 0].sum()  # a domain without labelled rows gets no posterior
     pooled = (total[:, 1:].sum(axis=0) + 1e-3) / (total[:, 1:].sum() + 1e-3 * SLOTS)
     words = total[:, 1:].sum(axis=1, keepdims=True)
     # each share is drawn to the pooled one, as by BACKING words
@@ -129,36 +132,44 @@ def replay(p: np.ndarray, steps: np.ndarray) -> np.ndarray:
 
 def solve(table: DataFrame, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(steps, expected share of each domain) over the table (words, p0, p1, ...); targets are shares."""
-    names = [f"p{k}" for k in range(len(targets))]
-    gram = table.agg(F.sum("words"), *[F.sum(F.col("words") * F.col(a) * F.col(b)) for a in names for b in names]).first()
-    total = float(gram[0] or 0)
+    d = len(targets)
+    names = [f"p{k}" for k in range(d)]
+    total = float(table.agg(F.sum("words")).first()[0] or 0)
     if total <= 0:
-        return np.zeros((0, len(targets))), np.zeros(len(targets))
-    size = np.linalg.eigvalsh(np.array(gram[1:], float).reshape(len(targets), -1) / total).max()
+        return np.zeros((0, d)), np.zeros(d)
+    outs = [*names, *[f"g{a}_{b}" for a in range(d) for b in range(d)]]
+
+    def state(steps):
+        """Shares by domain, and the Gram matrix of the documents whose rate is above 0."""
 
-    def shares(steps):
         def run(batches):
             for batch in batches:
                 w = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
-                p = np.stack([batch.column(k + 1).to_numpy(zero_copy_only=False) for k in range(len(names))], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (w * replay(p, steps)) @ p], names)
-
-        found = table.select("words", *names).mapInArrow(run, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c) for c in names]).first()
-        return np.array([x or 0.0 for x in found]) / total
-
-    steps, last, exact = np.zeros((0, len(targets))), None, True
-    matrix = np.array(gram[1:], float).reshape(len(targets), -1) / total
-    now = shares(steps)
+                p = np.stack([batch.column(k + 1).to_numpy(zero_copy_only=False) for k in range(d)], axis=1)
+                r = replay(p, steps)
+                found = np.r_[(w * r) @ p, ((p * (w * (r > 0))[:, None]).T @ p).ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in found], outs)
+
+        found = table.select("words", *names).mapInArrow(run, ", ".join(f"{c} double" for c in outs)).agg(*[F.sum(c) for c in outs]).first()
+        found = np.array([x or 0.0 for x in found]) / total
+        return found[:d], found[d:].reshape(d, d)
+
+    steps, scale = np.zeros((0, d)), 1.0
+    now, gram = state(steps)
+    since = 0
     for _ in range(STEPS):
         gap = now - targets
-        if np.abs(gap).max() < TOLERANCE or last is not None and np.abs(last - now).max() < TOLERANCE / 100:
+        worst = np.abs(gap).max()
+        if worst < TOLERANCE or since >= PATIENCE:
             break
-        # in the metric of the Gram matrix a step is the exact solution as long as no rate is held at 0; if the projection
-        # makes that miss, plain gradient steps of length 1 / (largest eigenvalue) follow, which never lead away
-        exact = exact and (last is None or np.abs(gap).max() < 0.9 * np.abs(last - targets).max())
-        g = np.linalg.solve(matrix + 1e-6 * size * np.eye(len(targets)), gap) if exact else gap / size
-        steps, last = np.vstack([steps, g]), now
-        now = shares(steps)
+        step = np.linalg.solve(gram + 1e-6 * max(np.trace(gram), 1e-12) * np.eye(d), gap)
+        tried = np.vstack([steps, scale * step])
+        there, curve = state(tried)
+        if np.abs(there - targets).max() > worst:  # too far: the same step, shorter
+            scale, since = scale / 4, since + 1
+            continue
+        since = 0 if np.abs(there - targets).max() < 0.9 * worst else since + 1
+        steps, now, gram, scale = tried, there, curve, min(1.0, scale * 2)
     return steps, now
 
 
@@ -167,7 +178,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
     targets are the wanted shares of words (default TARGETS), scaled to sum to 1; the expected number of words stays what it is.  A text without words (null,
     empty, blank) has the prior as posteriors; its rate counts for nothing.  Rows with a null id are rated as any; they are never
-    labelled.  Equal posteriors have equal rates.  Without labels all posteriors are even.  An empty table gives an empty one.  A
+    labelled.  A domain without labelled rows has posterior 0 and its target is left out.  Equal posteriors have equal rates.  Without labels all posteriors are even.  An empty table gives an empty one.  A
     column of docs that has one of the new names is replaced.
     """
     model = fit(docs, labels, id_col, text_col)
@@ -180,8 +191,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
             yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), *[pa.array(p[:, k]) for k in range(len(names))]], ["words", *names])
 
     table = written(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(weigh, "words long, " + ", ".join(f"{c} double" for c in names)), "posteriors")
-    wanted = np.array([(targets or TARGETS).get(d, 0.0) for d in DOMAINS], float)
-    steps, _ = solve(table, wanted / wanted.sum())
+    wanted = np.array([(targets or TARGETS).get(d, 0.0) for d in DOMAINS], float) * (model[1] > 0)
+    steps, _ = solve(table, wanted / (wanted.sum() or 1.0))
     new = ["words", *[f"post_{d}" for d in DOMAINS], "rate"]
     kept = [c for c in docs.columns if c not in new]
     at = kept.index(text_col)
