@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioflow.plans import catalog, layout, legal, markdown
+from folioflow.plans import catalog, layout, legal, markdown, more
 
-_ALL = {**markdown.QUERIES, **layout.QUERIES, **legal.QUERIES, **catalog.QUERIES}
+_ALL = {**markdown.QUERIES, **layout.QUERIES, **legal.QUERIES, **catalog.QUERIES, **more.QUERIES}
 
 
 def queries() -> dict:
