@@ -4,8 +4,9 @@ A line's signature is the KEEP least 64-bit hashes of its character shingles tha
 character of the next (lines of very long words also use the 9 characters at every place).  Its bands are all 3-subsets of the signature: two lines of
 similarity s share one if three of the first six of their joint shingles are common, with probability 0.98 at s = 0.8
 and 0.999 at 0.9.  In each bucket the member of least hash, then others under further seeds, are paired with the rest; what is in
-different components after that is paired too.  Pairs are verified by the exact Jaccard index of the sets of all 5-character
-shingles (as 64-bit hashes).  Equal lines meet by 128 bits of hash before any of this.  Of each component the earliest line stays.
+different components after that is paired too.  Pairs are verified by the exact Jaccard index of the sets of 5-character
+shingles at the beginnings of words (as 64-bit hashes; lines of very long words: and 9 characters at every place).  Taking them there
+keeps a sixth of all places; an edited character is in as large a share of them.  Equal lines meet by 128 bits of hash before any of this.  Of each component the earliest line stays.
 """
 
 from __future__ import annotations
@@ -20,18 +21,40 @@ from folioflow.llm.common import components, maybe_broadcast, written
 THRESHOLD = 0.8
 KEEP = 6
 STARS = 1
+#: Shared bands, one number each, that may be broadcast (16 MB of numbers); with more, they meet by shuffle.
+BANDS_ROWS = 2_000_000
 SKETCH = [f"s{k}" for k in range(KEEP)]
 
 
+def _parted(lines: DataFrame) -> DataFrame:
+    """lines with w, its words: what stands between blanks."""
+    return lines.withColumn("w", F.split("line", " "))
+
+
+def _every() -> Column:
+    """For lines of very long words: the shingles of 9 characters at every place."""
+    return F.transform(F.regexp_extract_all("line", F.lit(r"(?s)(?=(\S.{8}))"), F.lit(1)), lambda x: F.xxhash64(x))
+
+
+def _long_words() -> Column:
+    return F.length("line") > 24 * F.size("w") + 9
+
+
 def _signed(lines: DataFrame) -> DataFrame:
     """lines with sig, the least hashes of their shingles in rising order."""
-    words = lines.withColumn("w", F.filter(F.split("line", " "), lambda x: x != ""))
+    words = _parted(lines)
     found = F.transform("w", lambda x, i: F.xxhash64(x, F.substring(F.get("w", i + 1), 1, 4)))
-    every = F.transform(F.regexp_extract_all("line", F.lit(r"(?s)(?=(\S.{8}))"), F.lit(1)), lambda x: F.xxhash64(x))
-    found = F.when(F.length("line") > 24 * F.size("w") + 9, F.concat(found, every)).otherwise(found)
+    found = F.when(_long_words(), F.concat(found, _every())).otherwise(found)
     return words.withColumn("sig", F.slice(F.sort_array(F.array_distinct(found)), 1, KEEP)).drop("w")
 
 
+def _shingled(lines: DataFrame) -> DataFrame:
+    """lines with g, the set of their 5-character shingles at the beginnings of words (as 64-bit hashes)."""
+    words = _parted(lines)
+    found = F.transform("w", lambda x, i: F.xxhash64(F.substring(F.concat_ws(" ", x, F.get("w", i + 1)), 1, 5)))
+    return words.withColumn("g", F.array_distinct(F.when(_long_words(), F.concat(found, _every())).otherwise(found))).drop("w")
+
+
 def _place() -> Column:
     """Place of an occurrence as one number that sorts by document (null last), then line; it fits a hash aggregate's row."""
     doc = F.coalesce(F.col("doc").cast("decimal(38,0)"), F.lit(str(2**63)).cast("decimal(38,0)"))
@@ -45,17 +68,14 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumns({"l1": F.xxhash64("line"), "l2": F.xxhash64(F.lit(1), "line"), "place": _place()})
 
 
-def _shingles(line: str) -> Column:
-    grams = F.transform(F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{5}))"), F.lit(1)), lambda x: F.xxhash64(x))
-    return F.when(F.length(line) < 5, F.array(F.xxhash64(line))).otherwise(F.array_distinct(grams))
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of l1 whose lines are similar enough, as structs (l1, l2)."""
     ends = maybe_broadcast(written(pairs.select(F.explode(F.array("a", "b")).alias("l1")).distinct(), "ends"))
-    own = texts.join(ends, "l1", "left_semi").select("l1", F.struct("l1", "l2").alias("v"), _shingles("line").alias("g"))
+    own = _shingled(texts.join(ends, "l1", "left_semi")).select("l1", F.struct("l1", "l2").alias("v"), "g")
     one, two = own.toDF("a", "va", "ga"), own.toDF("b", "vb", "gb")
-    met = pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("ga", "gb")))
+    met = pairs.join(one, "a").join(two, "b")
+    # sets of too different sizes can't be similar enough, whatever they share
+    met = met.where(F.least(F.size("ga"), F.size("gb")) >= threshold * F.greatest(F.size("ga"), F.size("gb"))).withColumn("both", F.size(F.array_intersect("ga", "gb")))
     met = met.where(F.col("both") >= threshold * (F.size("ga") + F.size("gb") - F.col("both")))
     return met.select(F.col("va").alias("a"), F.col("vb").alias("b")).distinct()
 
@@ -68,8 +88,9 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = [F.when(F.col(SKETCH[k]).isNotNull(), F.xxhash64(*[SKETCH[x] for x in (i, j, k)])) for i, j, k in combinations(range(KEEP), 3)]
     few = F.when(F.col("s0").isNotNull() & F.col("s2").isNull(), F.xxhash64(F.lit(2), "s0", "s1"))
     bands = reps.select("l1", F.explode(F.array_compact(F.array(*keys, few))).alias("band"))
-    shared = bands.groupBy("band").agg(F.min("l1").alias("lo"), F.max("l1").alias("hi")).where("lo <> hi").select("band")
-    buckets = written(bands.join(maybe_broadcast(written(shared, "shared")), "band", "left_semi"), "buckets")
+    # dealt out before the aggregate: nearly all bands are single, so combining them before the shuffle would only widen the rows
+    shared = bands.repartition("band").groupBy("band").agg(F.min("l1").alias("lo"), F.max("l1").alias("hi")).where("lo <> hi").select("band")
+    buckets = written(bands.join(maybe_broadcast(written(shared, "shared"), BANDS_ROWS), "band", "left_semi"), "buckets")
     asked = written(reps.join(maybe_broadcast(written(buckets.select("l1").distinct(), "asked")), "l1", "left_semi").select("l1", "l2", "first"), "asked")
     # of each line in a bucket its text, from its earliest occurrence
     near = maybe_broadcast(asked.withColumnsRenamed({"l1": "a1", "l2": "a2"}))

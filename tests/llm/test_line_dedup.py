@@ -9,7 +9,11 @@ from folioflow.llm import line_dedup as L  # noqa: E402
 
 
 def grams(line):
-    return {line[i : i + 5] for i in range(len(line) - 4)} if len(line) >= 5 else {line}
+    w = line.split(" ")
+    found = {" ".join(w[i : i + 2])[:5] for i in range(len(w))}
+    if len(line) > 24 * len(w) + 9:
+        found |= {line[i : i + 9] for i in range(len(line) - 8) if not line[i].isspace()}
+    return found
 
 
 def brute(rows, threshold=0.8):
