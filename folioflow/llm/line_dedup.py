@@ -64,7 +64,8 @@ def _place() -> Column:
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, row, pos, line, l1, l2, place): the lines of each row; row is a hash of the row's text, pos counts from 0."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("row"), F.split(text, "\n").alias("parts"))
+    rows = rows.select("doc", "row", F.posexplode("parts").alias("pos", "line"))
     return rows.withColumns({"l1": F.xxhash64("line"), "l2": F.xxhash64(F.lit(1), "line"), "place": _place()})
 
 
