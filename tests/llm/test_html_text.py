@@ -53,7 +53,7 @@ def test_provided_pages(spark):
     want = {}
     for r in pages.collect():
         inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
-        parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", " " if False else "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:h1|p)>", inner)]
+        parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:h1|p)>", inner)]
         want[r.page_id] = (r.url, "\n".join(x for x in parts if x))
     got = {r.page_id: (r.url, r.text) for r in H.extract(pages).collect()}
     assert got == want
