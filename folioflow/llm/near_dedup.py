@@ -5,11 +5,13 @@ Similarity is the probability Jaccard index of the two documents' shingle counts
 counts of one side are all scaled, and equals the plain Jaccard index where no shingle repeats.  The probability that two
 ProbMinHash components agree is J_P.
 
-Steps: (1) one pass over the texts gives a digest and the band hashes of each; (2) equal texts meet by digest and only the
-least id goes on; (3) each bucket's least id is paired with the bucket's other members (a star, not all pairs);
-(4) pairs are verified exactly, the pivot's text being sent once for up to MEMBERS others; (5) union-find; (6) bucket
-members that are in different components after that are paired too, verified, and joined, so no pair that shares a
-bucket stays unverified unless it is already in one component.
+Steps: (1) one pass over the texts gives a digest, band hashes and a 4-bit sketch of the signature of each; (2) equal texts
+meet by digest and only the least id goes on; (3) each bucket's least id, then its members of least hash under some seeds, are
+paired with the bucket's other members (a star, not all pairs), unless the sketches of the two differ in so many components
+that a similarity of THRESHOLD is out of reach (four standard deviations); (4) pairs are verified exactly, the pivot's text being
+sent once for up to MEMBERS others; (5) union-find; (6) members of one bucket that are in different components after
+that are paired too, under the same test of the sketches, verified and joined.  So any two documents that share a bucket
+are in one component or have been compared.
 """
 
 from __future__ import annotations
@@ -22,13 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import kernels as K
-from folioflow.llm.common import components, written
+from folioflow.llm.common import components, maybe_broadcast, small, written
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 #: Other members of a bucket that are verified against one copy of the pivot's text.
 MEMBERS = 256
+#: Stars of each bucket before what is left is compared.
+STARS = 2
+#: Of BANDS * ROWS components, so many differ in four bits at most for all but a few in 100,000 pairs of similarity THRESHOLD.
+DIFFER = 41
+SKETCH = [f"s{k}" for k in range(8)]
 
 
 def prob_minhash(text: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -80,11 +87,13 @@ def probability_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.n
 
 
 def _signatures(batches):
+    planes = np.uint64(1) << np.arange(64, dtype=np.uint64)
     for batch in batches:
         ids, (data, offsets) = batch.column(0), K.buffers(batch.column(1))
         n = len(offsets) - 1
         digest = np.empty((n, 2), np.int64)
         bands = np.zeros((n, BANDS), np.int64)
+        bits = np.zeros((n, 8), np.uint64)
         for i in range(n):
             digest[i] = np.frombuffer(hashlib.blake2b(data[offsets[i] : offsets[i + 1]], digest_size=16).digest(), np.int64)
         for i, j in K.chunks(offsets):
@@ -92,6 +101,11 @@ def _signatures(batches):
             h, t = K.text_shingles(data[o[0] : o[-1]], o - o[0], WORDS)
             t, h, w = K.counted(h, t)
             sig = prob_minhash(t, h, w, j - i, BANDS * ROWS).reshape(j - i, BANDS, ROWS)
+            flat = K.mix(sig.reshape(j - i, BANDS * ROWS) + np.uint64(7))
+            for plane in range(4):
+                one = (flat >> np.uint64(plane)) & np.uint64(1)
+                bits[i:j, 2 * plane] = (one[:, :64] * planes).sum(axis=1, dtype=np.uint64)
+                bits[i:j, 2 * plane + 1] = (one[:, 64:] * planes[: one.shape[1] - 64]).sum(axis=1, dtype=np.uint64)
             for b in range(BANDS):
                 key = np.full(j - i, b + 1, np.uint64)
                 for r in range(ROWS):
@@ -103,7 +117,7 @@ def _signatures(batches):
         size[empty] = 0
         flat = bands[size > 0].ravel()
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(digest[:, 0]), pa.array(digest[:, 1]), lists], ["id", "d1", "d2", "bands"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(digest[:, 0]), pa.array(digest[:, 1]), lists, *(K.as_long(np.ascontiguousarray(bits[:, k])) for k in range(8))], ["id", "d1", "d2", "bands", *SKETCH])
 
 
 def _verify(threshold: float):
@@ -138,10 +152,13 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
     keyed = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / MEMBERS)).alias("part"))
     keyed = written(keyed, "candidates")
+    ends = written(keyed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
+    if small(ends):  # the texts of other documents need not be shuffled
+        texts = texts.join(F.broadcast(ends), "id", "left_semi")
     asked = keyed.select(F.col("b").alias("id"), F.lit(1).alias("role"), "a", "part", "b").union(
         keyed.select("a", "part").distinct().select(F.col("a").alias("id"), F.lit(0).alias("role"), "a", "part", F.col("a").alias("b"))
     )
-    sent = texts.select("id", "text").join(asked, "id").select("a", "part", "role", "b", "text")
+    sent = texts.select("id", "text").join(maybe_broadcast(asked), "id").select("a", "part", "role", "b", "text")
     # the pivot's text comes before those of its part, as role sorts first
     dealt = sent.repartition("a", "part").sortWithinPartitions("a", "part", "role", "b")
     return dealt.mapInArrow(_verify(threshold), "a long, b long, similarity double").dropDuplicates(["a", "b"])
@@ -156,24 +173,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least id.  An empty table gives an empty one.  Other columns are not read, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
-    sig = written(rows.mapInArrow(_signatures, "id long, d1 long, d2 long, bands array<long>"), "signatures")
+    sig = written(rows.mapInArrow(_signatures, "id long, d1 long, d2 long, bands array<long>, " + ", ".join(f"{k} long" for k in SKETCH)), "signatures")
     exact = sig.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    member = written(sig.join(exact, ["d1", "d2"]).select("id", "rep").distinct(), "copies")
+    member = written(sig.select("id", "d1", "d2").join(exact, ["d1", "d2"]).select("id", "rep").distinct(), "copies")
     reps = member.where("id = rep").select("id")
-    banded = sig.join(reps, "id").select("id", F.explode("bands").alias("band")).distinct()
-    bucket = banded.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    member_of = written(banded.join(bucket, "band").select("band", "id", "pivot"), "buckets")
-    stars = written(member_of.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    first = written(verified(stars, rows, threshold), "links")
-    roots = components(first)
-    # what shares a bucket and is not yet in one component
-    rooted = member_of.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    cross = written(rooted.join(mixed, "band"), "cross")
-    x, y = cross.alias("x"), cross.alias("y")
-    more = x.join(y, F.expr("x.band = y.band and x.id < y.id and x.root <> y.root")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = written(more.join(stars, ["a", "b"], "left_anti"), "more")
-    links = written(first.union(verified(more, rows, threshold)), "links")
+    banded = sig.join(reps, "id").select("id", F.explode("bands").alias("band"), *SKETCH).dropDuplicates(["id", "band"])
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    buckets = written(banded.join(shared, "band"), "buckets")
+    differ = " + ".join(f"bit_count({' | '.join(f'(x.s{2 * k + h} ^ y.s{2 * k + h})' for k in range(4))})" for h in (0, 1))
+    links, roots, mixed = None, None, buckets.withColumn("root", F.col("id"))
+    for star in range(STARS + 1):
+        x, y = mixed.alias("x"), mixed.alias("y")
+        if star < STARS:
+            order = F.xxhash64("id", F.lit(star)) if star else F.col("id")
+            x = mixed.groupBy("band").agg(F.min_by(F.struct("id", "root", *SKETCH), order).alias("p")).select("band", "p.*").alias("x")
+            pairs = x.join(y, F.expr(f"x.band = y.band and x.root <> y.root and {differ} <= {DIFFER}"))
+        else:
+            pairs = x.join(y, F.expr(f"x.band = y.band and x.id < y.id and x.root <> y.root and {differ} <= {DIFFER}"))
+        pairs = written(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
+        found = verified(pairs, rows, threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+        links = written(found if links is None else links.union(found).dropDuplicates(["a", "b"]), "links")
+        if star == STARS:
+            break
+        roots = components(links)
+        rooted = buckets.join(maybe_broadcast(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        open_ = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+        mixed = written(rooted.join(open_, "band"), "mixed")
+        if not mixed.limit(1).count():
+            break
     copies = member.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     roots = written(components(links.select("a", "b").union(copies)), "roots")
     ends = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n"))
@@ -186,8 +213,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows with a null id stay.  Of several rows with the least id of a class one stays (that of the least text).
     """
-    from folioflow.llm.common import maybe_broadcast
-
     classes = near_duplicates(docs, id_col, text_col, threshold)
     gone = written(classes.where("id <> class_id").select(F.col("id").alias("__gone")), "gone")
     kept = docs.join(maybe_broadcast(gone), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
