@@ -1,12 +1,11 @@
 """Fuzzy line deduplication in DataFrame functions only: MinHash signatures, banding, exact Jaccard, distributed union-find.
 
-A line's signature is the KEEP least 64-bit hashes of its character shingles that begin at a word and go on to the fourth
-character of the next (lines of very long words also use the 9 characters at every place).  Its bands are all 3-subsets of the signature: two lines of
+A line's signature is the KEEP least 64-bit hashes of its 5-character shingles, taken at every place (a line of fewer characters is
+its own shingle).  Its bands are all 3-subsets of the signature: two lines of
 similarity s share one if three of the first six of their joint shingles are common, with probability 0.98 at s = 0.8
 and 0.999 at 0.9.  In each bucket the member of least hash, then others under further seeds, are paired with the rest; what is in
-different components after that is paired too.  Pairs are verified by the exact Jaccard index of the sets of 5-character
-shingles at the beginnings of words (as 64-bit hashes; lines of very long words: and 9 characters at every place).  Taking them there
-keeps a sixth of all places; an edited character is in as large a share of them.  Equal lines meet by 128 bits of hash before any of this.  Of each component the earliest line stays.
+different components after that is paired too.  Pairs are verified by the exact Jaccard index of the sets of all 5-character
+shingles (as 64-bit hashes).  Equal lines meet by 128 bits of hash before any of this.  Of each component the earliest line stays.
 """
 
 from __future__ import annotations
@@ -26,33 +25,16 @@ BANDS_ROWS = 2_000_000
 SKETCH = [f"s{k}" for k in range(KEEP)]
 
 
-def _parted(lines: DataFrame) -> DataFrame:
-    """lines with w, its words: what stands between blanks."""
-    return lines.withColumn("w", F.split("line", " "))
-
-
-def _every() -> Column:
-    """For lines of very long words: the shingles of 9 characters at every place."""
-    return F.transform(F.regexp_extract_all("line", F.lit(r"(?s)(?=(\S.{8}))"), F.lit(1)), lambda x: F.xxhash64(x))
-
-
-def _long_words() -> Column:
-    return F.length("line") > 24 * F.size("w") + 9
+def _shingles(line: str) -> Column:
+    """The set of 64-bit hashes of the 5-character shingles at every place of a line; of a shorter line its own hash."""
+    grams = F.transform(F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{5}))"), F.lit(1)), lambda x: F.xxhash64(x))
+    return F.when(F.length(line) < 5, F.array(F.xxhash64(line))).otherwise(F.array_distinct(grams))
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """lines with sig, the least hashes of their shingles in rising order."""
-    words = _parted(lines)
-    found = F.transform("w", lambda x, i: F.xxhash64(x, F.substring(F.get("w", i + 1), 1, 4)))
-    found = F.when(_long_words(), F.concat(found, _every())).otherwise(found)
-    return words.withColumn("sig", F.slice(F.sort_array(F.array_distinct(found)), 1, KEEP)).drop("w")
-
-
-def _shingled(lines: DataFrame) -> DataFrame:
-    """lines with g, the set of their 5-character shingles at the beginnings of words (as 64-bit hashes)."""
-    words = _parted(lines)
-    found = F.transform("w", lambda x, i: F.xxhash64(F.substring(F.concat_ws(" ", x, F.get("w", i + 1)), 1, 5)))
-    return words.withColumn("g", F.array_distinct(F.when(_long_words(), F.concat(found, _every())).otherwise(found))).drop("w")
+    """lines with sig, the least hashes of their shingles in rising order, and m, their number."""
+    found = lines.withColumn("g", _shingles("line"))
+    return found.withColumns({"sig": F.slice(F.sort_array("g"), 1, KEEP), "m": F.size("g")}).drop("g")
 
 
 def _place() -> Column:
@@ -71,31 +53,33 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of l1 whose lines are similar enough, as structs (l1, l2)."""
-    ends = maybe_broadcast(written(pairs.select(F.explode(F.array("a", "b")).alias("l1")).distinct(), "ends"))
-    own = _shingled(texts.join(ends, "l1", "left_semi")).select("l1", F.struct("l1", "l2").alias("v"), "g")
-    one, two = own.toDF("a", "va", "ga"), own.toDF("b", "vb", "gb")
-    met = pairs.join(one, "a").join(two, "b")
     # sets of too different sizes can't be similar enough, whatever they share
-    met = met.where(F.least(F.size("ga"), F.size("gb")) >= threshold * F.greatest(F.size("ga"), F.size("gb"))).withColumn("both", F.size(F.array_intersect("ga", "gb")))
-    met = met.where(F.col("both") >= threshold * (F.size("ga") + F.size("gb") - F.col("both")))
-    return met.select(F.col("va").alias("a"), F.col("vb").alias("b")).distinct()
+    sizes = maybe_broadcast(texts.select("l1", "l2", "m"))
+    met = pairs.join(sizes.toDF("a", "a2", "ma"), "a").join(sizes.toDF("b", "b2", "mb"), "b")
+    met = met.where(F.least("ma", "mb") >= threshold * F.greatest("ma", "mb"))
+    # the lines travel, not their shingles, which are eight times as large
+    met = met.join(texts.select("l1", "l2", "line").toDF("a", "a2", "la"), ["a", "a2"]).join(texts.select("l1", "l2", "line").toDF("b", "b2", "lb"), ["b", "b2"])
+    met = met.withColumn("both", F.size(F.array_intersect(_shingles("la"), _shingles("lb"))))
+    met = met.where(F.col("both") >= threshold * (F.col("ma") + F.col("mb") - F.col("both")))
+    return met.select(F.struct(F.col("a").alias("l1"), F.col("a2").alias("l2")).alias("a"), F.struct(F.col("b").alias("l1"), F.col("b2").alias("l2")).alias("b")).distinct()
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(l1, l2, keep): the earliest (doc, pos) of the component, for each line that is repeated or similar to another."""
     lines = _lines(docs, id_col, text_col).where(F.trim("line") != "")
-    sketched = _signed(lines).select("l1", "l2", "place", *[F.get("sig", F.lit(k)).alias(c) for k, c in enumerate(SKETCH)])
-    reps = written(sketched.groupBy("l1", "l2").agg(F.min("place").alias("first"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in SKETCH]), "lines")
+    sketched = _signed(lines).select("l1", "l2", "place", "m", *[F.get("sig", F.lit(k)).alias(c) for k, c in enumerate(SKETCH)])
+    reps = written(sketched.groupBy("l1", "l2").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.min("m").alias("m"), *[F.min(c).alias(c) for c in SKETCH]), "lines")
     keys = [F.when(F.col(SKETCH[k]).isNotNull(), F.xxhash64(*[SKETCH[x] for x in (i, j, k)])) for i, j, k in combinations(range(KEEP), 3)]
-    few = F.when(F.col("s0").isNotNull() & F.col("s2").isNull(), F.xxhash64(F.lit(2), "s0", "s1"))
+    # sets of one or two shingles: only equal ones are similar enough
+    few = F.when(F.col("s2").isNull(), F.xxhash64(F.lit(2), "s0", "s1"))
     bands = reps.select("l1", F.explode(F.array_compact(F.array(*keys, few))).alias("band"))
     # dealt out before the aggregate: nearly all bands are single, so combining them before the shuffle would only widen the rows
     shared = bands.repartition("band").groupBy("band").agg(F.min("l1").alias("lo"), F.max("l1").alias("hi")).where("lo <> hi").select("band")
     buckets = written(bands.join(maybe_broadcast(written(shared, "shared"), BANDS_ROWS), "band", "left_semi"), "buckets")
-    asked = written(reps.join(maybe_broadcast(written(buckets.select("l1").distinct(), "asked")), "l1", "left_semi").select("l1", "l2", "first"), "asked")
+    asked = written(reps.join(maybe_broadcast(written(buckets.select("l1").distinct(), "asked")), "l1", "left_semi").select("l1", "l2", "first", "m"), "asked")
     # of each line in a bucket its text, from its earliest occurrence
     near = maybe_broadcast(asked.withColumnsRenamed({"l1": "a1", "l2": "a2"}))
-    texts = written(lines.join(near, F.expr("l1 = a1 and l2 = a2 and place = first")).select("l1", "l2", "line"), "texts")
+    texts = written(lines.join(near, F.expr("l1 = a1 and l2 = a2 and place = first")).select("l1", "l2", "m", "line"), "texts")
     links, mixed = None, buckets.withColumn("root", F.struct("l1", F.lit(None).cast("long").alias("l2")))
     for star in range(STARS + 1):
         x, y = mixed.alias("x"), mixed.alias("y")

@@ -9,11 +9,7 @@ from folioflow.llm import line_dedup as L  # noqa: E402
 
 
 def grams(line):
-    w = line.split(" ")
-    found = {" ".join(w[i : i + 2])[:5] for i in range(len(w))}
-    if len(line) > 24 * len(w) + 9:
-        found |= {line[i : i + 9] for i in range(len(line) - 8) if not line[i].isspace()}
-    return found
+    return {line[i : i + 5] for i in range(len(line) - 4)} if len(line) >= 5 else {line}
 
 
 def brute(rows, threshold=0.8):
@@ -68,3 +64,13 @@ def test_repeated_ids_and_empty_table(spark):
     got = sorted((r.doc_id, r.text) for r in L.deduplicate_lines(docs).collect())
     assert got == [(1, "a b c d e f\nsame"), (1, "a b c d e f\nsame"), (2, "new")]
     assert L.deduplicate_lines(docs.limit(0)).collect() == []
+
+
+def test_whole_words_are_compared(spark):
+    """Words that differ after their fifth letter are different; short words put in are not; lines of one shingle are met."""
+    long = "configuration administrator understanding international documentation responsibilities"
+    tail = " ".join(x[:5] + x[:4:-1] for x in long.split())
+    base = "it is one of the very first of all those long and winding sentences that they had ever put down on paper"
+    rows = [(1, long), (2, tail), (3, base), (4, base.replace(" very first", " a very first")), (5, "-----"), (6, "----------")]
+    got = {r.doc_id: r.text for r in L.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == brute(rows) == [long, tail, base, "", "-----", ""]
