@@ -60,3 +60,24 @@ def test_no_labels_and_empty_table(spark):
     rows = M.mix(d, none).collect()
     assert all(abs(r.post_q0t0 - 0.25) < 1e-9 for r in rows)
     assert M.mix(d.limit(0), none).collect() == []
+
+
+def test_out_of_reach_targets_end_at_the_nearest_shares(spark):
+    """Against many plain projected-gradient steps on explicit rates; the squared distance counts, not the largest gap."""
+    rnd = np.random.default_rng(5)
+    p, w = rnd.dirichlet([6, 1, 9, 2], 300), rnd.integers(5, 200, 300)
+    p = 0.7 * p + 0.3 * p.mean(axis=0)
+    targets = np.array([0.1, 0.02, 0.85, 0.03])
+    r, size = np.ones(300), np.linalg.eigvalsh((p * w[:, None]).T @ p / w.sum()).max()
+    for _ in range(200_000):
+        r = np.maximum(0, r - p @ ((w * r) @ p / w.sum() - targets) / size)
+    least = (((w * r) @ p / w.sum() - targets) ** 2).sum()
+    assert least > 1e-4  # out of reach
+    table = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(w, p)], "words long, p0 double, p1 double, p2 double, p3 double")
+    steps, share = M.solve(table, targets)
+    assert np.allclose(share, (w * M.replay(p, steps)) @ p / w.sum())
+    assert ((share - targets) ** 2).sum() <= least + 1e-4
+
+
+def test_targets_are_the_production_ones():
+    assert M.TARGETS == {"q0t0": 0.10, "q0t1": 0.02, "q1t0": 0.85, "q1t1": 0.03}
