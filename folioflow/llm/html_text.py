@@ -3,7 +3,7 @@
 (1) Each page's containers are scored: words of running text in blocks directly under the container (links count against
 it), by generalised path, i.e. the tags from the root with their classes, digits in class names replaced by 0.  (2) Spark adds the
 scores of each path over the pages of a host; pages vote, and the best path of the host wins.  (3) Each page is extracted again
-from the containers on the winning path; a page that has none there, or no text in it, uses its own best container, and then its body.
+from the containers on the winning path, or rather from the article, main element or parent of sections that they are part of; a page that has none there, or no text in it, uses its own best container, and then its body.
 
 Regions that are no article text (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
 comments) are left out by tag, role or class word wherever they are.
@@ -161,13 +161,29 @@ def blocks(html: str) -> tuple[list[tuple[str, str, int]], dict[str, list[float]
     return out, scores
 
 
+def whole(found: list[tuple[str, str, int]], at: str) -> str:
+    """The container whose part the best one is: the article around it; then the main element around that, or the parent of a section, as long as what is added is running text rather than links."""
+    names = at.split(">")
+    tags = [x.split(".")[0] for x in names]
+    end = max((k + 1 for k, x in enumerate(tags) if x == "article"), default=len(tags))
+    while end > 2:
+        up = max((k + 1 for k, x in enumerate(tags[: end - 1]) if x == "main"), default=end - 1 if tags[end - 1] == "section" else 0)
+        if not up:
+            break
+        inner, outer = ">".join(names[:end]), ">".join(names[:up])
+        added = [(t, linked) for t, p, linked in found if (p == outer or p.startswith(outer + ">")) and p != inner and not p.startswith(inner + ">")]
+        if added and sum(len(t.split()) * (1 - 2 * min(1.0, linked / len(t))) for t, linked in added) <= 0:
+            break
+        end = up
+    return ">".join(names[:end])
+
+
 def text_at(found: list[tuple[str, str, int]], scores: dict[str, list[float]], path: str | None) -> str:
-    """The blocks under the path, joined by line feeds; those of the page's own best container if there are none."""
+    """The blocks of the whole article around the path, joined by line feeds; of that around the page's own best container if there are none under the path."""
+    under = lambda at: [t for t, p, _ in found if p == at or p.startswith(at + ">") or not at]
     for at in (path, max(scores, key=lambda p: (scores[p][0], p)) if scores else None, ""):
-        if at is not None:
-            kept = [t for t, p, _ in found if p == at or p.startswith(at + ">") or not at]
-            if kept:
-                return "\n".join(kept)
+        if at is not None and under(at):
+            return "\n".join(under(whole(found, at)))
     return ""
 
 

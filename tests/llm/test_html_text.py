@@ -57,3 +57,14 @@ def test_provided_pages(spark):
         want[r.page_id] = (r.url, "\n".join(x for x in parts if x))
     got = {r.page_id: (r.url, r.text) for r in H.extract(pages).collect()}
     assert got == want
+
+
+def test_articles_of_several_containers_are_kept_whole():
+    a, b, c = "title of five whole words", "lead " * 20, "body " * 300
+    want = f"{a}\n{b.strip()}\n{c.strip()}"
+    assert text(f"<article><h1>{a}</h1><div class=lead><p>{b}</p></div><div class=body><p>{c}</p></div></article><div class=feed><p>{b}</p></div>") == want
+    assert text(f"<main><h1>{a}</h1><p>{b}</p><article><div class=x><p>{c}</p></div></article></main>") == want
+    one, two = "one " * 100, "two " * 300
+    assert text(f"<body><section class=intro><p>{one}</p></section><section class=main><p>{two}</p></section></body>") == f"{one.strip()}\n{two.strip()}"
+    links = "<p><a href=/x>" + "link " * 40 + "</a></p>"
+    assert text(f"<main><article><p>{c}</p></article><div class=more>{links}</div></main>") == c.strip()
