@@ -141,14 +141,14 @@ def vector_figures(spark, d):
 
 
 def char_lines(spark, d):
-    rows = X.lines(spark, d).where("pos < 4").select((F.col("doc_id") * 4 + F.col("pos")).alias("cell"), F.posexplode(F.split(F.substring("line", 1, 24), "")).alias("k", "c")).where("c <> '' and c <> ' '")
+    rows = X.lines(spark, d).select((F.col("doc_id") * 2**24 + F.col("pos")).cast("long").alias("cell"), F.posexplode(F.split("line", "")).alias("k", "c")).where("c <> '' and c <> ' '")
     x0 = (F.col("k") % 12 * 7).cast("double")
     return G.char_lines(rows.select("cell", "c", x0.alias("x0"), (x0 + 6.5).alias("x1"), (F.floor(F.col("k") / 12) * 12 + F.col("k") % 3).cast("double").alias("y"), F.lit(10.0).alias("size")))
 
 
 def image_anchors(spark, d):
     blocks = X.lines(spark, d).select("doc_id", F.col("pos").cast("long").alias("block_no"), F.col("line").alias("text"))
-    images = X.lines(spark, d).where("pos % 3 = 1").select("doc_id", F.floor(F.col("pos") / 3).cast("int").alias("image_seq"), F.substring("line", 3, 12).alias("anchor"))
+    images = X.lines(spark, d).select("doc_id", F.col("pos").cast("int").alias("image_seq"), F.col("line").alias("anchor"))
     return G.anchors(images, blocks)
 
 
