@@ -1,40 +1,61 @@
 """Fuzzy line deduplication in DataFrame functions only: MinHash signatures, banding, exact Jaccard, distributed union-find.
 
-A line's signature is the KEEP least 64-bit hashes of its 5-character shingles, taken at every place (a line of fewer characters is
-its own shingle).  Its bands are all 3-subsets of the signature: two lines of
-similarity s share one if three of the first six of their joint shingles are common, with probability 0.98 at s = 0.8
-and 0.999 at 0.9.  In each bucket the member of least hash, then others under further seeds, are paired with the rest; what is in
-different components after that is paired too.  Pairs are verified by the exact Jaccard index of the sets of all 5-character
-shingles (as 64-bit hashes).  Equal lines meet by 128 bits of hash before any of this.  Of each component the earliest line stays.
+A line's shingles are its 5-character substrings at every place (a line of fewer characters is its own shingle), as a set of 64-bit
+hashes.  The hashes, in order, close to a ring that is cut into STARTS equal arcs.  A band is the run of the next few hashes from an arc's
+beginning on, a MinHash sketch of as many rows: two lines of similarity s agree in a run of r with probability s ** r.  Long lines have runs of 7,
+so 16 bands find a pair of similarity 0.8 with probability 0.97; lines of fewer shingles, whose runs overlap, have shorter runs and a second
+ring of rehashed shingles.  LEVELS overlap, so lines of similar enough sizes always have a level in common.
+
+In each bucket the member that shares most buckets with others is paired with the rest (a star), once more with another member where
+similar lines were not all joined.  These pairs are verified by the exact Jaccard index of all shingles.  What then is in different
+components of one bucket is compared inside the join itself, by the same index, so only links leave it.  Equal lines
+meet by 128 bits of hash before any of this.  Of each component the earliest line stays.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import components, maybe_broadcast, written
+from folioflow.llm.common import components, maybe_broadcast, rows_of, written
 
 THRESHOLD = 0.8
-KEEP = 6
-STARS = 1
+WIDTH = 5
+#: Hashes in a run, the least number of shingles that has such runs, number of rings.
+LEVELS = ((3, 3, 2), (4, 8, 2), (5, 20, 2), (7, 64, 1))
+STARTS_BITS = 4
+STARTS = 1 << STARTS_BITS
+STARS = 2
 #: Shared bands, one number each, that may be broadcast (16 MB of numbers); with more, they meet by shuffle.
 BANDS_ROWS = 2_000_000
-SKETCH = [f"s{k}" for k in range(KEEP)]
 
 
 def _shingles(line: str) -> Column:
     """The set of 64-bit hashes of the 5-character shingles at every place of a line; of a shorter line its own hash."""
     grams = F.transform(F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{5}))"), F.lit(1)), lambda x: F.xxhash64(x))
-    return F.when(F.length(line) < 5, F.array(F.xxhash64(line))).otherwise(F.array_distinct(grams))
+    return F.when(F.length(line) < WIDTH, F.array(F.xxhash64(line))).otherwise(F.array_distinct(grams))
+
 
+def _runs(ring: str, run: int, low: int, high: int) -> Column:
+    """Of sorted hashes, low <= number < high: from the first hash of each arc on, a hash of it and the next run - 1, round the ring."""
+    arc = lambda x: F.shiftrightunsigned(x, 64 - STARTS_BITS)
+    at = lambda i: F.get(ring, i)
+    leads = F.filter(F.sequence(F.lit(0), F.size(ring) - 1), lambda i: (i == 0) | (arc(at(i)) != arc(at(i - 1))))
+    keys = F.transform(leads, lambda i: F.xxhash64(F.lit(run), *[at(F.pmod(i + k, F.size(ring))) for k in range(run)]))
+    return F.when((F.size(ring) >= low) & (F.size(ring) < high), keys).otherwise(F.array().cast("array<bigint>"))
 
-def _signed(lines: DataFrame) -> DataFrame:
-    """lines with sig, the least hashes of their shingles in rising order, and m, their number."""
-    found = lines.withColumn("g", _shingles("line"))
-    return found.withColumns({"sig": F.slice(F.sort_array("g"), 1, KEEP), "m": F.size("g")}).drop("g")
+
+def _banded(lines: DataFrame) -> DataFrame:
+    """lines with bands, the band keys of each, in place of line."""
+    rings = lines.withColumn("ring0", F.sort_array(_shingles("line")))
+    short = F.size("ring0") < LEVELS[-1][1]
+    rings = rings.withColumn("ring1", F.when(short, F.sort_array(F.transform("ring0", lambda x: F.xxhash64(F.lit(2), x)))).otherwise(F.array().cast("array<bigint>")))
+    # sets of one or two shingles: only equal ones are similar enough
+    keys = [F.when(F.size("ring0") < LEVELS[0][1], F.array(F.xxhash64(F.lit(1), "ring0"))).otherwise(F.array().cast("array<bigint>"))]
+    for k, (run, least, many) in enumerate(LEVELS):
+        low, high = max(run, int(least * THRESHOLD)), LEVELS[k + 1][1] if k + 1 < len(LEVELS) else 1 << 31
+        keys += [_runs(f"ring{r}", run, low, high) for r in range(many)]
+    return rings.withColumn("bands", F.array_distinct(F.concat(*keys))).drop("line", "ring0", "ring1")
 
 
 def _place() -> Column:
@@ -51,55 +72,79 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumns({"l1": F.xxhash64("line"), "l2": F.xxhash64(F.lit(1), "line"), "place": _place()})
 
 
+def _similar(a: str, b: str, both: Column, threshold: float) -> Column:
+    """Whether sets of a and b members, both of them common, have a Jaccard index of at least threshold."""
+    return both >= threshold * (F.col(a) + F.col(b) - both)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of l1 whose lines are similar enough, as structs (l1, l2)."""
     # sets of too different sizes can't be similar enough, whatever they share
-    sizes = maybe_broadcast(texts.select("l1", "l2", "m"))
+    sizes = maybe_broadcast(written(texts.select("l1", "l2", "m"), "sizes"))
     met = pairs.join(sizes.toDF("a", "a2", "ma"), "a").join(sizes.toDF("b", "b2", "mb"), "b")
     met = met.where(F.least("ma", "mb") >= threshold * F.greatest("ma", "mb"))
     # the lines travel, not their shingles, which are eight times as large
     met = met.join(texts.select("l1", "l2", "line").toDF("a", "a2", "la"), ["a", "a2"]).join(texts.select("l1", "l2", "line").toDF("b", "b2", "lb"), ["b", "b2"])
     met = met.withColumn("both", F.size(F.array_intersect(_shingles("la"), _shingles("lb"))))
-    met = met.where(F.col("both") >= threshold * (F.col("ma") + F.col("mb") - F.col("both")))
+    met = met.where(_similar("ma", "mb", F.col("both"), threshold))
     return met.select(F.struct(F.col("a").alias("l1"), F.col("a2").alias("l2")).alias("a"), F.struct(F.col("b").alias("l1"), F.col("b2").alias("l2")).alias("b")).distinct()
 
 
+def _rooted(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component, with the root of each line (itself, if it has no link)."""
+    of = written(roots.groupBy(F.col("id.l1").alias("l1")).agg(F.min("root").alias("r")), "of")
+    rooted = buckets.join(maybe_broadcast(of), "l1", "left").withColumn("root", F.coalesce("r", F.struct("l1", F.lit(None).cast("long").alias("l2")))).drop("r")
+    open_ = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    return written(rooted.join(open_, "band"), "mixed")
+
+
+def _rest(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between lines of one bucket in different components.
+
+    The exact index is part of the join's condition: what is compared never leaves the join, only links do.  Two lines that share
+    several buckets are compared in the least of them only.
+    """
+    mine = mixed.groupBy("l1").agg(F.collect_set("band").alias("bands"), F.min("root").alias("root"))
+    sets = mine.join(texts, "l1").select("l1", "l2", "root", "bands", "m", _shingles("line").alias("g"))
+    rows = written(sets.withColumn("band", F.explode("bands")), "compared")
+    x, y = (rows.select(*[F.col(c).alias(f"{s}{c}") for c in rows.columns]) for s in "xy")
+    near = (F.col("xband") == F.col("yband")) & (F.struct("xl1", "xl2") < F.struct("yl1", "yl2")) & (F.col("xroot") != F.col("yroot"))
+    near = near & (F.least("xm", "ym") >= threshold * F.greatest("xm", "ym")) & (F.array_min(F.array_intersect("xbands", "ybands")) == F.col("xband"))
+    links = x.join(y, near & _similar("xm", "ym", F.size(F.array_intersect("xg", "yg")), threshold))
+    return links.select(F.struct(F.col("xl1").alias("l1"), F.col("xl2").alias("l2")).alias("a"), F.struct(F.col("yl1").alias("l1"), F.col("yl2").alias("l2")).alias("b"))
+
+
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(l1, l2, keep): the earliest (doc, pos) of the component, for each line that is repeated or similar to another."""
     lines = _lines(docs, id_col, text_col).where(F.trim("line") != "")
-    sketched = _signed(lines).select("l1", "l2", "place", "m", *[F.get("sig", F.lit(k)).alias(c) for k, c in enumerate(SKETCH)])
-    reps = written(sketched.groupBy("l1", "l2").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.min("m").alias("m"), *[F.min(c).alias(c) for c in SKETCH]), "lines")
-    keys = [F.when(F.col(SKETCH[k]).isNotNull(), F.xxhash64(*[SKETCH[x] for x in (i, j, k)])) for i, j, k in combinations(range(KEEP), 3)]
-    # sets of one or two shingles: only equal ones are similar enough
-    few = F.when(F.col("s2").isNull(), F.xxhash64(F.lit(2), "s0", "s1"))
-    bands = reps.select("l1", F.explode(F.array_compact(F.array(*keys, few))).alias("band"))
-    # dealt out before the aggregate: nearly all bands are single, so combining them before the shuffle would only widen the rows
-    shared = bands.repartition("band").groupBy("band").agg(F.min("l1").alias("lo"), F.max("l1").alias("hi")).where("lo <> hi").select("band")
-    buckets = written(bands.join(maybe_broadcast(written(shared, "shared"), BANDS_ROWS), "band", "left_semi"), "buckets")
-    asked = written(reps.join(maybe_broadcast(written(buckets.select("l1").distinct(), "asked")), "l1", "left_semi").select("l1", "l2", "first", "m"), "asked")
+    reps = written(lines.groupBy("l1", "l2").agg(F.min("place").alias("first"), F.count("*").alias("n")), "lines")
+    signed = written(_banded(lines.select("l1", "line")), "signed").select("l1", F.explode("bands").alias("band"))
+    # combined before the shuffle, so a line that is very often repeated counts once a task
+    shared = written(signed.groupBy("band").agg(F.min("l1").alias("lo"), F.max("l1").alias("hi")).where("lo <> hi").select("band"), "shared")
+    buckets = written(signed.join(maybe_broadcast(shared, BANDS_ROWS), "band", "left_semi").distinct(), "members")
+    sizes = written(buckets.groupBy("band").agg(F.count("*").alias("n")), "bands")
+    weights = written(buckets.join(maybe_broadcast(sizes), "band").groupBy("l1").agg(F.sum("n").alias("w")), "weights")
+    buckets = written(buckets.join(maybe_broadcast(weights), "l1"), "buckets")
     # of each line in a bucket its text, from its earliest occurrence
-    near = maybe_broadcast(asked.withColumnsRenamed({"l1": "a1", "l2": "a2"}))
-    texts = written(lines.join(near, F.expr("l1 = a1 and l2 = a2 and place = first")).select("l1", "l2", "m", "line"), "texts")
+    asked = written(reps.join(maybe_broadcast(weights), "l1", "left_semi").select(F.col("l1").alias("a1"), F.col("l2").alias("a2"), "first"), "asked")
+    texts = lines.join(maybe_broadcast(asked), F.expr("l1 = a1 and l2 = a2 and place = first")).select("l1", "l2", "line").dropDuplicates(["l1", "l2"])
+    texts = written(texts.withColumn("m", F.size(_shingles("line"))), "texts")
     links, mixed = None, buckets.withColumn("root", F.struct("l1", F.lit(None).cast("long").alias("l2")))
-    for star in range(STARS + 1):
-        x, y = mixed.alias("x"), mixed.alias("y")
-        if star < STARS:
-            x = mixed.groupBy("band").agg(F.min_by(F.struct("l1", "root"), F.xxhash64("l1", F.lit(star))).alias("p")).select("band", "p.*").alias("x")
-            pairs = x.join(y, F.expr("x.band = y.band and x.root <> y.root"))
-        else:
-            pairs = x.join(y, F.expr("x.band = y.band and x.l1 < y.l1 and x.root <> y.root"))
-        pairs = written(pairs.select(F.least("x.l1", "y.l1").alias("a"), F.greatest("x.l1", "y.l1").alias("b")).distinct(), "pairs")
+    for star in range(STARS):
+        order = F.struct("w", "l1") if star == 0 else F.struct(F.xxhash64("l1", F.lit(star)))
+        pivots = mixed.groupBy("band").agg(F.max_by(F.struct("l1", "root"), order).alias("p")).select("band", F.col("p.l1").alias("pivot"), F.col("p.root").alias("proot"))
+        pairs = mixed.join(pivots, "band").where(F.col("root") != F.col("proot"))
+        pairs = written(pairs.select(F.least("l1", "pivot").alias("a"), F.greatest("l1", "pivot").alias("b")).distinct(), "pairs")
         found = _verified(pairs, texts, threshold)
         links = written(found if links is None else links.union(found).distinct(), "links")
         roots = written(components(links), "roots")
-        if star == STARS:
-            break
-        of = roots.groupBy(F.col("id.l1").alias("l1")).agg(F.min("root").alias("r"))
-        rooted = buckets.join(maybe_broadcast(of), "l1", "left").select("band", "l1", F.coalesce("r", F.struct("l1", F.lit(None).cast("long").alias("l2"))).alias("root"))
-        open_ = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-        mixed = written(rooted.join(open_, "band"), "mixed")
-        if not mixed.limit(1).count():
+        mixed = _rooted(buckets, roots)
+        if not rows_of(mixed):
             break
+    else:
+        more = written(_rest(mixed.select("band", "l1", "root"), texts, threshold), "rest")
+        if rows_of(more):
+            roots = written(components(links.union(more)), "roots")
     line = reps.select("l1", "l2", "first", "n", F.struct("l1", "l2").alias("id"))
     rooted = line.join(maybe_broadcast(roots), "id", "left")
     earliest = rooted.where("root is not null").groupBy("root").agg(F.min("first").alias("best"))
