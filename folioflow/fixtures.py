@@ -75,21 +75,26 @@ SHAPES_SQL = (
     "boxes as (select distinct doc_id, page_index, 20.0 as tx0, 90.0 as ty0, 500.0 as tx1, 190.0 as ty1 from layout where doc_id % 3 = 0)"
 )
 
-# law text: one article per document out of its first lines, with items, sub-items and paragraphs
-LAW = """'**Art. ' || cast(1 + doc_id % 2000 as string) || (case when doc_id % 5 = 0 then '-A' else '' end) || '.** ' || substr(replace(l1, ':', ','), 1, 60) || ': I – ' || substr(replace(l2, ':', ','), 1, 50) || '; II – '
- || substr(replace(l3, ':', ','), 1, 20) || ': a) ' || substr(l1, 1, 15) || '; b) ' || substr(l2, 1, 15) || '. § 1º ' || substr(l3, 1, 40) || '. § 2º ' || substr(l1, 1, 30) || '. Parágrafo único. ' || substr(l2, 1, 25) || '.'"""
+# law text out of every line of a document, whole: nine lines make an article with items, sub-items and paragraphs
+CLEAN = "'x' || cast(pos % 9 as string) || ' ' || translate(line, ':;*§()_–—-', ',,        ')"
+ARTICLE_NO = """(case when 1 + (7 * doc_id + cast(floor(pos / 9.0) as bigint)) % 1999 < 1000 then cast(1 + (7 * doc_id + cast(floor(pos / 9.0) as bigint)) % 1999 as string)
+ else '1.' || lpad(cast((7 * doc_id + cast(floor(pos / 9.0) as bigint)) % 1999 - 999 as string), 3, '0') end || case when doc_id % 5 = 0 then '-A' else '' end)"""
+LAW_LINE = f"""case pos % 9 when 0 then '**Art. ' || {ARTICLE_NO} || '.** ' || c || ':' when 1 then 'I – ' || c || ';' when 2 then 'II – ' || c || ':' when 3 then 'a) ' || c || ';' when 4 then 'b) ' || c || '.'
+ when 5 then '§ 1º ' || c || '.' when 6 then '§ 2º ' || c || ' no § 5º.' when 7 then 'Parágrafo único. ' || c || '.' else '- ' || c end"""
+
+
+def law_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, pos, line): the lines of the law text."""
+    return lines(spark, sf_dir).selectExpr("doc_id", "pos", f"{CLEAN} as c").selectExpr("doc_id", "pos", f"{LAW_LINE} as line")
 
 
 def law(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda k: F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(k))
-    rows = table(spark, sf_dir, "documents").select("doc_id", at(0).alias("l1"), F.coalesce(at(1), at(0)).alias("l2"), F.coalesce(at(2), at(0)).alias("l3"))
-    return rows.selectExpr("doc_id", f"{LAW} as law")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    return law_lines(spark, sf_dir).groupBy("doc_id").agg(whole.alias("law"))
 
 
-LAW_SQL = (
-    "law0 as (select doc_id, l[1] as l1, coalesce(l[2], l[1]) as l2, coalesce(l[3], l[1]) as l3 from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents)), "
-    f"law as (select doc_id, {LAW} as law from law0)"
-)
+LAW_LINES_SQL = f"{LINES_SQL}, cleaned as (select doc_id, pos, cast(floor(pos / 9.0) as integer) as art_seq, pos % 9 as k, {ARTICLE_NO} as art_no, {CLEAN} as c from lines)"
+LAW_SQL = f"{LAW_LINES_SQL}, law as (select doc_id, string_agg({LAW_LINE}, chr(10) order by pos) as law from cleaned group by doc_id)"
 
 # jobs out of events: several rows per hash, five statuses
 JOBS = {
