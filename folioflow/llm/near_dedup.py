@@ -6,12 +6,12 @@ counts of one side are all scaled, and equals the plain Jaccard index where no s
 ProbMinHash components agree is J_P.
 
 Steps: (1) one pass over the texts gives a digest, band hashes and a 4-bit sketch of the signature of each; (2) equal texts
-meet by digest and only the least id goes on; (3) each bucket's least id, then its members of least hash under some seeds, are
-paired with the bucket's other members (a star, not all pairs), unless the sketches of the two differ in so many components
+meet by digest and only the least id goes on; (3) each bucket's pivot, the member that shares most buckets with others, then a
+second one, is paired with the bucket's other members (a star, not all pairs), unless the sketches of the two differ in so many components
 that a similarity of THRESHOLD is out of reach (four standard deviations); (4) pairs are verified exactly, the pivot's text being
 sent once for up to MEMBERS others; (5) union-find; (6) members of one bucket that are in different components after
-that are paired too, under the same test of the sketches, verified and joined.  So any two documents that share a bucket
-are in one component or have been compared.
+that are compared inside a join by their shingles, so that only pairs that are similar enough (or may be, where shingles
+repeat) leave it; these are verified and joined.  So any two documents that share a bucket are in one component or have been compared.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import kernels as K
-from folioflow.llm.common import components, maybe_broadcast, small, written
+from folioflow.llm.common import components, maybe_broadcast, rows_of, small, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -122,7 +122,7 @@ def _signatures(batches):
 
 def _verify(threshold: float):
     def run(batches):
-        pivot: tuple = (None, None)
+        pivot: tuple = (None, [])
         for batch in batches:
             data, offsets = K.buffers(batch.column("text"))
             role, a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("role", "a", "b"))
@@ -135,9 +135,10 @@ def _verify(threshold: float):
                 for k in range(j - i):
                     mine = (h[cut[k] : cut[k + 1]], w[cut[k] : cut[k + 1]])
                     if role[i + k] == 0:
-                        pivot = (a[i + k], (mine[0].copy(), mine[1].copy()))
+                        pivot = (a[i + k], pivot[1] if pivot[0] == a[i + k] else [])
+                        pivot[1].append((mine[0].copy(), mine[1].copy()))
                     elif pivot[0] == a[i + k]:
-                        s = probability_jaccard(*pivot[1], *mine)
+                        s = max(probability_jaccard(*one, *mine) for one in pivot[1])
                         if s >= threshold:
                             out.append((a[i + k], b[i + k], s))
             yield pa.RecordBatch.from_arrays(
@@ -164,10 +165,45 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
     return dealt.mapInArrow(_verify(threshold), "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
 
+def _sets(batches):
+    """(id, g, one): a hash for each shingle and each time it occurs again; whether none does."""
+    for batch in batches:
+        ids, (data, offsets) = batch.column(0), K.buffers(batch.column(1))
+        lists, one = [], []
+        for i, j in K.chunks(offsets):
+            o = offsets[i : j + 1]
+            h, t = K.text_shingles(data[o[0] : o[-1]], o - o[0], WORDS)
+            t, h, w = K.counted(h, t)
+            again = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+            flat = K.mix(np.repeat(h, w) + K.BASE * again.astype(np.uint64)).view(np.int64)
+            cut = np.r_[0, np.cumsum(w)][np.searchsorted(t, np.arange(j - i + 1))]
+            lists += [flat[cut[k] : cut[k + 1]] for k in range(j - i)]
+            one += list(np.maximum.reduceat(np.r_[w, 1], np.searchsorted(t, np.arange(j - i))) <= 1) if len(t) else [True] * (j - i)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(lists, pa.list_(pa.int64())), pa.array([bool(x) for x in one], pa.bool_())], ["id", "g", "one"])
+
+
+def _rest(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components that are, or may be, similar enough.
+
+    The shingles are compared in the join's condition, so what is compared never leaves the join.  Without repeated shingles the condition is
+    the index itself; with them it is a bound: J_P is at most the common part over the lesser total.  Two documents that share
+    several buckets are compared in the least of them only.
+    """
+    mine = written(mixed.groupBy("id").agg(F.collect_set("band").alias("bands"), F.min("root").alias("root")), "open")
+    asked = texts.join(F.broadcast(mine.select("id")) if small(mine) else mine.select("id"), "id", "left_semi")
+    sets = asked.mapInArrow(_sets, "id long, g array<long>, one boolean").join(mine, "id")
+    rows = written(sets.withColumn("band", F.explode("bands")), "compared")
+    x, y = (rows.select(*[F.col(c).alias(f"{s}{c}") for c in rows.columns]) for s in "xy")
+    m, both = [F.size(f"{s}g") for s in "xy"], F.size(F.array_intersect("xg", "yg"))
+    near = (F.col("xband") == F.col("yband")) & (F.col("xid") < F.col("yid")) & (F.col("xroot") != F.col("yroot"))
+    near = near & (F.array_min(F.array_intersect("xbands", "ybands")) == F.col("xband"))
+    least = F.when(F.col("xone") & F.col("yone"), threshold * (m[0] + m[1] - both)).otherwise(threshold * F.least(*m))
+    return x.join(y, near & (both >= least)).select(F.col("xid").alias("a"), F.col("yid").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row (id, class_id, n_links) per id: class_id is the least id of its near-duplicate class.
+    """One row (id, class_id) per id: class_id is the least id of its near-duplicate class.
 
-    n_links counts the verified pairs between different texts that the id's exact text class takes part in.
     A null text is an empty one; empty texts are copies of each other.  A null id takes no part and has no row.  An id on several rows
     stands for all its texts.  A text of fewer than five words has one shingle of all its words.  Ties go to the
     least id.  An empty table gives an empty one.  Other columns are not read, whatever their names.
@@ -178,34 +214,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = written(sig.select("id", "d1", "d2").join(exact, ["d1", "d2"]).select("id", "rep").distinct(), "copies")
     reps = member.where("id = rep").select("id")
     banded = sig.join(reps, "id").select("id", F.explode("bands").alias("band"), *SKETCH).dropDuplicates(["id", "band"])
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    buckets = written(banded.join(shared, "band"), "buckets")
-    differ = " + ".join(f"bit_count({' | '.join(f'(x.s{2 * k + h} ^ y.s{2 * k + h})' for k in range(4))})" for h in (0, 1))
-    links, roots, mixed = None, None, buckets.withColumn("root", F.col("id"))
-    for star in range(STARS + 1):
-        x, y = mixed.alias("x"), mixed.alias("y")
-        if star < STARS:
-            order = F.xxhash64("id", F.lit(star)) if star else F.col("id")
-            x = mixed.groupBy("band").agg(F.min_by(F.struct("id", "root", *SKETCH), order).alias("p")).select("band", "p.*").alias("x")
-            pairs = x.join(y, F.expr(f"x.band = y.band and x.root <> y.root and {differ} <= {DIFFER}"))
-        else:
-            pairs = x.join(y, F.expr(f"x.band = y.band and x.id < y.id and x.root <> y.root and {differ} <= {DIFFER}"))
-        pairs = written(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
-        found = verified(pairs, rows, threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
-        links = written(found if links is None else links.union(found).dropDuplicates(["a", "b"]), "links")
-        if star == STARS:
-            break
-        roots = components(links)
-        rooted = buckets.join(maybe_broadcast(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        open_ = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-        mixed = written(rooted.join(open_, "band"), "mixed")
-        if not mixed.limit(1).count():
+    shared = written(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    buckets = written(banded.join(maybe_broadcast(shared), "band"), "members")
+    weights = written(buckets.groupBy("id").agg(F.sum("n").alias("w")), "weights")
+    buckets = written(buckets.drop("n").join(maybe_broadcast(weights), "id"), "buckets")
+    differ = " + ".join(f"bit_count({' | '.join(f'(p.s{2 * k + h} ^ y.s{2 * k + h})' for k in range(4))})" for h in (0, 1))
+    links, mixed = None, buckets.withColumn("root", F.col("id"))
+    for star in range(STARS):
+        order = F.struct("w", "id") if star == 0 else F.struct(F.xxhash64("id", F.lit(star)))
+        pivots = mixed.groupBy("band").agg(F.max_by(F.struct("id", "root", *SKETCH), order).alias("p")).select("band", "p.*")
+        pairs = pivots.alias("p").join(mixed.alias("y"), F.expr(f"p.band = y.band and p.root <> y.root and {differ} <= {DIFFER}"))
+        pairs = written(pairs.select(F.col("p.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
+        links, mixed = _joined(buckets, links, verified(pairs, rows, threshold))
+        if not rows_of(mixed):
             break
+    else:
+        pairs = written(_rest(mixed.select("band", "id", "root"), rows, threshold), "pairs")
+        if rows_of(pairs):
+            links, _ = _joined(buckets, links, verified(pairs, rows, threshold))
     copies = member.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    roots = written(components(links.select("a", "b").union(copies)), "roots")
-    ends = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n"))
-    counted = member.join(ends, "rep", "left").groupBy("id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_links"))
-    return counted.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("class_id"), F.col("n_links").cast("long").alias("n_links"))
+    roots = written(components(links.union(copies)), "roots")
+    ids = member.select("id").distinct()
+    return ids.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("class_id"))
+
+
+def _joined(buckets: DataFrame, links: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links so far, and the rows of buckets that hold more than one component of them, with the root of each document."""
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = written((found if links is None else links.union(found)).distinct(), "links")
+    roots = written(components(links), "roots")
+    rooted = buckets.join(maybe_broadcast(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open_ = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    return links, written(rooted.join(open_, "band"), "mixed")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -222,5 +262,3 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     many = kept.join(maybe_broadcast(again), F.col(id_col) == F.col("__id"), "left_semi")
     one = many.groupBy(id_col).agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.coalesce(F.col(text_col), F.lit(""))).alias("__row")).select("__row.*")
     return kept.join(maybe_broadcast(again), F.col(id_col) == F.col("__id"), "left_anti").unionByName(one)
-
-
