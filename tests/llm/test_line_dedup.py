@@ -74,3 +74,33 @@ def test_whole_words_are_compared(spark):
     rows = [(1, long), (2, tail), (3, base), (4, base.replace(" very first", " a very first")), (5, "-----"), (6, "----------")]
     got = {r.doc_id: r.text for r in L.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i, _ in rows] == brute(rows) == [long, tail, base, "", "-----", ""]
+
+
+def test_recall_by_similarity():
+    """Nine in ten pairs at least share a band in each bin of similarity and length, by the shingles of whole lines."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(7)
+    letters, met = "abcdefghijklmnopqrstuvwxyz   éß", {}
+    for length in (12, 24, 40, 70, 150, 400, 1200):
+        pairs = []
+        for _ in range(4000):
+            a = "".join(rnd.choice(letters) for _ in range(length + rnd.randint(0, length // 4)))
+            b = list(a)
+            for _ in range(rnd.randint(1, max(1, len(a) // 40))):
+                at = rnd.choice([0, len(b) - 1, rnd.randrange(len(b))])
+                b[at] = rnd.choice(["", rnd.choice(letters), b[at] + rnd.choice(letters)])
+            b = "".join(b) + "".join(rnd.choice(letters) for _ in range(rnd.randint(0, length // 12)))
+            x, y = grams(a), grams(b)
+            s = len(x & y) / len(x | y)
+            if 0.8 <= s < 1:
+                pairs.append((a, b, s))
+        data, offsets = L.K.buffers(pa.array([x for p in pairs for x in p[:2]]))
+        line, band, m = L.bands(data, offsets)
+        assert m.tolist() == [len(grams(x)) for p in pairs for x in p[:2]]
+        sets = [set(x.tolist()) for x in np.split(band, np.searchsorted(line, np.arange(1, 2 * len(pairs))))]
+        for k, (_, _, s) in enumerate(pairs):
+            met.setdefault((length, int(s * 20) / 20), []).append(bool(sets[2 * k] & sets[2 * k + 1]))
+    rates = {k: sum(v) / len(v) for k, v in sorted(met.items()) if len(v) >= 100}
+    assert len(rates) > 12 and min(rates.values()) >= 0.9, rates
