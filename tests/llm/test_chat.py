@@ -78,3 +78,40 @@ def test_plain_dialogue_and_edges(spark):
 
 def test_canonical_json():
     assert C.canonical({"b": [1.0, 0.5, float("nan")], "a": {"z": None, "é": True}}) == '{"a":{"z":null,"é":true},"b":[1,0.5,null]}'
+    deep = {"a": json.loads("[" * 900 + "1" + "]" * 900)}
+    for _ in range(40):
+        deep = {"a": [deep] * 1}
+    for _ in range(3000):
+        deep = [deep]
+    text = C.canonical(deep)
+    assert text.count("[") == text.count("]") and text.startswith("[" * 3000)
+
+
+def test_deep_arguments_lone_surrogates_and_ids(spark):
+    call = lambda i, args: json.dumps({"tool_calls": [{"id": i, "name": "f", "arguments": args}]})
+    rows = [
+        (1, 0, "assistant", call("2", '{"a":1,"b":' + "[" * 1200 + "]" * 1200 + "}")),
+        (1, 1, "assistant", '{"tool_calls":[{"id":"x\\ud800","name":"f\\udfff","arguments":{"a":"\\ud83d"}}]}'),
+        (1, 3, "assistant", "a plain turn is no result of the call that another message names 2"),
+        (1, 4, "tool", '{"tool_call_id":"x\\ud800","content":"\\udc00!"}'),
+        (1, 5, "assistant", call("d", "[" * 200_000)),
+        (2, 0, "user", "q"),
+        (2, 1, "assistant", "[" * 5000),
+    ]
+    got = {(r.conv_id, r.turn): r for r in C.link_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), SCHEMAS).collect()}
+    assert got[1, 0].status == "missing" and not got[1, 0].valid and "[" * 1200 in got[1, 0].json
+    assert got[1, 1].status == "ok" and got[1, 1].call_id == "x\\ud800" and got[1, 1].name == "f\\udfff" and "\\udc00!" in got[1, 1].json
+    assert got[1, 5].problem == "$: not JSON"
+    assert got[2, 0].status == "ok"
+
+
+def test_long_conversations_get_the_same_order(spark):
+    rnd = random.Random(9)
+    rows = []
+    for conv in (1, None):
+        for t in range(25):
+            needs = [f"id:c{rnd.randint(0, 25)}" for _ in range(rnd.randint(0, 2))]
+            rows.append((conv, t, 0, f"id:c{t}", needs))
+    calls = spark.createDataFrame(rows, "conv_id long, turn long, ord int, link string, depends_on array<string>")
+    a, b = (sorted(map(str, C.topological(calls, n).collect())) for n in (0, 100))
+    assert a == b and len(a) == 50 and "cycle" in "".join(a)
