@@ -6,7 +6,7 @@ scores of each path over the pages of a host; pages vote, and the best path of t
 from the containers on the winning path, or rather from the article, main element or parent of sections that they are part of; a page that has none there, or no text in it, uses its own best container, and then its body.
 
 Regions that are no article text (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments) are left out by tag, role or class word wherever they are.
+comments) are left out by tag, role or, for blocks, class word wherever they are.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ BROADCAST_HOSTS = 100_000
 # Elements by their role in HTML, and class or id words of regions that are no article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
-DROPPED = frozenset("script style noscript template iframe object svg math canvas head title nav footer aside form button select option textarea input dialog menu audio video map".split())
+DROPPED = frozenset("script style noscript template iframe object svg canvas head title nav footer aside form button select option textarea input dialog menu audio video map".split())
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article body div main section td center".split())
 #: An open element of the first name ends when one of the named ones begins.
@@ -40,14 +40,17 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(
 _SPACE = re.compile(r"\s+")
 #: Class words that say something about another region, such as has-sidebar.
 _ABOUT = re.compile(r"(?:has|no|not|with|without|is)[-_]|.*[-_](?:with|without|has|no)[-_]", re.I)
-_WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+|\d+")
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Za-z][a-z]*|\d+")
+#: Words that make a header with such a class the article's own.
+_OWN = frozenset("article entry post story content title".split())
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): _html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)} if text and not text.isspace() else {}
 
 
-def _noise(tag: str, attributes: dict[str, str]) -> bool:
+def _noise(tag: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Whether an element is no article text.  Class words count for blocks only; inside an article a header holds its title."""
     if tag in DROPPED:
         return True
     if not attributes:
@@ -56,11 +59,15 @@ def _noise(tag: str, attributes: dict[str, str]) -> bool:
         return True
     if re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
         return True
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "article", "main") or tag not in BLOCKS:
         return False
     names = [x for x in f"{attributes.get('class', '')} {attributes.get('id', '')}".split() if not _ABOUT.match(x)]
     heading = tag == "header" or len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
-    return any(w.lower() in NOISE and not (heading and w.lower() == "header") for x in names for w in _WORDS.findall(x))
+    for x in names:
+        words = {w.lower() for w in _WORDS.findall(x)}
+        if words & NOISE - ({"header"} if heading or inside or words & _OWN else set()):
+            return True
+    return False
 
 
 def blocks(html: str) -> tuple[list[tuple[str, str, int]], dict[str, list[float]]]:
@@ -136,7 +143,8 @@ def blocks(html: str) -> tuple[list[tuple[str, str, int]], dict[str, list[float]
         attributes = _attributes(m[3])
         path = stack[-1][1] if stack else ""
         # a header inside an article holds its title; one outside is the page's
-        dropped = bool(stack and stack[-1][2]) or _noise(tag, attributes) or (tag == "header" and not any(x[0] in ("article", "main") for x in stack))
+        inside = any(x[0] in ("article", "main") for x in stack)
+        dropped = bool(stack and stack[-1][2]) or _noise(tag, attributes, inside) or (tag == "header" and not inside)
         if tag in CONTAINERS:
             classes = ".".join(sorted(re.sub(r"\d+", "0", c) for c in attributes.get("class", "").split()))
             path = f"{path}>{tag}{'.' + classes if classes else ''}"

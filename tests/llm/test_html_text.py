@@ -68,3 +68,34 @@ def test_articles_of_several_containers_are_kept_whole():
     assert text(f"<body><section class=intro><p>{one}</p></section><section class=main><p>{two}</p></section></body>") == f"{one.strip()}\n{two.strip()}"
     links = "<p><a href=/x>" + "link " * 40 + "</a></p>"
     assert text(f"<main><article><p>{c}</p></article><div class=more>{links}</div></main>") == c.strip()
+
+
+def test_class_words_of_regions_and_of_articles():
+    main = "<p>" + "story " * 50 + "</p>"
+    body = ("story " * 50).strip()
+    assert text(f'<body><article>{main}</article><div class="SIDEBAR"><p>other</p></div><div id="mainNAV"><p>menu</p></div></body>') == body
+    assert text(f'<article><p>on <span class="social">social</span> <em class="comment">life</em></p>{main}</article>') == f"on social life\n{body}"
+    assert text(f'<article><div class="entry-header"><h1>Title</h1></div>{main}</article>') == f"Title\n{body}"
+    assert text(f'<div class="post"><div class="post-header"><h1>Title</h1></div>{main}</div><div class="site-header"><p>Site</p></div>') == f"Title\n{body}"
+    assert text(f"<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>{main}</article>") == f"so x=2 holds\n{body}"
+    assert text("<article><div class=a><p>" + "one " * 100 + "</p></div><div class=b><p>" + "two " * 60 + "</p></div></article>").split() == ["one"] * 100 + ["two"] * 60
+
+
+def test_votes_against_a_plain_count(spark):
+    import random
+
+    rnd, rows = random.Random(3), []
+    for i in range(120):
+        parts = [f'<div class="{c}{rnd.randint(0, 9)}"><p>{" ".join(rnd.choice(["a", "bb", "<a href=x>l</a>"]) for _ in range(rnd.randint(0, 30)))}</p></div>' for c in rnd.sample("pqrs", rnd.randint(1, 4))]
+        rows.append((i, f"https://h{i % 5}.example/{i}", f"<html><body>{''.join(parts)}</body></html>"))
+    votes = {}
+    for _, url, page in rows:
+        _, scores = H.blocks(page)
+        best = max((x[0] for x in scores.values()), default=0)
+        for p, (s,) in scores.items():
+            if best > 0 and s > 0:
+                host = votes.setdefault(url.split("/")[2], {})
+                host[p] = host.get(p, 0) + s / best
+    won = {h: max(v, key=lambda p: (round(v[p], 5), p)) for h, v in votes.items()}
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: text(page, won.get(url.split("/")[2])) for i, url, page in rows}
