@@ -12,9 +12,9 @@ among tasks.  Contexts that are alone under their key hold no repeat, unless the
 other distinct contexts fetch their bytes.  (4) By key, contexts are concatenated, and the transform's intervals are
 extended backwards, one common-prefix value per level, up to LENGTH - 1: suffixes that no level has parted share a window, and
 all but the earliest of these are repeats.  Keys with more than HOT contexts skip (4): their windows are dealt out and compared
-one by one, by 128-bit hashes, so no group has to fit a task.
+one by one, by two 64-bit hashes each, so no group has to fit a task.
 
-Equal contexts are recognised by 128 bits of hash (key and context hash); all other windows are compared as bytes.
+Equal contexts under one key are recognised by 64 bits of BLAKE2b, which no text is known to defeat; all other windows are compared as bytes.
 """
 
 from __future__ import annotations
@@ -72,7 +72,8 @@ def runs(data: np.ndarray, offsets: np.ndarray):
         first = np.unique(np.concatenate([first, *extra]))
         count = np.diff(np.r_[first, len(p)])
     start, v = p[first], m[first]
-    c = K.spans_hash(sums, start, start + count + LENGTH - 1)
+    raw = data.tobytes()
+    c = np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(start.tolist(), (start + count + LENGTH - 1).tolist())]), np.uint64)
     # how often the key occurs in the context: places that are the least of some window
     high = _sliding(np.r_[np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)], width, np.maximum)
     places = np.flatnonzero(high == gram)
@@ -144,19 +145,11 @@ def _list_runs(batches):
 
 
 def _meet(rows):
-    """(2) on arrays: (spans of repeats, rows of contexts to compare)."""
+    """Spans of repeats among rows of windows, all of them at hand."""
     v, c, doc, p, n = rows
-    known = n < 0
-    parts = [(v[known], c[known], doc[known], p[known], n[known])]
-    v, c, doc, p, n = (x[~known] for x in rows)
     order, new = earliest(v, c, doc, p)
     again = order[~new]
-    parts.append(_spans(doc[again], p[again], n[again]))
-    rep = order[new]
-    rv = v[rep]
-    same = np.r_[False, rv[1:] == rv[:-1]] if len(rv) else np.zeros(0, bool)
-    ask = rep[same | np.r_[same[1:], False] | (n[rep] >= REPEATS_INSIDE)] if len(rv) else rep
-    return parts, (v[ask], c[ask], doc[ask], p[ask], n[ask])
+    return _spans(doc[again], p[again], n[again])
 
 
 def _columns(batch):
@@ -164,10 +157,28 @@ def _columns(batch):
 
 
 def _reduce_runs(batches):
-    held = [_columns(b) for b in batches]
-    if held:
-        parts, ask = _meet([np.concatenate(x) for x in zip(*held)])
-        yield _batch(*parts, ask)
+    """(2): from rows in the order (v, c, doc, p) to spans of repeats and contexts to compare; holds one batch and one row."""
+    last, twin = None, False  # the latest first row of a context, and whether its key has an earlier context
+    for b in batches:
+        cols = _columns(b)
+        known = cols[4] < 0
+        out = [tuple(x[known] for x in cols)]
+        rows = [x[~known] for x in cols]
+        if last is not None:
+            rows = [np.r_[a, x] for a, x in zip(last, rows)]
+        v, c, doc, p, n = rows
+        if len(v):
+            new = np.r_[True, (v[1:] != v[:-1]) | (c[1:] != c[:-1])]
+            out.append(_spans(doc[~new], p[~new], n[~new]))
+            rep = np.flatnonzero(new)
+            same = v[rep][1:] == v[rep][:-1]
+            before, after = np.r_[twin, same], np.r_[same, False]
+            ask = rep[:-1][(before | after)[:-1] | (n[rep[:-1]] >= REPEATS_INSIDE)]
+            out.append(tuple(x[ask] for x in rows))
+            last, twin = [x[rep[-1:]] for x in rows], bool(before[-1])
+        yield _batch(*out)
+    if last is not None and (twin or last[4][0] >= REPEATS_INSIDE):
+        yield _batch(tuple(last))
 
 
 def shared_windows(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -259,8 +270,9 @@ def _compare(batches):
     if held:
         yield transform(held)
     if plain:
-        parts, _ = _meet([np.concatenate(x) for x in zip(*plain)])
-        yield _batch(*parts)
+        known = [np.concatenate(x) for x in zip(*plain)]
+        spans = known[4] < 0
+        yield _batch(tuple(x[spans] for x in known), _meet([x[~spans] for x in known]))
 
 
 def _fetch(batches):
@@ -297,7 +309,7 @@ def _fetch(batches):
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc, start, end) byte ranges to remove, possibly touching, from rows (doc, text) with distinct doc numbers."""
     schema = "v long, c long, doc long, p int, n int"
-    listed = docs.mapInArrow(_list_runs, schema).repartition("v").mapInArrow(_reduce_runs, schema)
+    listed = docs.mapInArrow(_list_runs, schema).repartition("v").sortWithinPartitions("v", "c", "doc", "p").mapInArrow(_reduce_runs, schema)
     met = written(listed, "runs")
     asked = met.where("n > 0")
     hot = written(asked.groupBy("v").count().where(F.col("count") > HOT).select("v", F.lit(True).alias("hot")), "hot")
