@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a narrow table (two or three numbers a row) that may be broadcast; beyond it a shuffle join is planned.
@@ -104,3 +105,39 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
+
+
+def open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, id, root): the rows of members (band, id) whose bucket holds more than one component; an id without a link is its own root."""
+    rooted = members.join(maybe_broadcast(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    return written(rooted.join(mixed, "band"), "open")
+
+
+def bucket_links(rows: DataFrame, similar: Callable[[str, str], Column], passes: int = 2) -> DataFrame:
+    """Links (a, b) that, with those known, join all similar ids of each bucket, from rows (band, id, root, and what similar reads).
+
+    similar(x, y) is the exact test on columns with these prefixes.  It is part of the joins' conditions, so what is compared never leaves a
+    join.  First the members of a bucket are held against its largest component by a semi-join: one link each is enough,
+    and that component is then done with.  What is left after some such passes is joined with itself, where roots differ.
+    """
+    names = [c for c in rows.columns if c not in ("band", "root")]
+    part = lambda df, s: df.select("band", *[F.col(c).alias(s + c) for c in (*names, "root")])
+    links = None
+    for _ in range(passes):
+        sizes = rows.groupBy("band", "root").agg(F.count("*").alias("n"))
+        most = written(sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("most")), "most")
+        tagged = rows.join(maybe_broadcast(most), "band")
+        x = part(tagged.where(F.col("root") != F.col("most")), "x")
+        y = part(tagged.where(F.col("root") == F.col("most")), "y")
+        hit = x.join(y, (x["band"] == y["band"]) & similar("x", "y"), "left_semi").select("band", F.col("xid").alias("id"))
+        hit = written(hit.join(maybe_broadcast(most), "band").select("band", "id", F.col("most").alias("to")), "hits")
+        links = hit.select(F.col("id").alias("a"), F.col("to").alias("b")) if links is None else links.union(hit.select(F.col("id").alias("a"), F.col("to").alias("b")))
+        rest = tagged.where(F.col("root") != F.col("most")).drop("most")
+        rows = rest.join(maybe_broadcast(hit), ["band", "id"], "left").withColumn("root", F.coalesce("to", "root")).drop("to")
+        rows = written(rows, "rest")
+        if not rows_of(rows):
+            return links.distinct()
+    x, y = part(rows, "x"), part(rows, "y")
+    both = x.join(y, (x["band"] == y["band"]) & (F.col("xid") < F.col("yid")) & (F.col("xroot") != F.col("yroot")) & similar("x", "y"))
+    return links.union(both.select(F.col("xid").alias("a"), F.col("yid").alias("b"))).distinct()

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import kernels as K
-from folioflow.llm.common import components, maybe_broadcast, rows_of, written
+from folioflow.llm.common import bucket_links, components, maybe_broadcast, open_buckets, rows_of, written
 
 THRESHOLD = 0.8
 WIDTH = 5
@@ -228,29 +228,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return _ends(dealt.mapInArrow(_verify(threshold), "a1 long, a2 long, b1 long, b2 long").distinct())
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of members whose bucket holds more than one component, with the root of each line (itself, if it has no link)."""
-    of = written(roots.groupBy(F.col("id.l1").alias("l1")).agg(F.min("root").alias("r")), "of")
-    rooted = members.join(maybe_broadcast(of), "l1", "left").withColumn("root", F.coalesce("r", F.struct("l1", F.lit(None).cast("long").alias("l2")))).drop("r")
-    open_ = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    return written(rooted.join(open_, "band"), "open")
+def _similar(threshold: float):
+    """The Jaccard index of two lines' sets of shingles."""
 
+    def test(x: str, y: str) -> Column:
+        m, both = [F.size(f"{s}g") for s in (x, y)], F.size(F.array_intersect(f"{x}g", f"{y}g"))
+        return (F.least(*m) >= threshold * F.greatest(*m)) & (both >= threshold * (m[0] + m[1] - both))
 
-def _rest(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between lines of one bucket in different components.
-
-    The exact index is part of the join's condition: what is compared never leaves the join, only links do.  Two lines that share
-    several buckets are compared in the least of them only.
-    """
-    mine = written(mixed.groupBy("l1").agg(F.collect_set("band").alias("bands"), F.min("root").alias("root")), "asked")
-    sets = texts.join(maybe_broadcast(mine.select("l1")), "l1", "left_semi").select("l1", "l2", "line").mapInArrow(_with_sets, "l1 long, l2 long, g array<long>")
-    rows = written(sets.join(mine, "l1").withColumn("band", F.explode("bands")), "compared")
-    x, y = (rows.select(*[F.col(c).alias(f"{s}{c}") for c in rows.columns]) for s in "xy")
-    m, both = [F.size(f"{s}g") for s in "xy"], F.size(F.array_intersect("xg", "yg"))
-    near = (F.col("xband") == F.col("yband")) & (F.struct("xl1", "xl2") < F.struct("yl1", "yl2")) & (F.col("xroot") != F.col("yroot"))
-    near = near & (F.least(*m) >= threshold * F.greatest(*m)) & (F.array_min(F.array_intersect("xbands", "ybands")) == F.col("xband"))
-    links = x.join(y, near & (both >= threshold * (m[0] + m[1] - both)))
-    return _ends(links.select(F.col("xl1").alias("a1"), F.col("xl2").alias("a2"), F.col("yl1").alias("b1"), F.col("yl2").alias("b2")))
+    return test
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -273,10 +258,13 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = written(_verified(pairs, texts, threshold), "links")
     roots = written(components(links), "roots")
     # the centre has been compared with all others of its bucket
-    mixed = _open(star.select("band", "l1"), roots)
+    ids = asked.select(F.col("a1").alias("l1"), F.struct(F.col("a1").alias("l1"), F.col("a2").alias("l2")).alias("id"))
+    mixed = open_buckets(star.select("band", "l1").join(maybe_broadcast(written(ids, "ids")), "l1").select("band", "id"), roots)
     if rows_of(mixed):
-        more = written(_rest(mixed, texts, threshold), "rest")
-        roots = written(components(links.union(more)), "roots") if rows_of(more) else roots
+        few = written(mixed.select("id.l1", "id.l2").distinct(), "few")
+        sets = texts.join(maybe_broadcast(few), ["l1", "l2"], "left_semi").select("l1", "l2", "line").mapInArrow(_with_sets, "l1 long, l2 long, g array<long>")
+        sets = written(sets.select(F.struct("l1", "l2").alias("id"), "g"), "sets")
+        roots = written(components(links.union(bucket_links(mixed.join(sets, "id"), _similar(threshold)))), "roots")
     line = reps.select("l1", "l2", "first", "n", F.struct("l1", "l2").alias("id"))
     rooted = line.join(maybe_broadcast(roots), "id", "left")
     earliest = rooted.where("root is not null").groupBy("root").agg(F.min("first").alias("best"))

@@ -6,12 +6,12 @@ counts of one side are all scaled, and equals the plain Jaccard index where no s
 ProbMinHash components agree is J_P.
 
 Steps: (1) one pass over the texts gives a digest, band hashes and a 4-bit sketch of the signature of each; (2) equal texts
-meet by digest and only the least id goes on; (3) each bucket's pivot, the member that shares most buckets with others, then a
-second one, is paired with the bucket's other members (a star, not all pairs), unless the sketches of the two differ in so many components
-that a similarity of THRESHOLD is out of reach (four standard deviations); (4) pairs are verified exactly, the pivot's text being
-sent once for up to MEMBERS others; (5) union-find; (6) members of one bucket that are in different components after
-that are compared inside a join by their shingles, so that only pairs that are similar enough (or may be, where shingles
-repeat) leave it; these are verified and joined.  So any two documents that share a bucket are in one component or have been compared.
+meet by digest and only the least id goes on; (3) each bucket's centre, the member that shares most buckets with others, is
+paired with the bucket's other members (a star, not all pairs), unless the sketches of the two differ in so many components
+that a similarity of THRESHOLD is out of reach (four standard deviations); (4) pairs are verified exactly, the centre's text being
+sent once for up to MEMBERS others; (5) union-find; (6) other members of one bucket that are in different components after
+that are compared inside joins by their shingles, so that only links leave them (where shingles repeat: pairs that
+may be links, which are then verified).  So any two documents that share a bucket are in one component or have been compared.
 """
 
 from __future__ import annotations
@@ -20,19 +20,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import kernels as K
-from folioflow.llm.common import components, maybe_broadcast, rows_of, small, written
+from folioflow.llm.common import bucket_links, components, maybe_broadcast, open_buckets, rows_of, small, written
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 #: Other members of a bucket that are verified against one copy of the pivot's text.
 MEMBERS = 256
-#: Stars of each bucket before what is left is compared.
-STARS = 2
 #: Of BANDS * ROWS components, so many differ in four bits at most for all but a few in 100,000 pairs of similarity THRESHOLD.
 DIFFER = 41
 SKETCH = [f"s{k}" for k in range(8)]
@@ -182,23 +180,25 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([ids, pa.array(lists, pa.list_(pa.int64())), pa.array([bool(x) for x in one], pa.bool_())], ["id", "g", "one"])
 
 
-def _rest(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that are, or may be, similar enough.
+def _similar(threshold: float):
+    """The index of two sets of shingles none of which repeats."""
 
-    The shingles are compared in the join's condition, so what is compared never leaves the join.  Without repeated shingles the condition is
-    the index itself; with them it is a bound: J_P is at most the common part over the lesser total.  Two documents that share
-    several buckets are compared in the least of them only.
+    def test(x: str, y: str) -> Column:
+        m, both = [F.size(f"{s}g") for s in (x, y)], F.size(F.array_intersect(f"{x}g", f"{y}g"))
+        return both >= threshold * (m[0] + m[1] - both)
+
+    return test
+
+
+def _may_link(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components that may be similar enough and of which one at least has repeated shingles.
+
+    J_P is at most the common part over the lesser total; that is tested inside the join.
     """
-    mine = written(mixed.groupBy("id").agg(F.collect_set("band").alias("bands"), F.min("root").alias("root")), "open")
-    asked = texts.join(F.broadcast(mine.select("id")) if small(mine) else mine.select("id"), "id", "left_semi")
-    sets = asked.mapInArrow(_sets, "id long, g array<long>, one boolean").join(mine, "id")
-    rows = written(sets.withColumn("band", F.explode("bands")), "compared")
     x, y = (rows.select(*[F.col(c).alias(f"{s}{c}") for c in rows.columns]) for s in "xy")
-    m, both = [F.size(f"{s}g") for s in "xy"], F.size(F.array_intersect("xg", "yg"))
-    near = (F.col("xband") == F.col("yband")) & (F.col("xid") < F.col("yid")) & (F.col("xroot") != F.col("yroot"))
-    near = near & (F.array_min(F.array_intersect("xbands", "ybands")) == F.col("xband"))
-    least = F.when(F.col("xone") & F.col("yone"), threshold * (m[0] + m[1] - both)).otherwise(threshold * F.least(*m))
-    return x.join(y, near & (both >= least)).select(F.col("xid").alias("a"), F.col("yid").alias("b")).distinct()
+    some = (F.col("xband") == F.col("yband")) & (F.col("xid") < F.col("yid")) & (F.col("xroot") != F.col("yroot")) & ~(F.col("xone") & F.col("yone"))
+    near = F.size(F.array_intersect("xg", "yg")) >= threshold * F.least(F.size("xg"), F.size("yg"))
+    return x.join(y, some & near).select(F.col("xid").alias("a"), F.col("yid").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -219,33 +219,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weights = written(buckets.groupBy("id").agg(F.sum("n").alias("w")), "weights")
     buckets = written(buckets.drop("n").join(maybe_broadcast(weights), "id"), "buckets")
     differ = " + ".join(f"bit_count({' | '.join(f'(p.s{2 * k + h} ^ y.s{2 * k + h})' for k in range(4))})" for h in (0, 1))
-    links, mixed = None, buckets.withColumn("root", F.col("id"))
-    for star in range(STARS):
-        order = F.struct("w", "id") if star == 0 else F.struct(F.xxhash64("id", F.lit(star)))
-        pivots = mixed.groupBy("band").agg(F.max_by(F.struct("id", "root", *SKETCH), order).alias("p")).select("band", "p.*")
-        pairs = pivots.alias("p").join(mixed.alias("y"), F.expr(f"p.band = y.band and p.root <> y.root and {differ} <= {DIFFER}"))
-        pairs = written(pairs.select(F.col("p.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
-        links, mixed = _joined(buckets, links, verified(pairs, rows, threshold))
-        if not rows_of(mixed):
-            break
-    else:
-        pairs = written(_rest(mixed.select("band", "id", "root"), rows, threshold), "pairs")
-        if rows_of(pairs):
-            links, _ = _joined(buckets, links, verified(pairs, rows, threshold))
+    centre = buckets.groupBy("band").agg(F.max_by(F.struct("id", *SKETCH), F.struct("w", "id")).alias("p")).select("band", "p.*")
+    met = centre.alias("p").join(buckets.alias("y"), F.expr("p.band = y.band and p.id <> y.id"))
+    star = written(met.select("p.band", F.col("p.id").alias("a"), F.col("y.id").alias("b"), F.expr(f"{differ} <= {DIFFER}").alias("near")), "star")
+    links = written(verified(star.where("near").select("a", "b").distinct(), rows, threshold).select(*_ordered()), "links")
+    roots = written(components(links), "roots")
+    # the centre has been compared with all others of its bucket
+    mixed = open_buckets(star.select("band", F.col("b").alias("id")), roots)
+    if rows_of(mixed):
+        asked = written(mixed.select("id").distinct(), "asked")
+        sets = written(rows.join(maybe_broadcast(asked), "id", "left_semi").mapInArrow(_sets, "id long, g array<long>, one boolean"), "sets")
+        # between documents without repeated shingles the join's own test is exact
+        links = links.union(bucket_links(mixed.join(sets.where("one"), "id").drop("one"), _similar(threshold)))
+        if sets.where("not one").limit(1).count():
+            links = written(links, "links")
+            mixed = open_buckets(mixed.select("band", "id"), written(components(links), "roots"))
+            pairs = written(_may_link(mixed.join(sets, "id"), threshold), "pairs")
+            links = links.union(verified(pairs, rows, threshold).select(*_ordered()))
+    links = written(links, "links")
     copies = member.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     roots = written(components(links.union(copies)), "roots")
     ids = member.select("id").distinct()
     return ids.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("class_id"))
 
 
-def _joined(buckets: DataFrame, links: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All links so far, and the rows of buckets that hold more than one component of them, with the root of each document."""
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = written((found if links is None else links.union(found)).distinct(), "links")
-    roots = written(components(links), "roots")
-    rooted = buckets.join(maybe_broadcast(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_ = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    return links, written(rooted.join(open_, "band"), "mixed")
+def _ordered() -> tuple[Column, Column]:
+    return F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -104,3 +104,17 @@ def test_recall_by_similarity():
             met.setdefault((length, int(s * 20) / 20), []).append(bool(sets[2 * k] & sets[2 * k + 1]))
     rates = {k: sum(v) / len(v) for k, v in sorted(met.items()) if len(v) >= 100}
     assert len(rates) > 12 and min(rates.values()) >= 0.9, rates
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Some lines are similar to the common one, some only to other copies, some to none."""
+    rnd = random.Random(21)
+    base = [rnd.choice("abcdefghijklmnopqr    ") for _ in range(300)]
+    rows = []
+    for i in range(80):
+        w = list(rnd.choice([base, base, list(rows[-1][1])] if rows else [base]))
+        for _ in range(rnd.choice([1, 3, 5, 7, 9, 12])):
+            w[rnd.randrange(len(w))] = rnd.choice("abcdefghijklmnopqr ")
+        rows.append((i, "".join(w)))
+    got = {r.doc_id: r.text for r in L.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == brute(rows) and 3 < sum(x != "" for x in got.values()) < 60

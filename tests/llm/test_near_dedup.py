@@ -101,3 +101,25 @@ def test_components_agree_at_the_rate_of_the_similarity():
     slow = j_p(Counter(dict(zip(h[:50].tolist(), a[:50].tolist()))), Counter(dict(zip(h[10:].tolist(), b[10:].tolist()))))
     assert abs(exact - slow) < 1e-12
     assert abs((sig[0] == sig[1]).mean() - exact) < 0.02
+
+
+def dense(seed, n=70, repeat=False):
+    """Copies of one text with more and fewer changes: some are similar to the text, some only to other copies, some to none."""
+    rnd = random.Random(seed)
+    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7))) for _ in range(900)]
+    base = [rnd.choice(vocabulary) for _ in range(250)]
+    base = base[:30] * 2 + base[60:] if repeat else base
+    rows = []
+    for i in range(n):
+        w = list(rnd.choice([base, base, rows[-1][1].split()] if rows else [base]))
+        for _ in range(rnd.choice([1, 2, 4, 5, 7, 9])):
+            w[rnd.randrange(len(w))] = rnd.choice(vocabulary)
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("repeat", [False, True])
+def test_a_large_group_of_near_copies(spark, repeat):
+    rows = dense(11, repeat=repeat)
+    got = {r.id: r.class_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and len(set(got.values())) > 3
