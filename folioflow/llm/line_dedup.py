@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import kernels as K
-from folioflow.llm.common import bucket_links, components, maybe_broadcast, open_buckets, rows_of, written
+from folioflow.llm.buckets import bucket_links, open_buckets
+from folioflow.llm.common import components, maybe_broadcast, rows_of, written
 
 THRESHOLD = 0.8
 WIDTH = 5
@@ -192,14 +193,6 @@ def _verify(threshold: float):
     return run
 
 
-def _with_sets(batches):
-    """(l1, l2, g) from (l1, l2, line)."""
-    for batch in batches:
-        sets = _sets(batch.column(2))
-        lists = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["l1", "l2", "g"])
-
-
 def _place() -> Column:
     """Place of an occurrence as one number that sorts by document (null last), then line; it fits a hash aggregate's row."""
     doc = F.coalesce(F.col("doc").cast("decimal(38,0)"), F.lit(str(2**63)).cast("decimal(38,0)"))
@@ -228,14 +221,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return _ends(dealt.mapInArrow(_verify(threshold), "a1 long, a2 long, b1 long, b2 long").distinct())
 
 
-def _similar(threshold: float):
-    """The Jaccard index of two lines' sets of shingles."""
-
-    def test(x: str, y: str) -> Column:
-        m, both = [F.size(f"{s}g") for s in (x, y)], F.size(F.array_intersect(f"{x}g", f"{y}g"))
-        return (F.least(*m) >= threshold * F.greatest(*m)) & (both >= threshold * (m[0] + m[1] - both))
-
-    return test
+def _weighted(texts) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(h, np.ones(len(h), np.int64)) for h in _sets(texts)]
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -261,10 +248,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids = asked.select(F.col("a1").alias("l1"), F.struct(F.col("a1").alias("l1"), F.col("a2").alias("l2")).alias("id"))
     mixed = open_buckets(star.select("band", "l1").join(maybe_broadcast(written(ids, "ids")), "l1").select("band", "id"), roots)
     if rows_of(mixed):
-        few = written(mixed.select("id.l1", "id.l2").distinct(), "few")
-        sets = texts.join(maybe_broadcast(few), ["l1", "l2"], "left_semi").select("l1", "l2", "line").mapInArrow(_with_sets, "l1 long, l2 long, g array<long>")
-        sets = written(sets.select(F.struct("l1", "l2").alias("id"), "g"), "sets")
-        roots = written(components(links.union(bucket_links(mixed.join(sets, "id"), _similar(threshold)))), "roots")
+        found = bucket_links(mixed, texts.select(F.struct("l1", "l2").alias("id"), F.col("line").alias("text")), _weighted, threshold)
+        roots = written(components(links.union(found)), "roots")
     line = reps.select("l1", "l2", "first", "n", F.struct("l1", "l2").alias("id"))
     rooted = line.join(maybe_broadcast(roots), "id", "left")
     earliest = rooted.where("root is not null").groupBy("root").agg(F.min("first").alias("best"))

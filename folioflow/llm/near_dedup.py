@@ -10,8 +10,7 @@ meet by digest and only the least id goes on; (3) each bucket's centre, the memb
 paired with the bucket's other members (a star, not all pairs), unless the sketches of the two differ in so many components
 that a similarity of THRESHOLD is out of reach (four standard deviations); (4) pairs are verified exactly, the centre's text being
 sent once for up to MEMBERS others; (5) union-find; (6) other members of one bucket that are in different components after
-that are compared inside joins by their shingles, so that only links leave them (where shingles repeat: pairs that
-may be links, which are then verified).  So any two documents that share a bucket are in one component or have been compared.
+that are compared too, by the same index, block by block.  So any two documents that share a bucket are in one component or have been compared.
 """
 
 from __future__ import annotations
@@ -24,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import kernels as K
-from folioflow.llm.common import bucket_links, components, maybe_broadcast, open_buckets, rows_of, small, written
+from folioflow.llm.buckets import bucket_links, open_buckets, probability_jaccard
+from folioflow.llm.common import components, maybe_broadcast, rows_of, small, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -66,24 +66,6 @@ def prob_minhash(text: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, si
     return value.reshape(n, size)
 
 
-def probability_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
-    """J_P of two weighted sets with sorted distinct hashes; 0 where one is empty."""
-    if not len(ha) or not len(hb):
-        return 0.0
-    both, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    if not len(both):
-        return 0.0
-    if wa.max() == wa.min() and wb.max() == wb.min():
-        return len(both) / (len(ha) + len(hb) - len(both))
-    a, b = wa[i].astype(np.float64), wb[j].astype(np.float64)
-    order = np.argsort(b / a, kind="stable")
-    a, b = a[order], b[order]
-    upto = np.searchsorted(b / a, b / a, "right")
-    below = np.r_[0.0, np.cumsum(a)][upto] + (wa.sum() - a.sum())
-    above = wb.sum() - np.r_[0.0, np.cumsum(b)][upto]
-    return float((1.0 / (below / a + above / b)).sum())
-
-
 def _signatures(batches):
     planes = np.uint64(1) << np.arange(64, dtype=np.uint64)
     for batch in batches:
@@ -122,26 +104,18 @@ def _verify(threshold: float):
     def run(batches):
         pivot: tuple = (None, [])
         for batch in batches:
-            data, offsets = K.buffers(batch.column("text"))
             role, a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("role", "a", "b"))
             out = []
-            for i, j in K.chunks(offsets):
-                o = offsets[i : j + 1]
-                h, t = K.text_shingles(data[o[0] : o[-1]], o - o[0], WORDS)
-                t, h, w = K.counted(h, t)
-                cut = np.searchsorted(t, np.arange(j - i + 1))
-                for k in range(j - i):
-                    mine = (h[cut[k] : cut[k + 1]], w[cut[k] : cut[k + 1]])
-                    if role[i + k] == 0:
-                        pivot = (a[i + k], pivot[1] if pivot[0] == a[i + k] else [])
-                        pivot[1].append((mine[0].copy(), mine[1].copy()))
-                    elif pivot[0] == a[i + k]:
-                        s = max(probability_jaccard(*one, *mine) for one in pivot[1])
-                        if s >= threshold:
-                            out.append((a[i + k], b[i + k], s))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["a", "b", "similarity"]
-            )
+            for k, mine in enumerate(_sets(batch.column("text"))):
+                if role[k] == 0:
+                    pivot = (a[k], pivot[1] if pivot[0] == a[k] else [])
+                    pivot[1].append((mine[0].copy(), mine[1].copy()))
+                elif pivot[0] == a[k]:
+                    s = max(probability_jaccard(*one, *mine) for one in pivot[1])
+                    if s >= threshold:
+                        out.append((a[k], b[k], s))
+            cols = list(zip(*out)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
 
     return run
 
@@ -163,42 +137,17 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
     return dealt.mapInArrow(_verify(threshold), "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
 
-def _sets(batches):
-    """(id, g, one): a hash for each shingle and each time it occurs again; whether none does."""
-    for batch in batches:
-        ids, (data, offsets) = batch.column(0), K.buffers(batch.column(1))
-        lists, one = [], []
-        for i, j in K.chunks(offsets):
-            o = offsets[i : j + 1]
-            h, t = K.text_shingles(data[o[0] : o[-1]], o - o[0], WORDS)
-            t, h, w = K.counted(h, t)
-            again = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-            flat = K.mix(np.repeat(h, w) + K.BASE * again.astype(np.uint64)).view(np.int64)
-            cut = np.r_[0, np.cumsum(w)][np.searchsorted(t, np.arange(j - i + 1))]
-            lists += [flat[cut[k] : cut[k + 1]] for k in range(j - i)]
-            one += list(np.maximum.reduceat(np.r_[w, 1], np.searchsorted(t, np.arange(j - i))) <= 1) if len(t) else [True] * (j - i)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(lists, pa.list_(pa.int64())), pa.array([bool(x) for x in one], pa.bool_())], ["id", "g", "one"])
-
-
-def _similar(threshold: float):
-    """The index of two sets of shingles none of which repeats."""
-
-    def test(x: str, y: str) -> Column:
-        m, both = [F.size(f"{s}g") for s in (x, y)], F.size(F.array_intersect(f"{x}g", f"{y}g"))
-        return both >= threshold * (m[0] + m[1] - both)
-
-    return test
-
-
-def _may_link(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that may be similar enough and of which one at least has repeated shingles.
-
-    J_P is at most the common part over the lesser total; that is tested inside the join.
-    """
-    x, y = (rows.select(*[F.col(c).alias(f"{s}{c}") for c in rows.columns]) for s in "xy")
-    some = (F.col("xband") == F.col("yband")) & (F.col("xid") < F.col("yid")) & (F.col("xroot") != F.col("yroot")) & ~(F.col("xone") & F.col("yone"))
-    near = F.size(F.array_intersect("xg", "yg")) >= threshold * F.least(F.size("xg"), F.size("yg"))
-    return x.join(y, some & near).select(F.col("xid").alias("a"), F.col("yid").alias("b")).distinct()
+def _sets(texts) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct shingles of each text, in order, and how often each occurs."""
+    data, offsets = K.buffers(texts)
+    out = []
+    for i, j in K.chunks(offsets):
+        o = offsets[i : j + 1]
+        h, t = K.text_shingles(data[o[0] : o[-1]], o - o[0], WORDS)
+        t, h, w = K.counted(h, t)
+        cut = np.searchsorted(t, np.arange(j - i + 1))
+        out += [(h[cut[k] : cut[k + 1]], w[cut[k] : cut[k + 1]]) for k in range(j - i)]
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -227,15 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the centre has been compared with all others of its bucket
     mixed = open_buckets(star.select("band", F.col("b").alias("id")), roots)
     if rows_of(mixed):
-        asked = written(mixed.select("id").distinct(), "asked")
-        sets = written(rows.join(maybe_broadcast(asked), "id", "left_semi").mapInArrow(_sets, "id long, g array<long>, one boolean"), "sets")
-        # between documents without repeated shingles the join's own test is exact
-        links = links.union(bucket_links(mixed.join(sets.where("one"), "id").drop("one"), _similar(threshold)))
-        if sets.where("not one").limit(1).count():
-            links = written(links, "links")
-            mixed = open_buckets(mixed.select("band", "id"), written(components(links), "roots"))
-            pairs = written(_may_link(mixed.join(sets, "id"), threshold), "pairs")
-            links = links.union(verified(pairs, rows, threshold).select(*_ordered()))
+        links = links.union(bucket_links(mixed, rows, _sets, threshold))
     links = written(links, "links")
     copies = member.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     roots = written(components(links.union(copies)), "roots")
