@@ -34,27 +34,32 @@ def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MARKED_SQL = f"{LINES_SQL}, marked as (select doc_id, pos, {MARK} as line from lines)"
 
-# laid-out lines: eight to a page, the first a header, the last a footer
+# laid-out lines, whole: eight to a page, the first a header, the fourth a title of some kind, the last a footer
 LAYOUT = {
     "doc_id": "doc_id",
     "page_index": "cast(floor(pos / 8.0) as int)",
     "line_seq": "cast(pos % 8 as int)",
     "text": """case when pos % 8 = 0 then 'Header of part ' || cast(doc_id % 3 as string) when pos % 8 = 7 then 'page ' || cast(cast(floor(pos / 8.0) as int) + 1 as string)
- when (doc_id + pos) % 6 = 1 then upper(substr(line, 1, 40)) when (doc_id + pos) % 6 = 2 then '2.' || cast(pos % 8 as string) || ' ' || substr(line, 1, 50) when (doc_id + pos) % 6 = 3 then 'A) ' || substr(line, 1, 30) else line end""",
+ when pos % 8 = 3 then case (doc_id + cast(floor(pos / 8.0) as int)) % 6 when 0 then 'Bloco 3' when 1 then 'CONTEUDO DA AULA ' || cast(doc_id % 50 as string) when 2 then '2.1 Tema ' || cast(doc_id as string) when 3 then 'B) Parte' when 4 then 'Sumário' else 'TEMAS' end
+ when (doc_id + pos) % 6 = 1 then upper(translate(line, 'ß', 's')) when (doc_id + pos) % 6 = 2 then '2.' || cast(pos % 8 as string) || ' ' || line when (doc_id + pos) % 6 = 3 then 'A) ' || line when (doc_id + pos) % 6 = 4 then '• ' || line else line end""",
     "size": "cast(10 + (doc_id + pos) % 4 as double)",
     "bold": "(doc_id + pos) % 5 = 0",
+    "centered": "(doc_id + pos) % 7 = 0",
+    "height": "cast(9 + (doc_id + pos) % 6 as double)",
     "x0": "cast(36 + 18 * (length(line) % 3) as double)",
     "x1": "cast(46 + 18 * (length(line) % 3) + (length(line) % 40) * 14 as double)",
     "y0": "cast(case when pos % 8 = 0 then 20 when pos % 8 = 7 then 760 else 60 + (pos % 8) * 14 + (length(line) % 4) * 10 end as double)",
 }
+# a list's marker and where the text behind it begins, as the sign at the line's beginning tells
+MARKERS = ["case when text like '• %' then '•' end as list_marker", "case when text like '• %' then x0 + 18 end as list_text_x"]
 WIDTH, HEIGHT = 612.0, 792.0
 
 
 def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).selectExpr(*[f"{e} as {c}" for c, e in LAYOUT.items()]).selectExpr("*", "y0 + size as y1")
+    return lines(spark, sf_dir).selectExpr(*[f"{e} as {c}" for c, e in LAYOUT.items()]).selectExpr("*", "y0 + size as y1", *MARKERS)
 
 
-LAYOUT_SQL = f"{LINES_SQL}, layout0 as (select {', '.join(f'{e} as {c}' for c, e in LAYOUT.items())} from lines), layout as (select *, y0 + size as y1 from layout0)"
+LAYOUT_SQL = f"{LINES_SQL}, layout0 as (select {', '.join(f'{e} as {c}' for c, e in LAYOUT.items())} from lines), layout as (select *, y0 + size as y1, {', '.join(MARKERS)} from layout0)"
 
 FIGURES = "select distinct doc_id, page_index, f as figure_seq, 30.0 + 200 * f as fx0, 70.0 as fy0, 240.0 + 200 * f as fx1, 120.0 + 20 * f as fy1 from {lines} where doc_id % 2 = 0"
 BOXES = "select distinct doc_id, page_index, 20.0 as tx0, 90.0 as ty0, 500.0 as tx1, 190.0 as ty1 from {lines} where doc_id % 3 = 0"

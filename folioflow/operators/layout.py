@@ -13,6 +13,9 @@ from folioflow.functions import text as T
 from folioflow.params import PARAMS
 
 PAGE = ["doc_id", "page_index"]
+# Signs of list items, titles of a summary.
+SIGNS = ("▪", "❖", "➢", "✓", "●", "○", "•", "◦", "=", "*", "+")
+SUMMARY = ("sumário", "roteiro de aula")
 
 
 def by_document(lines: DataFrame) -> DataFrame:
@@ -68,52 +71,158 @@ def upper_median(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.get(F.sort_array(F.collect_list("size")), F.floor(F.count("*") / 2).cast("int")).alias("median"))
 
 
+def with_median(lines: DataFrame) -> DataFrame:
+    """lines with the upper median of their document's sizes, by windows over the one partitioning by document."""
+    doc = Window.partitionBy("doc_id")
+    ranked = lines.withColumns({"__rank": F.row_number().over(doc.orderBy("size")), "__n": F.count("*").over(doc)})
+    return ranked.withColumn("median", F.max(F.when(F.col("__rank") == F.floor(F.col("__n") / 2) + 1, F.col("size"))).over(doc)).drop("__rank", "__n")
+
+
 def is_upper(c: Column) -> Column:
     return (F.upper(c) == c) & (F.lower(c) != c)
 
 
-def is_title(text: Column, bold: Column, size: Column, median: Column) -> Column:
-    """A heading by its text and style (without the page and centring variants)."""
-    t = T.strip(T.sub(text, r"\s+", " "))
+def plain_text(c) -> Column:
+    """A line's text with single blanks."""
+    return T.strip(T.sub(c, r"\s+", " "))
+
+
+def is_block_title(t: Column) -> Column:
+    return (F.lower(T.word(t)) == "bloco") & T.after(t, T.word(t)).rlike(r"^\s+[0-9]+$")
+
+
+def is_title(t: Column, bold: Column, size: Column, height: Column, centered: Column, page: Column, median: Column) -> Column:
+    """A heading by its text and style; capitals alone make none on the first page."""
     styled = bold | is_upper(t) | (size >= median * 1.12)
+    large = centered | (size >= median * 1.08) | (height >= F.greatest(F.lit(PARAMS.heading_min_height), median * 1.08))
     ended = t.rlike(r"[.!?:;]$") | t.rlike(r"[.!?]\s+[0-9A-Za-zÀ-ÿ_]{1,3}$")
     return (
         F.when((F.length(t) < 3) | (F.length(t) > 120) | ended, False)
-        .when(t.rlike(r"(?i)^bloco\s+[0-9]+$"), True)
-        .when(t.rlike(T.NUMERIC_HEADING), (F.length(t) <= 85) & styled)
-        .when(t.rlike(T.LETTER_HEADING), styled)
+        .when(is_block_title(t), True)
+        .when(T.numbered(t)["number"] != "", (F.length(t) <= 85) & styled)
+        .when(T.lettered(t) != "", styled)
         .when(bold, True)
-        .otherwise(is_upper(t) & (F.length(t) <= 60) & (size >= median * 1.08))
+        .otherwise((page != 0) & is_upper(t) & (F.length(t) <= 60) & large)
     )
 
 
-def heading_levels(lines: DataFrame) -> DataFrame:
-    """(doc_id, page_index, line_seq, level): the headings, numbered ones deeper with each dot."""
-    t = T.strip(T.sub("text", r"\s+", " "))
-    rows = lines.join(upper_median(lines), "doc_id").where(is_title(F.col("text"), F.col("bold"), F.col("size"), F.col("median")))
-    number = F.when(t.rlike(T.NUMERIC_HEADING), F.regexp_extract(t, T.NUMERIC_HEADING, 1)).when(t.rlike(T.LETTER_HEADING), F.regexp_extract(t, T.LETTER_HEADING, 1)).otherwise("")
-    dots = F.length(number) - F.length(F.replace(number, F.lit("."), F.lit("")))
-    return rows.select(*PAGE, "line_seq", F.least(F.lit(PARAMS.heading_max_level), PARAMS.heading_base_level + dots).alias("level"))
+def _title(median: Column) -> Column:
+    return is_title(F.col("t"), F.col("bold"), F.col("size"), F.col("height"), F.col("centered"), F.col("page_index"), median)
+
+
+def heading_levels(lines: DataFrame, width: float, height: float) -> DataFrame:
+    """(doc_id, page_index, line_seq, level): the headings.
+
+    The words of a summary and long capitals at the top of a page are of the first level, whatever their style; numbered titles go
+    deeper with each dot.
+    """
+    t = F.col("t")
+    rows = with_median(lines).withColumn("t", plain_text("text"))
+    first = F.lower(t).isin(*SUMMARY) | (is_upper(t) & (F.length(t) >= 12) & (F.col("y0") <= 0.18 * height) & (F.col("x1") - F.col("x0") <= 0.85 * width))
+    number = F.when(T.numbered(t)["number"] != "", T.numbered(t)["number"]).otherwise(T.lettered(t))
+    dots = F.when(is_block_title(t), 0).otherwise(F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))))
+    level = F.when(first, PARAMS.heading_base_level).when(_title(F.col("median")), F.least(F.lit(PARAMS.heading_max_level), PARAMS.heading_base_level + dots))
+    return rows.select(*PAGE, "line_seq", level.alias("level")).where("level is not null")
+
+
+def style_key() -> list[Column]:
+    return [(F.bround(F.col("size") * 2) / 2).alias("size"), F.col("bold"), F.col("centered")]
 
 
 def heading_styles(lines: DataFrame) -> DataFrame:
-    """(doc_id, size, bold, level): the styles of headings, ranked by size, then boldness."""
-    rows = lines.join(upper_median(lines), "doc_id").where(is_title(F.col("text"), F.col("bold"), F.col("size"), F.col("median")))
-    styles = rows.select("doc_id", (F.bround(F.col("size") * 2) / 2).alias("size"), "bold").distinct()
-    rank = F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("size"), F.desc("bold")))
+    """(doc_id, size, bold, centered, level): the styles of headings, ranked by size, then boldness, then centring."""
+    rows = with_median(lines).withColumn("t", plain_text("text")).where(_title(F.col("median")))
+    styles = rows.select("doc_id", *style_key()).distinct()
+    rank = F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("size"), F.desc("bold"), F.desc("centered")))
     return styles.withColumn("level", F.least(F.lit(PARAMS.heading_max_level), PARAMS.heading_base_level - 1 + rank))
 
 
 def paragraphs(lines: DataFrame, width: float) -> DataFrame:
-    """lines with paragraph: on a page a line goes on the one before if style, left edge, gap, right edge and ending allow it."""
+    """lines with paragraph: on a page a line goes on the one before if both are plain text of one style, and left edge (that of the text
+    behind a list's marker), gap, right edge and ending allow it."""
     w = Window.partitionBy(*PAGE).orderBy("y0", "x0", "line_seq")
+    rows = lines.withColumn("t", plain_text("text")).withColumns({"heads": _title(F.lit(0.0)), "style": F.struct(*style_key()), "left": F.coalesce("list_text_x", "x0")})
     prev = lambda c: F.lag(c).over(w)
     goes = (
-        (prev("size") == F.col("size")) & (prev("bold") == F.col("bold")) & (F.abs(F.col("x0") - prev("x0")) <= PARAMS.paragraph_left_tolerance)
-        & (F.col("y0") - prev("y1") <= PARAMS.paragraph_gap_factor * F.col("size")) & (prev("x1") >= PARAMS.paragraph_right_edge * width) & ~prev("text").rlike(r"[.!?:]$")
+        F.col("list_marker").isNull() & ~prev("heads") & ~F.col("heads") & (prev("style") == F.col("style"))
+        & (F.abs(F.col("x0") - prev("left")) <= PARAMS.paragraph_left_tolerance)
+        & (F.col("y0") - prev("y1") <= PARAMS.paragraph_gap_factor * prev("height")) & (prev("x1") >= PARAMS.paragraph_right_edge * width) & ~T.strip(prev("text")).rlike(r"[.!?:]$")
     )
-    rows = lines.withColumn("starts", ~F.coalesce(goes, F.lit(False)))
-    return rows.withColumn("paragraph", F.sum(F.col("starts").cast("int")).over(w)).drop("starts")
+    rows = rows.withColumn("starts", ~F.coalesce(goes, F.lit(False)))
+    return rows.withColumn("paragraph", F.sum(F.col("starts").cast("int")).over(w)).drop("starts", "t", "heads", "style", "left")
+
+
+def summary_state(lines: DataFrame) -> DataFrame:
+    """lines with in_summary: the outline lines that follow a summary's title on its page without a break; they are no headings."""
+    w = Window.partitionBy(*PAGE).orderBy("y0", "x0", "line_seq")
+    t = plain_text("text")
+    rows = lines.withColumn("opens", F.lower(t) == SUMMARY[0]).withColumn("run", F.sum(F.col("opens").cast("int")).over(w))
+    inside = Window.partitionBy(*PAGE, "run").orderBy("y0", "x0", "line_seq")
+    rows = rows.withColumn("breaks", F.sum((~F.col("opens") & ~t.rlike(T.OUTLINE)).cast("int")).over(inside))
+    return rows.withColumn("in_summary", (F.col("run") > 0) & ~F.col("opens") & (F.col("breaks") == 0)).drop("opens", "run", "breaks")
+
+
+def is_degenerate(text: Column, x0: Column, x1: Column) -> Column:
+    """Lines without text or hardly any width are none."""
+    return (T.strip(text) == "") | (x1 - x0 <= 2)
+
+
+def bullet(text) -> Column:
+    """struct<marker, text> of a line that begins with a list's sign, or what a scan makes of one; marker is null for others."""
+    line = F.ltrim(F.col(text) if isinstance(text, str) else text, F.lit(" \t"))
+    head = T.word(line)
+    rest = T.strip(T.after(line, head))
+    piped = (head == "*") & (T.word(rest) == "|")
+    body = F.when(piped, T.strip(F.substr(rest, F.lit(2)))).otherwise(rest)
+    marker = F.when(piped | (head == "*|"), "* |").when(head.isin(*SIGNS) | (F.upper(head) == "QO)"), head)
+    return F.struct(F.when(body != "", marker).alias("marker"), body.alias("text"))
+
+
+def list_marker(spans, text: Column, x0: Column) -> Column:
+    """struct<marker, text_x>: a sign in a span of its own some way before the text, a typewriter's o, or a line's leading sign; null for others."""
+    seen = F.filter(spans, lambda s: F.trim(s["text"]) != "")
+    first, second = F.get(seen, F.lit(0)), F.get(seen, F.lit(1))
+    courier = lambda s: F.contains(F.lower(F.coalesce(s["font"], F.lit(""))), F.lit("courier"))
+    sign = F.trim(first["text"])
+    own = (F.size(seen) >= 2) & (second["bbox"]["x0"] - first["bbox"]["x1"] >= 6) & (sign.isin(*SIGNS) | ((F.lower(sign) == "o") & courier(first)))
+    typed = text.rlike(r"^o\s+\S") & F.exists(seen, courier)
+    led = bullet(text)["marker"]
+    pair = lambda m, x: F.struct(m.alias("marker"), x.alias("text_x"))
+    return F.when(own, pair(sign, second["bbox"]["x0"])).when(typed, pair(F.lit("o"), first["bbox"]["x0"] + 18)).when(led.isNotNull(), pair(led, x0 + 18))
+
+
+def styled_spans(spans, size: Column) -> Column:
+    """The text of spans with notes' numbers as [^n], bold and italics; a blank where a gap parts two spans."""
+
+    def step(acc, s):
+        gap = s["bbox"]["x0"] - acc["x1"]
+        blank = F.coalesce((gap > F.greatest(F.lit(0.5), 0.06 * size)) & (acc["t"] != "") & ~acc["t"].rlike(r"[ \t]$") & ~s["text"].rlike(r"^[ \t]"), F.lit(False))
+        flag = lambda bit: s["flags"].bitwiseAND(F.lit(bit)) > 0
+        bold = F.when(flag(16), F.concat(F.lit("**"), s["text"], F.lit("**"))).otherwise(s["text"])
+        value = F.when(flag(1) & F.trim(s["text"]).rlike("^[0-9]+$"), F.concat(F.lit("[^"), F.trim(s["text"]), F.lit("]"))).when(flag(2), F.concat(F.lit("*"), bold, F.lit("*"))).otherwise(bold)
+        return F.struct(F.concat(acc["t"], F.when(blank, " ").otherwise(""), value).alias("t"), s["bbox"]["x1"].alias("x1"))
+
+    state = F.struct(F.lit("").alias("t"), F.lit(None).cast("double").alias("x1"))
+    return T.strip(F.aggregate(F.filter(spans, lambda s: s["text"] != ""), state, step)["t"])
+
+
+def roman_of_scan(text: Column) -> Column:
+    """Il, IIl and lll before a dash at a line's beginning are the numerals II and III."""
+    head = F.regexp_extract(text, "^([Il]+)", 1)
+    fixed = F.when(head == "Il", "II").when(head.isin("IIl", "lll"), "III")
+    return F.when(fixed.isNotNull() & T.after(text, head).rlike(r"^\s*[-–—]\s"), F.concat(fixed, T.after(text, head))).otherwise(text)
+
+
+def formatted(spans, text: Column, marker: Column, x0: Column, size: Column, origin: Column) -> Column:
+    """A line as Markdown: list items indented by their distance from the page's list origin, other lines with the styles of their spans."""
+    bare = T.strip(text)
+    level = F.greatest(F.lit(0), F.least(F.lit(5), F.bround((x0 - origin) / PARAMS.list_indent).cast("int")))
+    led = bullet(bare)
+    item = F.when(led["marker"].isNotNull(), led["text"]).otherwise(T.strip(T.after(bare, T.word(bare))))
+    listed = F.rtrim(F.concat(F.repeat(F.lit("  "), level), F.lit("- "), item))
+    whole = F.when(F.size(spans) > 0, styled_spans(spans, size)).otherwise(bare)
+    sign = bullet(whole)
+    return F.when(marker.isNotNull(), listed).otherwise(roman_of_scan(F.when(sign["marker"].isNotNull(), F.concat(F.lit("- "), sign["text"])).otherwise(whole)))
 
 
 def reading_order(lines: DataFrame) -> DataFrame:
@@ -159,7 +268,7 @@ def strips(rows: DataFrame) -> DataFrame:
 
 
 def line_records(spans: DataFrame, width: float) -> DataFrame:
-    """Line fields from an array column spans: text, size, height, bold, any_bold, italic, centered."""
+    """Line fields from an array column spans: text, size, height, bold, any_bold, italic, centered, list_marker, list_text_x, and the spans."""
     seen = F.filter("spans", lambda s: F.trim(s["text"]) != "")
     state = F.struct(F.lit("").alias("t"), F.lit(None).cast("double").alias("x1"))
 
@@ -173,8 +282,10 @@ def line_records(spans: DataFrame, width: float) -> DataFrame:
     y0, y1 = F.array_min(F.transform("spans", lambda s: s["bbox"]["y0"])), F.array_max(F.transform("spans", lambda s: s["bbox"]["y1"]))
     height = F.greatest(F.lit(1.0), y1 - y0)
     rest = [c for c in spans.columns if c != "spans"]
-    return spans.select(
-        *rest, T.strip(F.aggregate(F.filter("spans", lambda s: s["text"] != ""), state, step)["t"]).alias("text"), F.coalesce(F.array_max(F.transform(seen, lambda s: s["size"])), height).alias("size"), height.alias("height"),
+    out = spans.select(
+        *rest, "spans", T.strip(F.aggregate(F.filter("spans", lambda s: s["text"] != ""), state, step)["t"]).alias("text"), F.coalesce(F.array_max(F.transform(seen, lambda s: s["size"])), height).alias("size"), height.alias("height"),
         flag(16).alias("bold"), F.exists(seen, lambda s: s["flags"].bitwiseAND(F.lit(16)) > 0).alias("any_bold"), flag(2).alias("italic"), (F.abs((x0 + x1) / 2 - width / 2) <= 0.03 * width).alias("centered"),
         x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"),
     )
+    found = out.withColumn("m", list_marker("spans", F.col("text"), F.col("x0")))
+    return found.withColumns({"list_marker": F.col("m.marker"), "list_text_x": F.col("m.text_x")}).drop("m")

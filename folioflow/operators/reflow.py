@@ -15,13 +15,18 @@ def islands(rows: DataFrame, start: Column, key: list[str], order: str, name: st
     return rows.withColumn(name, F.sum(start.cast("int")).over(w) - F.first(start.cast("int")).over(w))
 
 
-def reflow(lines: DataFrame, key: list[str] | None = None, pattern: str = T.BLOCK_START) -> DataFrame:
-    """(key, block_no, n_lines, text): blank lines go, a block begins at a structural line, the others are joined to it."""
+def reflow(lines: DataFrame, key: list[str] | None = None, handout: bool = False) -> DataFrame:
+    """(key, block_no, n_lines, text): blank lines go, a block begins at a structural line, the others are joined to it.
+
+    In handouts indented topics begin blocks too and keep two blanks before them.
+    """
     key = key or ["doc_id"]
     solid = lines.where(F.trim("line") != "")
-    marked = islands(solid, T.is_block_start(F.col("line"), pattern), key, "pos")
+    topic = T.is_indented_topic("line") if handout else F.lit(False)
+    marked = islands(solid.withColumn("topic", topic), T.is_block_start("line", handout) | F.col("topic"), key, "pos")
     parts = F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: T.strip(x["line"]))
-    return marked.groupBy(*key, "block_no").agg(F.count("*").alias("n_lines"), T.join_lines(parts).alias("text"))
+    indent = F.when(F.min_by("topic", "pos"), "  ").otherwise("")
+    return marked.groupBy(*key, "block_no").agg(F.count("*").alias("n_lines"), F.concat(indent, T.join_lines(parts)).alias("text"))
 
 
 def law_quotes(blocks: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -31,7 +36,7 @@ def law_quotes(blocks: DataFrame, key: list[str] | None = None) -> DataFrame:
     """
     key = key or ["doc_id"]
     opens = T.is_law_quote(F.col("text"))
-    goes = T.first_line(F.col("text")).rlike(T.LAW_GOES_ON) & ~F.col("text").rlike(r"^\s*(?:>|!\[)") & ~opens
+    goes = T.goes_on_law("text") & ~F.col("text").rlike(r"^\s*(?:>|!\[)") & ~opens
     w = Window.partitionBy(*key).orderBy("block_no")
     # a block goes on a quote if none but such blocks stand between it and the quote
     rows = blocks.withColumns({"opens": opens, "goes": goes}).withColumn("run", F.sum((~F.col("goes")).cast("int")).over(w))

@@ -11,7 +11,7 @@ from folioflow.params import PARAMS
 
 def is_header(cells: Column) -> Column:
     """All cells are filled, none is a list item, none is long."""
-    return F.forall(cells, lambda c: (F.trim(c) != "") & ~F.trim(c).rlike(T.ITEM_START) & (F.length(c) <= PARAMS.header_cell_chars))
+    return F.forall(cells, lambda c: (F.trim(c) != "") & ~T.is_cell_item(F.trim(c)) & (F.length(c) <= PARAMS.header_cell_chars))
 
 
 def continued(parts: DataFrame, key: str = "order_id") -> DataFrame:

@@ -11,6 +11,7 @@ class Params:
     ocr_min_chars: int = 30
     heading_base_level: int = 4
     heading_max_level: int = 6
+    heading_min_height: float = 10.0
     row_tolerance: float = 3.0
     paragraph_left_tolerance: float = 4.0
     paragraph_gap_factor: float = 1.6

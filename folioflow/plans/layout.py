@@ -19,9 +19,11 @@ HEADERS = f"headers as (select doc_id, {KEY} as key, count(distinct page_index)
 MEDIAN = "medians as (select doc_id, list_sort(list(size))[cast(floor(count(*) / 2) as int) + 1] as median from layout group by doc_id)"
 _T = sql_strip(sql_sub("text", r"\s+", " "))
 _UP = "(upper(t) = t and lower(t) <> t)"
+# a dotted number and what parts it from the title; a capital and a parenthesis
+NUMBERED, LETTERED = "'^[0-9]+(?:[.][0-9]+)*(?:[.]\\s+|\\s*[)—–-]\\s*|\\s+)\\S'", "'^[A-Z](?:[.][0-9]+)?[)]\\s+\\S'"
 TITLE = f"""(case when length(t) < 3 or length(t) > 120 or regexp_matches(t, '[.!?:;]$') or regexp_matches(t, '[.!?]\\s+[0-9A-Za-zÀ-ÿ_]{{1,3}}$') then false when regexp_matches(t, '(?i)^bloco\\s+[0-9]+$') then true
- when regexp_matches(t, {q(T.NUMERIC_HEADING)}) then length(t) <= 85 and (bold or {_UP} or size >= median * 1.12) when regexp_matches(t, {q(T.LETTER_HEADING)}) then (bold or {_UP} or size >= median * 1.12)
- when bold then true else {_UP} and length(t) <= 60 and size >= median * 1.08 end)"""
+ when regexp_matches(t, {NUMBERED}) then length(t) <= 85 and (bold or {_UP} or size >= median * 1.12) when regexp_matches(t, {LETTERED}) then (bold or {_UP} or size >= median * 1.12)
+ when bold then true else page_index <> 0 and {_UP} and length(t) <= 60 and (centered or size >= median * 1.08 or height >= greatest(10, median * 1.08)) end)"""
 TITLES = f"{LAY}, {MEDIAN}, titled as (select * from (select l.*, {_T} as t, median from layout l join medians using (doc_id)) where {TITLE})"
 
 
@@ -61,26 +63,45 @@ def upper_median_size(spark, d):
 
 
 def heading_level(spark, d):
-    return L.heading_levels(X.layout(spark, d)).select("doc_id", "page_index", "line_seq", F.col("level").cast("int").alias("level"))
+    return L.heading_levels(X.layout(spark, d), W, H).select("doc_id", "page_index", "line_seq", F.col("level").cast("int").alias("level"))
 
 
-def _number() -> str:
-    return f"case when regexp_matches(t, {q(T.NUMERIC_HEADING)}) then regexp_extract(t, {q(T.NUMERIC_HEADING)}, 1) when regexp_matches(t, {q(T.LETTER_HEADING)}) then regexp_extract(t, {q(T.LETTER_HEADING)}, 1) else '' end"
+_NUMBER = f"case when regexp_matches(t, '(?i)^bloco\\s+[0-9]+$') then '' when regexp_matches(t, {NUMBERED}) then regexp_extract(t, '^[0-9.]*[0-9]', 0) when regexp_matches(t, {LETTERED}) then split_part(t, ')', 1) else '' end"
+LEVELS_SQL = f"""with {LAY}, {MEDIAN}, l as (select l.*, {_T} as t, median from layout l join medians using (doc_id)),
+ v as (select doc_id, page_index, line_seq, case when lower(t) in ('sumário', 'roteiro de aula') or ({_UP} and length(t) >= 12 and y0 <= {0.18 * H} and x1 - x0 <= {0.85 * W}) then 4
+ when {TITLE} then cast(least(6, 4 + length({_NUMBER}) - length(replace({_NUMBER}, '.', ''))) as int) end as level from l) select * from v where level is not null"""
 
 
 def heading_styles(spark, d):
-    return L.heading_styles(X.layout(spark, d)).select("doc_id", "size", "bold", F.col("level").cast("int").alias("level"))
+    return L.heading_styles(X.layout(spark, d)).select("doc_id", "size", "bold", "centered", F.col("level").cast("int").alias("level"))
 
 
 def paragraph_islands(spark, d):
     return L.paragraphs(X.layout(spark, d), W).select("doc_id", "page_index", "line_seq", F.col("paragraph").cast("long").alias("paragraph"))
 
 
-PARAGRAPH_SQL = f"""with {LAY}, p as (select *, lag(size) over w as ps, lag(bold) over w as pb, lag(x0) over w as px0, lag(x1) over w as px1, lag(y1) over w as py1, lag(text) over w as pt from layout window w as (partition by doc_id, page_index order by y0, x0, line_seq)),
- g as (select *, coalesce(ps = size and pb = bold and abs(x0 - px0) <= {PARAMS.paragraph_left_tolerance} and y0 - py1 <= {PARAMS.paragraph_gap_factor} * size and px1 >= {PARAMS.paragraph_right_edge * W} and not regexp_matches(pt, '[.!?:]$'), false) as goes from p)
+PARAGRAPH_SQL = f"""with {LAY}, h as (select *, coalesce({TITLE.replace('median', '0')}, false) as heads, coalesce(list_text_x, x0) as lft from (select *, {_T} as t from layout) l),
+ p as (select *, lag(size) over w as ps, lag(bold) over w as pb, lag(centered) over w as pc, lag(heads) over w as ph, lag(lft) over w as px0, lag(x1) over w as px1, lag(y1) over w as py1, lag(text) over w as pt, lag(height) over w as pht from h window w as (partition by doc_id, page_index order by y0, x0, line_seq)),
+ g as (select *, coalesce(list_marker is null and not ph and not heads and ps = size and pb = bold and pc = centered and abs(x0 - px0) <= {PARAMS.paragraph_left_tolerance} and y0 - py1 <= {PARAMS.paragraph_gap_factor} * pht and px1 >= {PARAMS.paragraph_right_edge * W} and not regexp_matches({sql_strip('pt')}, '[.!?:]$'), false) as goes from p)
  select doc_id, page_index, line_seq, cast(sum(cast(not goes as int)) over (partition by doc_id, page_index order by y0, x0, line_seq) as bigint) as paragraph from g"""
 
 
+def summary_state(spark, d):
+    """Lines inside a summary; the line after each summary's title is an outline line."""
+    return L.summary_state(X.layout(spark, d)).where("in_summary").select("doc_id", "page_index", "line_seq")
+
+
+SUMMARY_SQL = f"""with {LAY}, o as (select *, lower({_T}) = 'sumário' as opens, regexp_matches({_T}, {q(T.OUTLINE)}) as lists from layout),
+ r as (select *, sum(cast(opens as int)) over (partition by doc_id, page_index order by y0, x0, line_seq) as run from o),
+ b as (select *, sum(cast(not opens and not lists as int)) over (partition by doc_id, page_index, run order by y0, x0, line_seq) as breaks from r)
+ select doc_id, page_index, line_seq from b where run > 0 and not opens and breaks = 0"""
+
+
+def degenerate_lines(spark, d):
+    lay = X.layout(spark, d)
+    return lay.where(L.is_degenerate(F.col("text"), F.col("x0"), F.col("x1") - F.when(F.col("line_seq") == 2, 20).otherwise(0))).select("doc_id", "page_index", "line_seq")
+
+
 def reading_order_rows(spark, d):
     return L.reading_order(X.layout(spark, d))
 
@@ -126,20 +147,45 @@ def list_origin(spark, d):
     return lay.groupBy("doc_id", "page_index").agg(F.coalesce(F.min(F.when(F.col("text").rlike(r"^A\) "), F.col("x0"))), F.lit(0.0)).alias("origin"))
 
 
+_FLAGS = "case pos % 4 when 0 then 16 when 1 then 2 when 2 then 18 else 0 end"
+
+
+def _spans(spark, d):
+    """Lines as three spans each: the first third of the characters, the second, the rest, with flags, a font and gaps of their own; some with a list's sign before."""
+    n = F.floor(F.length("line") / 3).cast("int")
+    span = lambda text, flags, font, x0, x1: F.struct(text.alias("text"), (10 + F.col("pos") % 3).cast("double").alias("size"), flags.cast("int").alias("flags"), F.lit(font).alias("font"), F.struct(F.lit(float(x0)).alias("x0"), F.lit(100.0).alias("y0"), F.lit(float(x1)).alias("x1"), F.lit(112.0).alias("y1")).alias("bbox"))
+    parts = F.array(span(F.substr("line", F.lit(1), n), F.expr(_FLAGS), "F", 100, 200), span(F.substr("line", n + 1, n), F.lit(16), "F", 200, 300), span(F.substr("line", 2 * n + 1, F.length("line")), F.expr(_FLAGS), "F", 302, 520))
+    sign = F.array(span(F.when(F.col("pos") % 5 == 2, "•").otherwise("o"), F.lit(0), "Courier", 80, 90))
+    note = F.array(span(F.lit("7"), F.lit(1), "F", 520, 524))
+    rows = X.lines(spark, d).where(F.length("line") >= 9)
+    return rows.select("doc_id", "pos", F.concat(F.when(F.col("pos") % 5 > 2, F.array().cast(sign_type(sign))).when(F.col("pos") % 5 > 0, sign).otherwise(F.array().cast(sign_type(sign))), parts, F.when(F.col("pos") % 3 == 0, note).otherwise(F.array().cast(sign_type(sign)))).alias("spans"))
+
+
+def sign_type(_) -> str:
+    return "array<struct<text:string,size:double,flags:int,font:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>>>"
+
+
 def line_record(spark, d):
-    """Line fields from spans: each line is cut into three spans of different flags and gaps."""
-    n = F.length("line")
-    span = lambda a, k, flags, x0, x1: F.struct(F.substr("line", F.lit(a), F.lit(k)).alias("text"), (10 + F.col("pos") % 3).cast("double").alias("size"), flags.cast("int").alias("flags"), F.lit("F").alias("font"), F.struct(F.lit(float(x0)).alias("x0"), F.lit(100.0).alias("y0"), F.lit(float(x1)).alias("x1"), F.lit(112.0).alias("y1")).alias("bbox"))
-    bold = F.when(F.col("pos") % 2 == 0, F.lit(16)).otherwise(F.lit(2))
-    rows = X.lines(spark, d).where(n >= 9).select("doc_id", "pos", F.array(span(1, 3, bold, 100, 200), span(4, 3, F.lit(16), 200, 300), span(7, 3, bold, 302, 520)).alias("spans"))
-    return L.line_records(rows, W).select("doc_id", "pos", "text", "size", "height", "bold", "any_bold", "italic", "centered")
+    """Line fields from spans."""
+    return L.line_records(_spans(spark, d), W).select("doc_id", "pos", "text", "size", "height", "bold", "any_bold", "italic", "centered", "list_marker", "list_text_x")
+
+
+def line_format(spark, d):
+    """Lines as Markdown."""
+    rows = L.line_records(_spans(spark, d), W)
+    return rows.select("doc_id", "pos", L.formatted("spans", F.col("text"), F.col("list_marker"), F.col("x0"), F.col("size"), F.lit(40.0)).alias("text"))
 
 
-_S = "case when regexp_matches({0}, '\\s$') or regexp_matches({1}, '^\\s') then '' else ' ' end"
-_A, _B, _C = ("substr(line, 1, 3)", "substr(line, 4, 3)", "substr(line, 7, 3)")
-RECORD_SQL = f"""with {X.LINES_SQL}, r as (select doc_id, pos, {_A} as a, {_B} as b, {_C} as c from lines where length(line) >= 9), s as (select *, a || b as ab, list_filter([a, b, c], lambda x: trim(x) <> '') as seen from r)
- select doc_id, pos, {sql_strip("ab || " + _S.format("ab", "c") + " || c")} as text, case when len(seen) > 0 then cast(10 + pos % 3 as double) else 12.0 end as size, cast(12 as double) as height,
- pos % 2 = 0 and len(seen) > 0 or (len(seen) = 1 and trim(b) <> '') as bold, trim(b) <> '' or (pos % 2 = 0 and len(seen) > 0) as any_bold, pos % 2 = 1 and len(seen) > 0 and trim(b) = '' as italic, true as centered from s"""
+_N = "cast(floor(length(line) / 3) as int)"
+_A, _B, _C = f"substr(line, 1, {_N})", f"substr(line, {_N} + 1, {_N})", f"substr(line, 2 * {_N} + 1)"
+_GAP = lambda x, y: f"case when regexp_matches({x}, '\\s$') or regexp_matches({y}, '^\\s') then '' else ' ' end"
+_PARTS = f"""{X.LINES_SQL}, s as (select doc_id, pos, {_A} as a, {_B} as b, {_C} as c, case pos % 5 when 1 then 'o' when 2 then '•' else '' end as sign, case when pos % 3 = 0 then '7' else '' end as note, {_FLAGS} as fl from lines where length(line) >= 9),
+ t as (select *, a || b || {_GAP("a || b", "c")} || c || note as body, list_filter([sign, a, b, c, note], lambda x: trim(x) <> '') as seen, (trim(a) <> '' or trim(c) <> '') as outer_seen, trim(b) <> '' as b_seen from s)"""
+RECORD_SQL = f"""with {_PARTS}
+ select doc_id, pos, {sql_strip("case when sign <> '' then sign || " + _GAP("sign", "a") + " || body else body end")} as text, case when len(seen) > 0 then cast(10 + pos % 3 as double) else 12.0 end as size, cast(12 as double) as height,
+ len(seen) > 0 and sign = '' and note = '' and (not outer_seen or fl in (16, 18)) as bold, b_seen or (outer_seen and fl in (16, 18)) as any_bold, len(seen) > 0 and sign = '' and note = '' and not b_seen and fl in (2, 18) as italic,
+ case when sign <> '' then abs(300 - 306) <= 18.36 when note <> '' then abs(312 - 306) <= 18.36 else true end as centered,
+ case when sign <> '' and (trim(a) <> '' or trim(b) <> '' or trim(c) <> '' or note <> '') then sign end as list_marker, case when sign = '' then null when trim(a) <> '' then 100.0 when trim(b) <> '' then 200.0 when trim(c) <> '' then 302.0 when note <> '' then 520.0 end as list_text_x from t"""
 
 
 def table_continuation(spark, d):
@@ -180,8 +226,11 @@ QUERIES = {
     "body_lines": (body_lines, f"with {LAY}, {HEADERS} select doc_id, page_index, line_seq from layout l where {BAND} <> 'footer' and not ({BAND} = 'header' and exists (select 1 from headers h where h.doc_id = l.doc_id and h.key = {KEY}))"),
     "printed_page_rule": (printed_page_rule, PRINTED_SQL),
     "upper_median_size": (upper_median_size, f"with {LAY}, {MEDIAN} select * from medians"),
-    "heading_level": (heading_level, f"with {TITLES} select doc_id, page_index, line_seq, cast(least(6, 4 + length({_number()}) - length(replace({_number()}, '.', ''))) as int) as level from titled"),
-    "heading_styles": (heading_styles, f"with {TITLES}, s as (select distinct doc_id, size, bold from titled) select *, cast(least(6, 3 + dense_rank() over (partition by doc_id order by size desc, bold desc)) as int) as level from s"),
+    "heading_level": (heading_level, LEVELS_SQL),
+    "heading_styles": (heading_styles, f"with {TITLES}, s as (select distinct doc_id, size, bold, centered from titled) select *, cast(least(6, 3 + dense_rank() over (partition by doc_id order by size desc, bold desc, centered desc)) as int) as level from s"),
+    "summary_state": (summary_state, SUMMARY_SQL),
+    "degenerate_lines": (degenerate_lines, f"with {LAY} select doc_id, page_index, line_seq from layout where {sql_strip('text')} = '' or x1 - case when line_seq = 2 then 20 else 0 end - x0 <= 2"),
+    "line_format": (line_format, None),
     "paragraph_islands": (paragraph_islands, PARAGRAPH_SQL),
     "reading_order_rows": (reading_order_rows, None),
     "figure_table_antijoin": (figure_table_antijoin, f"with {X.SHAPES_SQL} select doc_id, page_index, figure_seq from figures f where not exists (select 1 from boxes b where b.doc_id = f.doc_id and b.page_index = f.page_index and {_overlap('f.f', 'b.t')} >= {PARAMS.overlap_owner})"),

@@ -26,7 +26,11 @@ def sql_strip(x: str) -> str:
 
 
 NL = "chr(10)"
-START = f"(not regexp_matches(line, '^\\s') and regexp_matches(line, {q(T.BLOCK_START)}))"
+# the first word of a line and what follows it, as the SQL sees them
+HEAD, TAIL = "regexp_extract(line, '^\\S*', 0)", "regexp_replace(line, '^\\S*', '')"
+START = f"""(not regexp_matches(line, '^\\s') and (left(line, 1) in ('|', '-', '•', '❖', '*') or starts_with(line, '![') or regexp_matches(line, '^[0-9]+[.][0-9]') or (starts_with(line, '<u>') and ends_with(rtrim(line), '</u>'))
+ or (regexp_matches({TAIL}, '^\\s') and ({HEAD} in ('>', '#', '##', '###', '####', '#####', '######') or regexp_matches({HEAD}, '^(?:[0-9]+[).]|[(][0-9A-Za-z]+[)]|(?i:[CDILMVX]+)[.-])$')))
+ or (regexp_matches({HEAD}, '^(?i:[CDILMVX]+)$') and regexp_matches({TAIL}, '^\\s+[.-]\\s'))))"""
 SOLID = f"{X.MARKED_SQL}, solid as (select * from marked where trim(line) <> '')"
 BLOCKS = f"{SOLID}, blocks0 as (select *, sum(cast({START} as int)) over w - first_value(cast({START} as int)) over w as block_no from solid window w as (partition by doc_id order by pos))"
 
@@ -56,8 +60,9 @@ def law_quote_callout(spark, d):
     return R.law_quotes(R.reflow(X.marked(spark, d))).select("doc_id", F.col("block_no").cast("long").alias("block_no"), "text")
 
 
-LAW_QUOTES = f"""{REFLOWED}, f as (select *, regexp_matches({_first('text')}, {q(T.LAW_QUOTE)}) and not regexp_matches(text, '^\\s*>') as opens from blocks),
- g as (select *, regexp_matches({_first('text')}, {q(T.LAW_GOES_ON)}) and not regexp_matches(text, '^\\s*(?:>|!\\[)') and not opens as goes from f),
+# the fixture's law quotes, items, sub-items, cases and digests
+LAW_QUOTES = f"""{REFLOWED}, f as (select *, regexp_matches({_first('text')}, '^[-–—*"“ ]*[Aa][Rr][Tt][.]? *[0-9]') and not regexp_matches(text, '^\\s*>') as opens from blocks),
+ g as (select *, regexp_matches({_first('text')}, '^(?:(?i:[CDILMVX]+) *[-–—]|[A-Za-z][)]|§)') and not regexp_matches(text, '^\\s*(?:>|!\\[)') and not opens as goes from f),
  r as (select *, sum(cast(not goes as int)) over (partition by doc_id order by block_no) as run from g),
  s as (select *, first_value(opens) over (partition by doc_id, run order by block_no) as quote, min(block_no) over (partition by doc_id, run) as m from r)
  select doc_id, case when quote then m else block_no end as block_no, case when bool_or(quote) then '> [!quote] ' || {NL} || '> LEI' || {NL} || string_agg({_quoted('text')}, {NL} || '>' || {NL} order by block_no) else min(text) end as text
@@ -87,13 +92,14 @@ def index_classify(spark, d):
     return X.marked(spark, d).select("doc_id", "pos", level.cast("int").alias("level"), text.alias("text"), T.index_heading(F.col("line")).alias("heading")).where("level is not null")
 
 
-_IX = {"bold": r"^\*\*([^*]+?)\*\*:?$", "dotted": r"^([0-9]{1,3}(?:\.\s*[0-9]{1,3})+)\s+(\S.*)$", "parent": r"^([0-9]{1,3})\.\s+([A-Za-zÀ-ÖØ-öø-ÿ].*)$", "dash": r"^([0-9]{1,3})\s*[-–—]\s*(\S.*)$"}
 INDEX_SQL = f"""with {X.MARKED_SQL}, x as (select doc_id, pos, {sql_sub('trim(line)', '^#{1,6}' + chr(92) + 's+')} as x from marked),
- y as (select doc_id, pos, case when regexp_matches(x, {q(_IX['bold'])}) then 0 when regexp_matches(x, {q(_IX['dotted'])}) then least(length(regexp_extract(x, {q(_IX['dotted'])}, 1)) - length(replace(regexp_extract(x, {q(_IX['dotted'])}, 1), '.', '')), 3)
- when regexp_matches(x, {q(_IX['parent'])}) then 0 when regexp_matches(x, {q(_IX['dash'])}) then 1 end as level,
- trim(case when regexp_matches(x, {q(_IX['bold'])}) then trim(regexp_extract(x, {q(_IX['bold'])}, 1)) when regexp_matches(x, {q(_IX['dotted'])}) then regexp_replace(regexp_extract(x, {q(_IX['dotted'])}, 1), '\\s*\\.\\s*', '.', 'g') || ' ' || regexp_extract(x, {q(_IX['dotted'])}, 2)
- when regexp_matches(x, {q(_IX['parent'])}) then regexp_extract(x, {q(_IX['parent'])}, 1) || '. ' || regexp_extract(x, {q(_IX['parent'])}, 2) when regexp_matches(x, {q(_IX['dash'])}) then regexp_extract(x, {q(_IX['dash'])}, 1) || '- ' || regexp_extract(x, {q(_IX['dash'])}, 2) end) as text from x)
- select doc_id, pos, cast(level as integer) as level, text, repeat('#', cast(4 + least(level, 2) as int)) || ' ' || rtrim(regexp_replace(text, '[:\\s]+$', '')) as heading from y where level is not null"""
+ n as (select *, regexp_extract(x, '^[0-9][0-9.\\s]*', 0) as lead, regexp_replace(x, '^[0-9][0-9.\\s]*', '') as title, string_split(rtrim(regexp_replace(regexp_extract(x, '^[0-9][0-9.\\s]*', 0), '\\s*[.]\\s*', '.', 'g')), '.') as parts from x),
+ m as (select *, array_to_string(parts, '.') as number, len(parts) - 1 as dots, len(list_filter(parts, lambda p: length(p) > 3 or regexp_matches(p, '[^0-9]'))) = 0 as fits,
+  starts_with(x, '**') and regexp_matches(x, '[*][*]:?$') and length(x) > 4 and not contains(regexp_replace(x, '^[*][*]|[*][*]:?$', '', 'g'), '*') and regexp_replace(x, '^[*][*]|[*][*]:?$', '', 'g') <> '' as bold from n),
+ y as (select doc_id, pos, case when bold then 0 when dots > 0 and fits and parts[-1] <> '' and regexp_matches(lead, '\\s$') and title <> '' then least(dots, 3) when dots = 1 and fits and parts[2] = '' and regexp_matches(lead, '[.]\\s+$') and regexp_matches(title, '^[A-Za-zÀ-ÖØ-öø-ÿ]') then 0
+  when dots = 0 and fits and number <> '' and regexp_matches(title, '^[-–—]\\s*\\S') then 1 end as level, dots, number, title, bold, x from m),
+ z as (select *, trim(case when bold then regexp_replace(x, '^[*][*]|[*][*]:?$', '', 'g') when dots > 0 then number || ' ' || title else number || '- ' || ltrim(substr(title, 2)) end) as text from y where level is not null)
+ select doc_id, pos, cast(level as integer) as level, text, repeat('#', cast(4 + least(level, 2) as int)) || ' ' || rtrim(regexp_replace(text, '[:\\s]+$', '')) as heading from z"""
 
 
 def outline_detect(spark, d):
@@ -160,15 +166,15 @@ def logic_symbols(spark, d):
 
 def file_names(spark, d):
     """Slug, display name, lesson number and path of files named after documents."""
-    name = F.concat(F.lit(" Aula_"), F.lpad((F.col("doc_id") % 120).cast("string"), 2, "0"), F.lit("  Ação ("), F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " "), 1, 30), F.lit(").pdf"))
+    name = F.concat(F.lit(" Aula_"), F.lpad((F.col("doc_id") % 120).cast("string"), 2, "0"), F.lit("  Ação ("), F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " "), F.lit(").pdf"))
     rows = X.table(spark, d, "documents").select("doc_id", name.alias("name"))
     n = T.lesson_number("name")
     return rows.select("doc_id", T.slugify(F.col("name")).alias("slug"), T.display_name(F.col("name")).alias("display"), n.alias("lesson"), F.when(n.isNull(), F.lit("DIR")).otherwise(F.concat(F.lit("DIR Aula "), n)).alias("path"))
 
 
-_NAME = "' Aula_' || lpad(cast(doc_id % 120 as varchar), 2, '0') || '  Ação (' || substr(replace(coalesce(text, ''), chr(10), ' '), 1, 30) || ').pdf'"
+_NAME = "' Aula_' || lpad(cast(doc_id % 120 as varchar), 2, '0') || '  Ação (' || replace(coalesce(text, ''), chr(10), ' ') || ').pdf'"
 _STEM = "regexp_replace(name, '(.)\\.[^./]*$', '\\1')"
-_SLUG = f"lower(regexp_replace(regexp_replace(regexp_replace(translate({_STEM}, '{T.ACCENTED}', '{T.PLAIN}'), '[^\\x00-\\x7F]', '', 'g'), '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'))"
+_SLUG = f"regexp_replace(lower(regexp_replace(regexp_replace(replace(replace(strip_accents({_STEM}), 'º', 'o'), 'ª', 'a'), '[^ -~]', '', 'g'), '[^0-9A-Za-z]+', '-', 'g')), '^-+|-+$', '', 'g')"
 _DISPLAY = f"regexp_replace(regexp_replace(regexp_replace({sql_strip(_STEM)}, '\\s+', '_', 'g'), '[^A-Za-z0-9._\\-]+', '', 'g'), '^[._\\-]+|[._\\-]+$', '', 'g')"
 NAMES_SQL = f"""with n as (select doc_id, {_NAME} as name from documents) select doc_id, case when {_SLUG} = '' then 'documento' else {_SLUG} end as slug, {_DISPLAY} as display,
  cast(cast(regexp_extract(name, '([0-9]{{1,3}})', 1) as int) as varchar) as lesson, 'DIR Aula ' || cast(regexp_extract(name, '([0-9]{{1,3}})', 1) as int) as path from n"""
@@ -185,7 +191,7 @@ def tags_parse(spark, d):
 
 
 def yaml_frontmatter(spark, d):
-    rows = X.table(spark, d, "documents").select("doc_id", F.substring(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)), 1, 40).alias("t"), "lang", "source")
+    rows = X.table(spark, d, "documents").select("doc_id", F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)).alias("t"), "lang", "source")
     note = T.front_matter(F.lit("dir"), F.array("lang", "source"), F.lit("2024-01-01"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" # "), "t")), F.array(F.col("t")), F.concat("lang", F.lit(": "), "source"))
     return rows.select("doc_id", note.alias("yaml"))
 
@@ -194,7 +200,7 @@ def _yaml(v: str) -> str:
     return f"case when regexp_matches({sql_strip(v)}, {q(T.YAML_QUOTED)}) then '\"' || replace({sql_strip(v)}, '\"', '\\\"') || '\"' else {sql_strip(v)} end"
 
 
-YAML_SQL = f"""with r as (select doc_id, substr(split_part(coalesce(text, ''), {NL}, 1), 1, 40) as t, lang, source from documents) select doc_id, '---' || {NL} || 'disciplina: DIR' || {NL} || 'tags:' || {NL} || '  - ' || {_yaml('lang')} || {NL} || '  - ' || {_yaml('source')}
+YAML_SQL = f"""with r as (select doc_id, split_part(coalesce(text, ''), {NL}, 1) as t, lang, source from documents) select doc_id, '---' || {NL} || 'disciplina: DIR' || {NL} || 'tags:' || {NL} || '  - ' || {_yaml('lang')} || {NL} || '  - ' || {_yaml('source')}
  || {NL} || 'excalidraw-plugin: parsed' || {NL} || 'data_criacao: 2024-01-01' || {NL} || case when doc_id % 2 = 0 and {sql_strip("' # ' || t")} <> '' then 'professora: ' || {_yaml("' # ' || t")} else 'professora:' end || {NL} || 'assunto: |-' || {NL} || '  ' || t || {NL}
  || 'caminho: ' || {_yaml("lang || ': ' || source")} || {NL} || '---' as yaml from r"""
 
@@ -211,11 +217,12 @@ def _callout(x: str, test: str, title: str) -> str:
     return f"case when {test} and not regexp_matches({x}, '^\\s*>') then '{title}' || {NL} || {_quoted(x)} else {x} end"
 
 
-_CASE = _callout("text", f"regexp_matches({_first('text')}, {q(T.CASE_LAW)})", "> [!warning] Jurisprudência")
+_CASE = _callout("text", f"regexp_matches({_first('text')}, '^[-–—* ]*(?:ADI|Súmula) [0-9]')", "> [!warning] Jurisprudência")
 
 
 def _alert(x: str) -> str:
-    return _callout(x, f"regexp_matches(regexp_replace({_first(x)}, '^[*_\\-–— ]+', ''), {q(T.ALERT)})", "> [!attention] Atenção!")
+    words = " or ".join(f"starts_with(strip_accents(lower(ltrim({_first(x)}, '*_-–— '))), '{w}')" for w in T.ALERTS)
+    return _callout(x, f"({words})", "> [!attention] Atenção!")
 
 
 NOTE_SQL = f"""with {REFLOWED}, c as (select doc_id, block_no, {_CASE} as t from blocks), e as (select doc_id, count(*) as n_blocks, string_agg({_alert('t')}, {NL} || {NL} order by block_no) as body from c group by doc_id)

@@ -10,6 +10,7 @@ from folioflow.functions import text as T
 from folioflow.operators import figures as G
 from folioflow.operators import reflow as R
 from folioflow.params import PARAMS
+from folioflow.plans import markdown as M
 from folioflow.plans.markdown import JOINED, NL, START, q, sql_strip
 
 PAGED = "cast(floor(pos / 6.0) as int)"
@@ -41,8 +42,8 @@ def index_block(spark, d):
 
 
 NUMBERED = "case when pos between doc_id % 3 and doc_id % 3 + 3 then '4.' || cast(pos as string) || ' ' || line else line end"
-_ITEM = r"^(?:\*\*[^*]+?\*\*:?$|[0-9]{1,3}(?:\.\s*[0-9]{1,3})+\s+\S.*$|[0-9]{1,3}\.\s+[A-Za-zÀ-ÖØ-öø-ÿ].*$|[0-9]{1,3}\s*[-–—]\s*\S.*$)"
-INDEX_SQL = f"""with {X.MARKED_SQL}, r as (select *, regexp_matches(regexp_replace(trim(line), '^#{{1,6}}\\s+', ''), {q(_ITEM)}) as item from (select doc_id, pos, {NUMBERED} as line from marked) where pos < {25 + PARAMS.outline_lines}),
+# the same test of an item as in the query that classifies lines
+INDEX_SQL = M.INDEX_SQL.replace("from marked)", f"from (select doc_id, pos, {NUMBERED} as line from marked) where pos < {25 + PARAMS.outline_lines})", 1).rpartition("z as (")[0] + """r as (select doc_id, pos, level is not null as item from y),
  s as (select *, max(cast(item as int)) over (partition by doc_id order by pos) as seen from r), t as (select *, sum(case when seen = 1 and not item then 1 else 0 end) over (partition by doc_id order by pos) as breaks from s)
  select doc_id, min(pos) as first_pos, count(*) as n from t where item and breaks = 0 group by doc_id having count(*) >= 2 and min(pos) < 25"""
 
@@ -118,12 +119,12 @@ PRESERVED_SQL = f"""with {X.MARKED_SQL}, e as (select doc_id, pos, regexp_extrac
 
 
 def ocr_callout(spark, d):
-    rows = X.lines(spark, d).groupBy("doc_id", F.expr(PAGED).alias("page_no")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: F.substring(x["line"], 1, 12)), "\n").alias("t"))
+    rows = X.lines(spark, d).groupBy("doc_id", F.expr(PAGED).alias("page_no")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("t"))
     note = F.concat(F.lit("> [!note]- Texto OCR (aproximado)\n"), T.quoted("t"))
     return rows.where(F.length(F.regexp_replace("t", r"\s", "")) >= 4).select("doc_id", "page_no", note.alias("text"))
 
 
-OCR_SQL = f"""with {X.LINES_SQL}, p as (select doc_id, {PAGED} as page_no, string_agg(substr(line, 1, 12), {NL} order by pos) as t from lines group by all)
+OCR_SQL = f"""with {X.LINES_SQL}, p as (select doc_id, {PAGED} as page_no, string_agg(line, {NL} order by pos) as t from lines group by all)
  select doc_id, page_no, '> [!note]- Texto OCR (aproximado)' || {NL} || array_to_string(list_transform(string_split(t, {NL}), lambda l: case when trim(l) <> '' then '> ' || l else '>' end), {NL}) as text from p where length(regexp_replace(t, '\\s', '', 'g')) >= 4"""
 
 
