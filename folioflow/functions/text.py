@@ -328,12 +328,53 @@ def running_key(text) -> Column:
     return F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "")
 
 
-def symbols(line) -> Column:
-    """Operators of formulas between operands as mathematical symbols; pipe rows and lines without an operator stay."""
-    left, right = r"([A-Za-z)])", r"([A-Za-z(~¬])"
-    x = line
-    for ascii_, sign in ((r"<->", "↔"), (r"<=>", "⇔"), (r"->", "→"), (r"=>", "⇒"), (r"!=", "≠"), (r"<=", "≤"), (r">=", "≥")):
-        x = F.regexp_replace(x, rf"{left}\s*{ascii_}\s*{right}", rf"$1 {sign} $2")
-    formula = x.rlike(r"[↔⇔→⇒≠≤≥]") | F.rlike(line, F.lit(r"\b[A-Za-z]\s*\^\s*[A-Za-z(]|\b[A-Za-z]\s+[vV]\s+[A-Za-z(]"))
-    y = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"([A-Za-z)])\s*\^\s*([A-Za-z(~])", "$1 ∧ $2"), r"\b([A-Za-z]|\))\s+[vV]\s+([A-Za-z(~])", "$1 ∨ $2"), r"~\s*([A-Za-z(])", "¬$1")
-    return F.when(F.rlike(line, F.lit(r"^\s*\|.*\|\s*$")) | ~formula, line).otherwise(y)
+def match_key(text) -> Column:
+    """Lower case without markup, quotation marks, dashes and bullets, single blanks: how an anchor is looked up in a block."""
+    return F.trim(sub(sub(F.lower(text), "[*_`~\"“”‘’<>–—\\-❖➢⮚➤➥▶►∙•●○▪◦\ue000]", " "), r"\s+", " "))
+
+
+def letters_and_digits(text) -> Column:
+    """Lower case letters and digits only: how texts are compared whatever their markup."""
+    return sub(F.lower(text), r"[^\p{L}\p{N}]")
+
+
+def body_of(note) -> Column:
+    """A note without its front matter: what follows the second rule, if it begins with one."""
+    parts = F.split(note, r"(?m)^---[ \t]*$", 3)
+    return F.when(F.startswith(F.ltrim(note), F.lit("---")) & (F.size(parts) == 3), strip(F.get(parts, F.lit(2)))).otherwise(note)
+
+
+def canonical_name(path) -> Column:
+    """The stem of a file's name as lower-case ASCII words: how notes and files are paired."""
+    stem = sub(sub(path, r"^.*/"), r"(.)\.[^./]*$", "$1")
+    return F.trim(sub(F.lower(ascii_folded(F.lower(stem))), "[^a-z0-9]+", " "))
+
+
+def law_profile(*fields) -> Column:
+    """Whether a subject, a name or a slug says that a note is about law."""
+    words = F.split(folded(F.concat_ws(" ", *fields)), "[^a-z0-9]+")
+    return F.arrays_overlap(words, F.array(F.lit("direito"), F.lit("dir")))
+
+
+def note_path(subject: Column, lesson: Column) -> Column:
+    """The subject with the number of the lesson, or alone."""
+    return F.when(F.coalesce(lesson, F.lit("")) == "", subject).otherwise(F.concat(subject, F.lit(" Aula "), lesson))
+
+
+def job_id(seed: Column | None = None) -> Column:
+    """Twelve hexadecimal digits: of a random identifier, or of a digest of the seed."""
+    return F.substring(F.sha2(seed.cast("binary"), 256), 1, 12) if seed is not None else F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 12)
+
+
+def decorated(text) -> Column:
+    """Decorative bullets at a line's beginning as the private sign, those at its end dropped; see plain_bullets."""
+    return sub(sub(text, "(?m)" + BULLET_END), "(?m)" + BULLET.replace("[ \\t]*(?:", "([ \\t]*)(?:", 1), f"$1{CONVERTED_BULLET} ")
+
+
+def plain_bullets(text) -> Column:
+    return F.replace(text, F.lit(CONVERTED_BULLET), F.lit("-"))
+
+
+def note_refs(text) -> Column:
+    """Superscript numbers as references to notes."""
+    return sub(text, r"<sup>\s*([0-9]{1,3})\s*</sup>", "[^$1]")

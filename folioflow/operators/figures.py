@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
@@ -50,46 +50,62 @@ def vector_figures(shapes: DataFrame, rasters: DataFrame, width: float, height:
     return shapes.groupBy(*PAGE).cogroup(rasters.groupBy(*PAGE)).applyInPandas(page, schema)
 
 
-def char_lines(chars: DataFrame) -> DataFrame:
-    """(cell, line_no, text): characters (cell, c, x0, x1, y, size) in lines by a moving mean of their centres; blanks at wide gaps."""
-
-    def cell(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[dict] = []
-        for r in pdf.sort_values(["y", "x0"], kind="stable").itertuples():
-            for g in reversed(groups):
-                if abs(r.y - g["mean"]) <= 0.40 * r.size:
-                    g["rows"].append(r)
-                    g["mean"] += (r.y - g["mean"]) / len(g["rows"])
-                    break
-            else:
-                groups.append({"mean": r.y, "rows": [r]})
-        out = []
-        for k, g in enumerate(sorted(groups, key=lambda g: g["mean"])):
-            text, last = "", None
-            for r in sorted(g["rows"], key=lambda r: r.x0):
-                if last is not None and r.x0 - last.x1 >= 0.15 * r.size and r.c not in ".,;:!?%)]}»”’" and text[-1:] not in "([{«“‘":
-                    text += " "
-                text, last = text + r.c, r
-            out.append((key[0], k, " ".join(text.split())))
-        return pd.DataFrame(out, columns=["cell", "line_no", "text"])
-
-    return chars.groupBy("cell").applyInPandas(cell, "cell long, line_no int, text string")
-
-
 def anchors(images: DataFrame, blocks: DataFrame) -> DataFrame:
     """(doc_id, image_seq, block_no): for each image in order the first block, at or after the one of the image before, that
-    contains its anchor text; null if none does."""
-
-    def document(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right, at, out = right.sort_values("block_no"), 0, []
-        texts, numbers = right["text"].tolist(), right["block_no"].tolist()
-        for r in left.sort_values("image_seq").itertuples():
-            hit = next((k for k in range(at, len(texts)) if r.anchor and r.anchor in texts[k]), None)
-            at = at if hit is None else hit
-            out.append((key[0], r.image_seq, None if hit is None else numbers[hit]))
-        return pd.DataFrame(out, columns=["doc_id", "image_seq", "block_no"]).astype({"block_no": "Int64"})
-
-    return images.groupBy("doc_id").cogroup(blocks.groupBy("doc_id")).applyInPandas(document, "doc_id long, image_seq int, block_no long")
+    contains its anchor's text, markup aside; null if none does.  One fold over the document's blocks as an array."""
+    key = T.match_key
+    listed = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block_no", key("text").alias("text")))).alias("blocks"))
+    asked = images.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("image_seq", key("anchor").alias("anchor")))).alias("images"))
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<image_seq:int,block_no:bigint>>").alias("out"))
+
+    def step(acc, x):
+        rest = F.slice("blocks", acc["at"] + 1, F.size("blocks"))
+        hit = F.array_position(F.transform(rest, lambda b: F.contains(b["text"], x["anchor"])), True).cast("int")
+        found = F.coalesce((x["anchor"] != "") & (hit > 0), F.lit(False))
+        at = F.when(found, acc["at"] + hit - 1).otherwise(acc["at"])
+        one = F.struct(x["image_seq"].alias("image_seq"), F.when(found, F.get("blocks", at)["block_no"]).alias("block_no"))
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    met = asked.join(listed, "doc_id", "left").withColumn("blocks", F.coalesce("blocks", F.array().cast("array<struct<block_no:bigint,text:string>>")))
+    return met.select("doc_id", F.explode(F.aggregate("images", state, step)["out"]).alias("x")).select("doc_id", "x.*")
+
+
+def moved_images(blocks: DataFrame, placed: DataFrame) -> DataFrame:
+    """(doc_id, place, text): the blocks of a page's text with its images behind the blocks that they belong to.
+
+    blocks (doc_id, block_no, text) holds the text blocks, placed (doc_id, image_seq, block_no, embed) the images: behind their block, in their
+    order; those without one stand at the end.
+    """
+    last = F.lit(2**62)
+    rows = blocks.select("doc_id", F.col("block_no").cast("long").alias("a"), F.lit(-1).alias("b"), "text")
+    rows = rows.unionByName(placed.select("doc_id", F.coalesce(F.col("block_no").cast("long"), last).alias("a"), F.col("image_seq").cast("int").alias("b"), F.col("embed").alias("text")))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("a", "b")) - 1
+    return rows.select("doc_id", place.alias("place"), "text")
+
+
+def is_drawn_figure(fill: Column, x0: Column, y0: Column, x1: Column, y1: Column, rectangle: Column, width: float, height: float) -> Column:
+    """A drawing under half the page that is filled with a colour (fill: array of red, green, blue) or is a rectangle of some size."""
+    area, page = (x1 - x0) * (y1 - y0), width * height
+    colour = F.coalesce((F.array_min(fill) < 0.96) & (F.array_max(fill) - F.array_min(fill) >= 0.08), F.lit(False))
+    return (area < 0.5 * page) & (colour | (rectangle & (area >= 0.025 * page)))
+
+
+def is_raster(kind: Column, image: Column) -> Column:
+    """An image block that has its bytes."""
+    return (kind == "image") & image.isNotNull()
+
+
+def figure_region(x0: Column, y0: Column, x1: Column, y1: Column, scale: float = 2.0, margin: float = 3.0) -> Column:
+    """Of a figure's picture: the region with its margin and the pixels of it."""
+    w, h = x1 - x0 + 2 * margin, y1 - y0 + 2 * margin
+    return F.struct((x0 - margin).alias("x0"), (y0 - margin).alias("y0"), (x1 + margin).alias("x1"), (y1 + margin).alias("y1"), F.ceil(w * scale).cast("int").alias("pixels_x"), F.ceil(h * scale).cast("int").alias("pixels_y"))
+
+
+def coloured_share(pixels: Column) -> Column:
+    """Share of pixels (array of red, green, blue from 0 to 255) that are light enough to be paper and yet coloured."""
+    luma = lambda p: 0.299 * p[0] + 0.587 * p[1] + 0.114 * p[2]
+    hit = F.filter(pixels, lambda p: (luma(p) >= 100) & (F.array_min(p) < 245))
+    return F.when(F.size(pixels) > 0, F.size(hit) / F.size(pixels)).otherwise(0.0)
 
 
 def joined_numbers(lines: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from folioflow.functions import text as T
 from folioflow.operators import layout as L
 from folioflow.operators import tables as B
 from folioflow.params import PARAMS
-from folioflow.plans.markdown import q, sql_strip, sql_sub
+from folioflow.plans.markdown import NL, q, sql_strip, sql_sub
 
 W, H = X.WIDTH, X.HEIGHT
 LAY = X.LAYOUT_SQL
@@ -188,21 +188,35 @@ RECORD_SQL = f"""with {_PARTS}
  case when sign <> '' and (trim(a) <> '' or trim(b) <> '' or trim(c) <> '' or note <> '') then sign end as list_marker, case when sign = '' then null when trim(a) <> '' then 100.0 when trim(b) <> '' then 200.0 when trim(c) <> '' then 302.0 when note <> '' then 520.0 end as list_text_x from t"""
 
 
+def _tables(spark, d):
+    """An order's lines as tables of two rows each, one to a page: with a header like all others, or one that goes on from the row before."""
+    head = F.when(F.col("header") == "Part", F.array(F.lit("Part"), F.lit("Qty"), F.lit("Blank"))).otherwise(F.array(F.lit(""), F.concat(F.lit("- "), F.col("header")), F.lit("")))
+    rows = F.array(head, F.array(F.concat(F.lit("row "), F.col("page_index").cast("string")), F.col("qty").cast("string"), F.lit("")))
+    grid = F.array(F.lit(36.0), 200.0 + F.col("qty") % 3, F.lit(500.0))
+    return X.parts(spark, d).select(F.col("order_id").alias("doc_id"), "page_index", F.lit(0).alias("table_seq"), "top", "bottom", "columns", grid.alias("grid"), rows.alias("rows"), (F.col("qty") == 50).alias("as_image"))
+
+
 def table_continuation(spark, d):
-    rows = B.continued(X.parts(spark, d).withColumn("second", F.col("qty").cast("string")))
-    return rows.groupBy("order_id", "group_no").agg(F.count("*").alias("n_parts"), F.min("page_index").alias("first_page"), F.max("page_index").alias("last_page")).withColumn("group_no", F.col("group_no").cast("long"))
+    return B.merge_parts(_tables(spark, d)).select("doc_id", "group_no", "start_page", "end_page", "n_parts", "as_image", B.markdown(F.col("rows")).alias("text"))
 
 
-TABLE_SQL = f"""with {X.PARTS_SQL}, p as (select *, lag(page_index) over w as pp, lag(bottom) over w as pbot, lag(columns) over w as pc, lag(header) over w as ph from parts window w as (partition by order_id order by page_index)),
- g as (select *, coalesce(pp + 1 = page_index and pbot >= {PARAMS.table_bottom} and top <= {PARAMS.table_top} and pc = columns and ph = header, false) as goes from p),
- n as (select *, cast(sum(cast(not goes as int)) over (partition by order_id order by page_index) as bigint) as group_no from g)
- select order_id, group_no, count(*) as n_parts, min(page_index) as first_page, max(page_index) as last_page from n group by all"""
+# in a run of pages without a break a header begins a new table only where the table in hand has another one, that is, once at most
+TABLE_SQL = f"""with {X.PARTS_SQL}, p as (select *, lag(page_index) over w as pp, lag(bottom) over w as pbot, lag(columns) over w as pc from parts window w as (partition by order_id order by page_index)),
+ b as (select *, header = 'Part' as heads, not coalesce(pp + 1 = page_index and pbot >= {PARAMS.table_bottom} and top <= {PARAMS.table_top} and pc = columns, false) as breaks from p),
+ r as (select *, sum(cast(breaks as int)) over (partition by order_id order by page_index) as run from b),
+ h as (select *, first_value(heads) over (partition by order_id, run order by page_index) as led, sum(cast(heads as int)) over (partition by order_id, run order by page_index) as n_heads from r),
+ g as (select *, sum(cast(breaks or (heads and not led and n_heads = 1) as int)) over (partition by order_id order by page_index) - 1 as group_no from h),
+ f as (select *, page_index = min(page_index) over w as first, first_value(header) over w as led_by, first_value(heads) over w as lead_heads from g window w as (partition by order_id, group_no order by page_index)),
+ k as (select *, lead(case when heads or header = led_by then '' else '<br>- ' || header end) over (partition by order_id, group_no order by page_index) as grown from f)
+ select order_id as doc_id, cast(group_no as int) as group_no, min(page_index) as start_page, max(page_index) as end_page, cast(count(*) as int) as n_parts, bool_or(qty = 50) as as_image,
+ max(case when first then case when heads then '|Part|Qty|Blank|' || {NL} || '|---|---|---|' else '||- ' || header || '|' || {NL} || '|---|---|' end end) || {NL} ||
+ string_agg('|row ' || page_index || '|' || qty || coalesce(grown, '') || '|' || case when lead_heads then '|' else '' end, {NL} order by page_index) as text from k group by order_id, group_no"""
 
 
 def table_markdown(spark, d):
     cells = F.array(F.col("header"), F.when(F.col("qty") % 5 == 0, F.lit("")).otherwise(F.col("qty").cast("string")), F.col("columns").cast("string"))
     rows = X.parts(spark, d).groupBy("order_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("page_index", cells.alias("r")))), lambda x: x["r"]).alias("rows"))
-    return rows.select("order_id", B.markdown(F.array(F.lit("a"), F.lit("b"), F.lit("c")), B.merge_cells(F.col("rows"))).alias("text"))
+    return rows.select("order_id", B.markdown(F.concat(F.array(F.array(F.lit("a"), F.lit("b"), F.lit("c"))), B.merge_cells(F.col("rows")))).alias("text"))
 
 
 def table_fallback_flags(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioflow import fixtures as X
 from folioflow.functions import text as T
+from folioflow.functions.symbols import symbols
 from folioflow.operators import postprocess as P
 from folioflow.operators import quality as Q
 from folioflow.operators import reflow as R
@@ -161,7 +162,11 @@ FOOTNOTE_SQL = f"""with {X.LINES_SQL}, r as (select doc_id, cast(floor(pos / 5.0
 
 def logic_symbols(spark, d):
     forms = F.array(*[F.lit(x) for x in ("P -> Q", "P ^ Q v R -> ~S", "(A v B) <-> C", "x != y", "p <= q", "a => b", "plain v text", "| P -> Q |")])
-    return X.lines(spark, d).select("doc_id", "pos", F.concat(F.get(forms, ((F.col("doc_id") + F.col("pos")) % 8).cast("int")), F.when(F.col("pos") % 2 == 0, F.concat(F.lit(" . "), F.col("line"))).otherwise("")).alias("line")).select("doc_id", "pos", T.symbols(F.col("line")).alias("text"))
+    return X.lines(spark, d).select("doc_id", "pos", F.concat(F.get(forms, ((F.col("doc_id") + F.col("pos")) % 8).cast("int")), F.when(F.col("pos") % 2 == 0, F.concat(F.lit(" . "), F.col("line"))).otherwise("")).alias("line")).select("doc_id", "pos", symbols(F.col("line")).alias("text"))
+
+
+_SIGNED = ["P → Q", "P ∧ Q ∨ R → ¬S", "(A ∨ B) ↔ C", "x ≠ y", "p ≤ q", "a ⇒ b", "plain v text", "| P -> Q |"]
+LOGIC_SQL = f"""with {X.LINES_SQL} select doc_id, pos, ({_SIGNED!r})[(doc_id + pos) % 8 + 1] || case when pos % 2 = 0 then ' . ' || line else '' end as text from lines"""
 
 
 def file_names(spark, d):
@@ -285,7 +290,7 @@ QUERIES = {
     "site_repetition": (site_repetition, SITE_REP_SQL),
     "page_footer": (page_footer, "select doc_id, cast(doc_id % 900 + 1 as varchar) as printed, coalesce(text, '') || chr(10) as text from documents"),
     "footnote_numbering": (footnote_refs, FOOTNOTE_SQL),
-    "logic_symbols": (logic_symbols, None),
+    "logic_symbols": (logic_symbols, LOGIC_SQL),
     "file_names": (file_names, NAMES_SQL),
     "dedup_by_hash": (dedup_by_hash, "select substr(sha256(coalesce(text, '')), 1, 16) as file_hash, min(doc_id) as first_id, count(*) as n from documents group by 1"),
     "tags_parse": (tags_parse, "select doc_id, lang || '|' || source || '|t' || (doc_id % 7) as tags from documents"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow import fixtures as X
 from folioflow.functions import text as T
+from folioflow.operators import cells as C
 from folioflow.operators import figures as G
 from folioflow.operators import reflow as R
 from folioflow.params import PARAMS
@@ -142,9 +143,12 @@ def vector_figures(spark, d):
 
 
 def char_lines(spark, d):
-    rows = X.lines(spark, d).select((F.col("doc_id") * 2**24 + F.col("pos")).cast("long").alias("cell"), F.posexplode(F.split("line", "")).alias("k", "c")).where("c <> '' and c <> ' '")
-    x0 = (F.col("k") % 12 * 7).cast("double")
-    return G.char_lines(rows.select("cell", "c", x0.alias("x0"), (x0 + 6.5).alias("x1"), (F.floor(F.col("k") / 12) * 12 + F.col("k") % 3).cast("double").alias("y"), F.lit(10.0).alias("size")))
+    """Every line as a cell, its characters dealt over rows of twelve."""
+    at = lambda k: (k % 12 * 7).cast("double")
+    y = lambda k: (F.floor(k / 12) * 12 + k % 3).cast("double")
+    char = lambda c, k: F.struct(c.alias("text"), at(k).alias("x0"), (y(k) - 5).alias("y0"), (at(k) + 6.5).alias("x1"), (y(k) + 5).alias("y1"), F.lit(10.0).alias("size"))
+    rows = X.lines(spark, d).select("doc_id", "pos", F.filter(F.transform(F.split("line", ""), char), lambda x: F.trim(x["text"]) != "").alias("chars"))
+    return C.cell_lines(rows).select("doc_id", "pos", F.posexplode("lines").alias("line_no", "text"))
 
 
 def image_anchors(spark, d):

@@ -5,6 +5,8 @@ from __future__ import annotations
 import importlib
 import importlib.util
 import io
+import os
+import shutil
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,15 +78,37 @@ def compression_command(source: str, target: str, level: str = "media") -> list[
     return ["gs", "-sDEVICE=pdfwrite", f"-dPDFSETTINGS=/{COMPRESSION[level]}", "-dNOPAUSE", "-dQUIET", "-dBATCH", f"-sOutputFile={target}", source]
 
 
+def replace_file(path: str, text: str) -> None:
+    """A file's new text, whole or not at all: the old one is kept beside it with .bak, the new one is written beside it and moved there."""
+    if os.path.exists(path):
+        shutil.copy2(path, path + ".bak")
+    with open(path + ".tmp", "w", encoding="utf-8") as f:
+        f.write(text)
+    os.replace(path + ".tmp", path)
+
+
+def keep_original(upload: str, folder: str) -> str:
+    """The upload's copy in a job's folder."""
+    os.makedirs(folder, exist_ok=True)
+    return shutil.copy2(upload, os.path.join(folder, "original.pdf"))
+
+
+def pairs(spark: SparkSession, notes: str, originals: str) -> DataFrame:
+    """(name, text, pdf_path): notes with the files that they come from, met by canonical name."""
+    files = spark.read.format("binaryFile").load(originals).select(F.col("path").alias("pdf_path"))
+    files = files.where(F.lower("pdf_path").endswith(".pdf")).withColumn("name", T.canonical_name(F.col("pdf_path")))
+    return read_notes(spark, notes).withColumn("name", T.canonical_name(F.col("path"))).join(files, "name").select("name", "text", "pdf_path")
+
+
 class PageRange(InputPartition):
-    def __init__(self, path: str, first: int, last: int) -> None:
-        self.path, self.first, self.last = path, first, last
+    def __init__(self, path: str, first: int, last: int, doc: int = 0) -> None:
+        self.path, self.first, self.last, self.doc = path, first, last, doc
 
 
 class PdfLayout(DataSource):
     """Laid-out lines of PDF files, one partition for each range of pages; needs a decoder named by the option backend.
 
-    The backend is a module with page_count(path) and spans(path, page) -> (width, height, [line of spans]).
+    Documents are numbered by their place in the option paths, from the option doc_id on.  The backend is a module with page_count(path) and spans(path, page) -> (width, height, [line of spans]).
     """
 
     @classmethod
@@ -108,14 +132,14 @@ class PdfReader(DataSourceReader):
     def partitions(self):
         module = importlib.import_module(self.backend)
         step, out = int(self.options.get("pages_per_task", 16)), []
-        for path in self.options["paths"].split(","):
+        for doc, path in enumerate(self.options["paths"].split(","), int(self.options.get("doc_id", 0))):
             n = module.page_count(path)
-            out += [PageRange(path, a, min(n, a + step)) for a in range(0, n, step)]
+            out += [PageRange(path, a, min(n, a + step), doc) for a in range(0, n, step)]
         return out
 
     def read(self, partition):
-        module, doc = importlib.import_module(self.backend), int(self.options.get("doc_id", 0))
+        module = importlib.import_module(self.backend)
         for page in range(partition.first, partition.last):
             width, height, found = module.spans(partition.path, page)
             for k, spans in enumerate(found):
-                yield (doc, page, k, True, width, height, spans)
+                yield (partition.doc, page, k, True, width, height, spans)

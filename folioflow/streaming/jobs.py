@@ -33,7 +33,7 @@ class Status(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         status, n, refused = self.state.get() if self.state.exists() else (None, 0, 0)
-        found = pd.concat(list(rows)).sort_values("created_at", kind="stable")
+        found = pd.concat(list(rows)).sort_values(["created_at", "status"], kind="stable")
         for wanted in found["status"]:
             n += 1
             if status is None or wanted in NEXT.get(status, ()):
@@ -53,7 +53,10 @@ def statuses(events: DataFrame) -> DataFrame:
 
 
 def status_batch(events: DataFrame) -> DataFrame:
-    """The batch twin: the last allowed status of each job, by the same rules in one fold."""
+    """The batch twin: the last allowed status of each job, by the same rules in one fold over its events by time, then status.
+
+    The stream sees the events of one batch in that order, and those of later batches after them.
+    """
     item = F.struct("created_at", "status")
     state = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("refused"))
 
@@ -71,3 +74,17 @@ def status_batch(events: DataFrame) -> DataFrame:
 def recover(events: DataFrame) -> DataFrame:
     """Jobs that were open when the service stopped, as new events that queue them again."""
     return status_batch(events).where("status in ('pendente', 'processando')").select("route", "id", F.lit("pendente").alias("status"))
+
+
+def work(queue: DataFrame, convert, checkpoint: str):
+    """Runs convert(jobs of a batch) over the pending jobs of a stream of log rows, first come first served; starts and returns the query."""
+
+    def batch(rows: DataFrame, _) -> None:
+        convert(rows.where("status = 'pendente'").orderBy("created_at", "id"))
+
+    return queue.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def with_cancels(events: DataFrame, cancels: DataFrame) -> DataFrame:
+    """Job events with requests to cancel (route, id, created_at) as events of their own; the state machine refuses those that come too late."""
+    return events.unionByName(cancels.select("route", "id", F.lit("cancelado").alias("status"), "created_at"))

@@ -1,5 +1,8 @@
 """The folds that SQL does not express: small cases worked out by hand."""
 
+from pyspark.sql import functions as F
+
+from folioflow.operators import cells as C
 from folioflow.operators import figures as G
 
 
@@ -11,9 +14,23 @@ def test_drawings_cluster_and_yield_to_rasters(spark):
 
 
 def test_characters_make_lines(spark):
-    chars = [(1, c, 10.0 * k, 10.0 * k + 6 + 4 * (c != "b"), 5.0 + k % 2, 10.0) for k, c in enumerate("ab,c")] + [(1, "z", 0.0, 5.0, 30.0, 10.0)]
-    got = G.char_lines(spark.createDataFrame(chars, "cell long, c string, x0 double, x1 double, y double, size double")).orderBy("line_no").collect()
-    assert [r.text for r in got] == ["ab,c", "z"]
+    char = lambda c, x0, x1, y: (c, x0, y, x1, y + 10.0, 10.0)
+    kind = "cell long, chars array<struct<text:string,x0:double,y0:double,x1:double,y1:double,size:double>>"
+    line = [char("a", 0.0, 6.0, 5.0), char("b", 10.0, 20.0, 6.0), char(",", 24.0, 26.0, 5.0), char("c", 30.0, 36.0, 6.0), char(" ", 36.0, 38.0, 5.0), char("d", 38.0, 44.0, 5.0), char(".", 50.0, 52.0, 5.0)]
+    rows = [(1, [char("z", 0.0, 5.0, 30.0), *line]), (2, None), (3, [])]
+    got = {r.cell: r.lines for r in C.cell_lines(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {1: ["a b,c d.", "z"], 2: [], 3: []}
+    # the centre moves halfway to each character that joins, so a slope stays one line
+    assert len(C.char_rows([char("x", 10.0 * k, 10.0 * k + 6, 2.0 * k) for k in range(4)])) == 1
+    assert C.word_rows([("b", 10, 1, 20, 11), ("a", 0, 0, 8, 10), (".", 21, 0, 22, 10), ("c", 0, 20, 9, 30)]) == ["a b.", "c"]
+
+
+def test_cell_texts(spark):
+    lines = F.array(*[F.lit(x) for x in ("Crimes do art. 7º, II  do CP ,", "veja :", "-item", "goes on", "", "2) other | x")])
+    got = spark.range(1).select(C.cell_text(lines).alias("t")).first().t
+    assert got == "Crimes do art. 7º, II, do CP, veja:<br>- item goes on<br>2) other \\| x"
+    rows = spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 1, None), (1, 1, 0, " "), (1, 1, 1, ""), (1, 2, 0, "b"), (1, 2, 1, "c")], "t long, row_no int, col_no int, text string")
+    assert tuple(C.table_rows(rows, ["t"]).first()) == (1, [["a", ""], ["b", "c"]], 1, 6)
 
 
 def test_anchors_go_forward(spark):

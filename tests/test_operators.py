@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow.functions import symbols
 from folioflow.functions import text as T
 from folioflow.operators import catalog, layout, legal, postprocess, reflow, tables
 
@@ -13,10 +14,12 @@ def one(spark, expression, **columns):
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("P -> Q", "P → Q"), ("P ^ Q v R -> ~S", "P ∧ Q ∨ R → ¬S"), ("plain v text here", "plain v text here"), ("| P -> Q |", "| P -> Q |"), ("considerou-o feito", "considerou-o feito")],
+    [
+        ("p -o q, forall x", "p → q, ∀ x"), ("x == y", "x ≡ y"), ("P = Q", "P ⇔ Q"), ("a > b", "a ⇒ b"), ("P A Q, ~~P -> Q~~", "P ∧ Q, ~~P -> Q~~"), ("a conjunção: P ? Q", "a conjunção: P ∧ Q"), ("P ? Q", "P ? Q"),
+        ("disjunção P \ue111 Q", "disjunção P ∨ Q"), ("se e somente se, união: P ? Q", "se e somente se, união: P ↔ Q"), ("not exists y", "∄ y"), ("P -> Q", "P → Q"), ("P ^ Q v R -> ~S", "P ∧ Q ∨ R → ¬S"), ("plain v text here", "plain v text here"), ("| P -> Q |", "| P -> Q |"), ("considerou-o feito", "considerou-o feito")],
 )
 def test_symbols(spark, text, want):
-    assert one(spark, T.symbols(F.col("t")), t=text) == want
+    assert one(spark, symbols.symbols(F.col("t")), t=text) == want
 
 
 @pytest.mark.parametrize(
@@ -59,13 +62,16 @@ def test_article(spark):
     units = legal.items(arts)
     assert [(r.label, r.text) for r in units.orderBy("unit_seq").collect()] == [("I", "natos"), ("II", "outros.")]
     assert [(r.label, r.text) for r in legal.letters(units).orderBy("letter_seq").collect()] == [("a", "um"), ("b", "dois")]
-    assert [r.label for r in legal.paragraphs(arts).orderBy("par_seq").collect()] == ["§ 1º", "Parágrafo único"]
+    assert [(r.label, r.text) for r in legal.paragraphs(arts).orderBy("par_seq").collect()] == [("§ 1º", "A lei."), ("§ 2º", "fica."), ("Parágrafo único", "Fim.")]
     assert legal.render(arts).first().text.startswith("#### Art. 12\n\nSão:\n\n- **I** – natos:\n  - **a)** um\n  - **b)** dois\n- **II** – outros.")
 
 
 def test_tables(spark):
     rows = F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit(""), F.lit("c")), F.array(F.lit("d")))
-    assert one(spark, tables.markdown(F.array(F.lit("h"), F.lit("i")), tables.merge_cells(rows)), t=1) == "| h | i |\n| --- | --- |\n| a | b<br>c |\n| d |  |"
+    merged = tables.merge_cells(rows)
+    assert one(spark, tables.markdown(F.concat(F.array(F.array(F.lit("h"), F.lit("i"))), merged)), t=1) == "|h|i|\n|---|---|\n|a|b<br>c|\n|d||"
+    assert one(spark, tables.plain_text(merged), t=1) == "a | b\nc\nd"
+    assert one(spark, tables.drop_blank_columns(F.array(F.array(F.lit("a"), F.lit(" "), F.lit("c"))), F.array(F.lit("x"), F.lit("y"), F.lit("z"))), t=1) == (["x", "z"], [["a", "c"]])
     assert one(spark, tables.grid(F.array(*[F.lit(float(x)) for x in (10, 12, 35, 60, 61, 90)])), t=1) == [11.0, 35.0, 60.5, 90.0]
 
 

@@ -10,10 +10,10 @@ def test_char_lines_keep_every_character(spark):
     want = {}
     for r in X.lines(spark, DIR).collect():
         if x := "".join(r.line.split()):
-            want[r.doc_id * 2**24 + r.pos] = x
+            want[r.doc_id, r.pos] = x
     got = {}
-    for r in sorted(more.char_lines(spark, DIR).collect(), key=lambda r: (r.cell, r.line_no)):
-        got[r.cell] = got.get(r.cell, "") + "".join(r.text.split())
+    for r in sorted(more.char_lines(spark, DIR).collect(), key=lambda r: (r.doc_id, r.pos, r.line_no)):
+        got[r.doc_id, r.pos] = got.get((r.doc_id, r.pos), "") + "".join(r.text.split())
     assert {k: v for k, v in got.items() if v} == want
 
 
