@@ -47,7 +47,7 @@ def without_sites(pages: DataFrame) -> DataFrame:
     rows = pages.join(often, "doc_id", "left").withColumn("often", F.coalesce("often", F.array().cast("array<string>")))
 
     def cleaned(line):
-        tail = F.regexp_extract(line, rf"(?i)({T.SITE})[ \t.,;:!?)]*$", 1)
+        tail = T.sub(F.regexp_extract(line, rf"(?i)({T.SITE})[ \t.,;:!?)]*$", 1), r"[.,;:!?)]+$")
         before = F.regexp_extract(line, rf"(?i)^(.*?){T.SITE}[ \t.,;:!?)]*$", 1)
         numbered = before.rlike(_NUMBER_END)
         goes = (tail != "") & (numbered | F.array_contains("often", site_key(tail)))
@@ -72,7 +72,7 @@ def drop_foot_sites(text: Column, sites: Column) -> Column:
     def dropped(acc, site):
         found = sites_of(acc)
         last = F.element_at(F.filter(found, lambda x: site_key(x) == site), -1)
-        at = F.length(acc) - F.length(F.substring_index(acc, last, -1)) - F.length(last)
+        at = F.length(acc) - F.length(last) - F.position(F.reverse(last), F.reverse(acc)) + 1
         return F.when(last.isNotNull(), F.concat(F.substr(acc, F.lit(1), at), F.substr(acc, at + F.length(last) + 1))).otherwise(acc)
 
     return F.aggregate(F.coalesce(sites, F.array().cast("array<string>")), text, dropped)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioflow.plans import catalog, layout, legal, markdown, more
+from folioflow.plans import catalog, layout, legal, markdown, more, notes
 
-_ALL = {**markdown.QUERIES, **layout.QUERIES, **legal.QUERIES, **catalog.QUERIES, **more.QUERIES}
+_ALL = {**markdown.QUERIES, **layout.QUERIES, **legal.QUERIES, **catalog.QUERIES, **more.QUERIES, **notes.QUERIES}
 
 
 def queries() -> dict:
