@@ -43,10 +43,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 @contextmanager
 def scratch_scope(spark: SparkSession):
-    """Deletes the scratch tables that were written inside, once what was asked of them has been computed."""
+    """Deletes the scratch tables that were written inside, at the end; yields their paths, of which the last can be taken out to be kept."""
     _open.append([])
     try:
-        yield
+        yield _open[-1]
     finally:
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for path in _open.pop():
