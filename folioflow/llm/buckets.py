@@ -99,7 +99,7 @@ def _compare(sets: Callable, threshold: float):
                 if (band[k], number[k]) != key:
                     part.close(out)
                     key, part = (band[k], number[k]), _Part(threshold)
-                part.add(bool(probe[k]), (names[k], roots[k], h, w), out)
+                part.add(bool(probe[k]), (names[k], roots[k], h.copy(), w.copy()), out)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], kind), pa.array([x[1] for x in out], kind)], ["a", "b"])
         if kind is not None:
             part.close(out := [])

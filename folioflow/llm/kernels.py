@@ -47,7 +47,7 @@ def buffers(texts) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about limit bytes each; a longer text has a range of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:

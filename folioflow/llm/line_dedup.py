@@ -17,6 +17,8 @@ functions gives the same result, but costs more than the check tool allows (figu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -132,7 +134,7 @@ def _few(key: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _pieces(offsets: np.ndarray):
-    """Ranges of lines of about two megabytes and at most LINES lines."""
+    """Ranges of lines of a bounded size and at most LINES lines."""
     for i, j in K.chunks(offsets):
         for a in range(i, j, LINES):
             yield a, min(j, a + LINES)
@@ -154,10 +156,9 @@ def _sign(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m, pa.int32()), lists], ["l1", "m", "bands"])
 
 
-def _sets(texts) -> list[np.ndarray]:
-    """The distinct shingle hashes of each line, in order."""
+def _sets(texts) -> Iterator[np.ndarray]:
+    """The distinct shingle hashes of each line, in order; a piece of the lines at a time."""
     data, offsets = K.buffers(texts)
-    out: list[np.ndarray] = []
     for i, j in K.chunks(offsets):
         o = offsets[i : j + 1]
         h, line = _shingles(data[o[0] : o[-1]], o - o[0])
@@ -166,8 +167,7 @@ def _sets(texts) -> list[np.ndarray]:
         new = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])] if len(h) else np.zeros(0, bool)
         h, line = h[new], line[new]
         cut = np.searchsorted(line, np.arange(j - i + 1))
-        out += [h[cut[k] : cut[k + 1]] for k in range(j - i)]
-    return out
+        yield from (h[cut[k] : cut[k + 1]] for k in range(j - i))
 
 
 def _verify(threshold: float):
@@ -181,7 +181,7 @@ def _verify(threshold: float):
             for k, mine in enumerate(_sets(batch.column("line"))):
                 if role[k] == 0:
                     pivot = (a[k], pivot[1] if pivot[0] == a[k] else [])
-                    pivot[1].append((l1[k], l2[k], mine))
+                    pivot[1].append((l1[k], l2[k], mine.copy()))
                 elif pivot[0] == a[k]:
                     for p1, p2, other in pivot[1]:
                         both = np.count_nonzero(other[np.minimum(np.searchsorted(other, mine), len(other) - 1)] == mine)
@@ -221,8 +221,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return _ends(dealt.mapInArrow(_verify(threshold), "a1 long, a2 long, b1 long, b2 long").distinct())
 
 
-def _weighted(texts) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(h, np.ones(len(h), np.int64)) for h in _sets(texts)]
+def _weighted(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    return ((h, np.ones(len(h), np.int64)) for h in _sets(texts))
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -16,6 +16,7 @@ that are compared too, by the same index, block by block.  So any two documents
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -137,17 +138,15 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
     return dealt.mapInArrow(_verify(threshold), "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
 
-def _sets(texts) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The distinct shingles of each text, in order, and how often each occurs."""
+def _sets(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct shingles of each text, in order, and how often each occurs; a piece of the texts at a time."""
     data, offsets = K.buffers(texts)
-    out = []
     for i, j in K.chunks(offsets):
         o = offsets[i : j + 1]
         h, t = K.text_shingles(data[o[0] : o[-1]], o - o[0], WORDS)
         t, h, w = K.counted(h, t)
         cut = np.searchsorted(t, np.arange(j - i + 1))
-        out += [(h[cut[k] : cut[k + 1]], w[cut[k] : cut[k + 1]]) for k in range(j - i)]
-    return out
+        yield from ((h[cut[k] : cut[k + 1]], w[cut[k] : cut[k + 1]]) for k in range(j - i))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
