@@ -19,25 +19,34 @@ def _covered(a, b) -> float:
     return w * h / area if w > 0 and h > 0 and area > 0 else 0.0
 
 
+def _merged(boxes: np.ndarray, tolerance: float) -> np.ndarray:
+    """Hulls of boxes that touch within the tolerance, until none touch; each pass merges all connected ones at once."""
+    while len(boxes) > 1:
+        low, high = boxes[:, :2] - tolerance, boxes[:, 2:]
+        near = (low[:, None, :] <= high[None, :, :]).all(axis=2)
+        near &= near.T
+        label = np.arange(len(boxes))
+        while True:
+            least = np.where(near, label[None, :], len(boxes)).min(axis=1)
+            if (least == label).all():
+                break
+            label = least
+        heads = np.unique(label)
+        if len(heads) == len(boxes):
+            break
+        boxes = np.array([[*boxes[label == k, :2].min(axis=0), *boxes[label == k, 2:].max(axis=0)] for k in heads])
+    return boxes
+
+
 def vector_figures(shapes: DataFrame, rasters: DataFrame, width: float, height: float, tolerance: float = 3.0) -> DataFrame:
     """(doc_id, page_index, figure_seq, x0, y0, x1, y1): drawings clustered by nearness; small or narrow clusters, those that a raster covers
     in part, and those mostly inside one accepted before are dropped."""
 
     def page(key, mine: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        boxes = [list(r) for r in mine.sort_values(["y0", "x0", "y1", "x1"])[["x0", "y0", "x1", "y1"]].to_numpy()]
-        merged = True
-        while merged:
-            merged = False
-            for i in range(len(boxes)):
-                for j in range(len(boxes) - 1, i, -1):
-                    a, b = boxes[i], boxes[j]
-                    if a[0] - tolerance <= b[2] and b[0] - tolerance <= a[2] and a[1] - tolerance <= b[3] and b[1] - tolerance <= a[3]:
-                        boxes[i] = [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])]
-                        del boxes[j]
-                        merged = True
+        boxes = _merged(mine[["x0", "y0", "x1", "y1"]].to_numpy(np.float64), tolerance)
         kept: list = []
         pictures = other[["x0", "y0", "x1", "y1"]].to_numpy() if len(other) else np.zeros((0, 4))
-        for b in sorted(boxes, key=lambda b: (b[1], b[0])):
+        for b in boxes[np.lexsort((boxes[:, 0], boxes[:, 1]))]:
             area = (b[2] - b[0]) * (b[3] - b[1])
             if area < 0.025 * width * height or b[2] - b[0] < 0.20 * width:
                 continue

@@ -152,13 +152,11 @@ def fallback(cells: Column) -> Column:
 
 
 def grid(edges: Column) -> Column:
-    """Sorted edges with those within the tolerance of a running mean merged."""
-    state = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    """Sorted edges; one within the tolerance of the last merges with it, halfway between the two."""
 
     def step(acc, x):
-        near = (acc["n"] > 0) & (x - acc["sum"] / F.greatest(acc["n"], F.lit(1)) <= PARAMS.grid_tolerance)
-        total, n = F.when(near, acc["sum"] + x).otherwise(x), F.when(near, acc["n"] + 1).otherwise(1)
-        kept = F.when(near, F.slice(acc["out"], 1, F.greatest(F.lit(0), F.size(acc["out"]) - 1))).otherwise(acc["out"])
-        return F.struct(F.concat(kept, F.array(total / n)).alias("out"), total.alias("sum"), n.alias("n"))
+        last = F.element_at(acc, -1)
+        near = (F.size(acc) > 0) & (x - last <= PARAMS.grid_tolerance)
+        return F.when(near, F.concat(F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1)), F.array((last + x) / 2))).otherwise(F.concat(acc, F.array(x)))
 
-    return F.aggregate(F.array_sort(edges), state, step)["out"]
+    return F.aggregate(F.array_sort(edges), F.array().cast("array<double>"), step)

@@ -231,7 +231,23 @@ FALLBACK_SQL = f"""with {X.LINES_SQL}, c as (select doc_id, pos, case when pos %
 
 def table_grid(spark, d):
     edges = X.layout(spark, d).groupBy("doc_id", "page_index").agg(F.concat(F.collect_list("x0"), F.collect_list("x1")).alias("edges"))
-    return edges.select("doc_id", "page_index", F.size(B.grid(F.col("edges"))).alias("n_edges"))
+    return edges.select("doc_id", "page_index", F.size(B.grid(F.col("edges"))).alias("n_edges"), F.element_at(B.grid(F.col("edges")), -1).alias("last_edge"))
+
+
+GRID_SQL = f"""with recursive {LAY}, e as (select doc_id, page_index, unnest([x0, x1]) as x from layout), o as (select *, row_number() over (partition by doc_id, page_index order by x) as rn from e),
+ r as (select doc_id, page_index, rn, x as edge, 1 as n_edges from o where rn = 1 union all
+ select o.doc_id, o.page_index, o.rn, case when o.x - r.edge <= {PARAMS.grid_tolerance} then (r.edge + o.x) / 2 else o.x end, r.n_edges + cast(o.x - r.edge > {PARAMS.grid_tolerance} as int) from r join o on o.doc_id = r.doc_id and o.page_index = r.page_index and o.rn = r.rn + 1)
+ select doc_id, page_index, arg_max(n_edges, rn) as n_edges, arg_max(edge, rn) as last_edge from r group by all"""
+ORDER_SQL = f"""with recursive {LAY}, o as (select *, row_number() over (partition by doc_id, page_index order by y0, x0, line_seq) as rn from layout),
+ r as (select doc_id, page_index, line_seq, x0, rn, y0 as anchor, 1 as row_no from o where rn = 1 union all
+ select o.doc_id, o.page_index, o.line_seq, o.x0, o.rn, case when o.y0 > r.anchor + {PARAMS.row_tolerance} then o.y0 else r.anchor end, r.row_no + cast(o.y0 > r.anchor + {PARAMS.row_tolerance} as int) from r join o on o.doc_id = r.doc_id and o.page_index = r.page_index and o.rn = r.rn + 1)
+ select doc_id, page_index, line_seq, row_no, cast(row_number() over (partition by doc_id, page_index order by row_no, x0, line_seq) - 1 as int) as place from r"""
+_STYLE = lambda x: f"case fl when 16 then '**' || {x} || '**' when 2 then '*' || {x} || '*' when 18 then '***' || {x} || '***' else {x} end"
+FORMAT_SQL = f"""with {_PARTS} select doc_id, pos, case when sign <> '' then rtrim('    - ' || {sql_strip('body')}) else {sql_strip(_STYLE('a') + " || '**' || b || '**' || case when regexp_matches(c, '^[ " + chr(92) + "t]') then '' else ' ' end || " + _STYLE('c') + " || case when note <> '' then '[^7]' else '' end")} end as text from t"""
+MARKDOWN_SQL = f"""with {X.PARTS_SQL}, c as (select order_id, page_index, header, case when qty % 5 = 0 then '' else cast(qty as varchar) end as q, cast(columns as varchar) as n from parts),
+ g as (select *, sum(cast(q <> '' or page_index = first as int)) over (partition by order_id order by page_index) as row_no from (select *, min(page_index) over (partition by order_id) as first from c) f),
+ m as (select order_id, row_no, string_agg(header, '<br>' order by page_index) as a, arg_min(q, page_index) as b, string_agg(n, '<br>' order by page_index) as d from g group by all)
+ select order_id, '|a|b|c|' || {NL} || '|---|---|---|' || {NL} || string_agg('|' || a || '|' || b || '|' || d || '|', {NL} order by row_no) as text from m group by order_id"""
 
 
 QUERIES = {
@@ -244,9 +260,9 @@ QUERIES = {
     "heading_styles": (heading_styles, f"with {TITLES}, s as (select distinct doc_id, size, bold, centered from titled) select *, cast(least(6, 3 + dense_rank() over (partition by doc_id order by size desc, bold desc, centered desc)) as int) as level from s"),
     "summary_state": (summary_state, SUMMARY_SQL),
     "degenerate_lines": (degenerate_lines, f"with {LAY} select doc_id, page_index, line_seq from layout where {sql_strip('text')} = '' or x1 - case when line_seq = 2 then 20 else 0 end - x0 <= 2"),
-    "line_format": (line_format, None),
+    "line_format": (line_format, FORMAT_SQL),
     "paragraph_islands": (paragraph_islands, PARAGRAPH_SQL),
-    "reading_order_rows": (reading_order_rows, None),
+    "reading_order_rows": (reading_order_rows, ORDER_SQL),
     "figure_table_antijoin": (figure_table_antijoin, f"with {X.SHAPES_SQL} select doc_id, page_index, figure_seq from figures f where not exists (select 1 from boxes b where b.doc_id = f.doc_id and b.page_index = f.page_index and {_overlap('f.f', 'b.t')} >= {PARAMS.overlap_owner})"),
     "line_table_antijoin": (line_table_antijoin, f"with {X.SHAPES_SQL} select doc_id, page_index, line_seq from layout l where not exists (select 1 from boxes b where b.doc_id = l.doc_id and b.page_index = l.page_index and {_overlap('l.', 'b.t')} >= {PARAMS.overlap_owner})"),
     "heading_candidates": (
@@ -262,7 +278,7 @@ QUERIES = {
     "list_origin": (list_origin, f"with {LAY} select doc_id, page_index, coalesce(min(x0) filter (regexp_matches(text, '^A\\) ')), 0) as origin from layout group by all"),
     "line_record": (line_record, RECORD_SQL),
     "table_continuation": (table_continuation, TABLE_SQL),
-    "table_markdown": (table_markdown, None),
+    "table_markdown": (table_markdown, MARKDOWN_SQL),
     "table_fallback_flags": (table_fallback_flags, FALLBACK_SQL),
-    "table_grid": (table_grid, None),
+    "table_grid": (table_grid, GRID_SQL),
 }

@@ -135,6 +135,12 @@ def numeric_fragments(spark, d):
     return G.joined_numbers(lay.withColumn("x0", F.when(F.col("line_seq") % 3 == 2, 60.0).otherwise(36.0)).withColumn("x1", F.lit(50.0)))
 
 
+NUMBERS_SQL = f"""with recursive {X.LAYOUT_SQL}, l as (select doc_id, page_index, line_seq, case when line_seq % 3 = 1 then line_seq || '.' else text end as tx, case when line_seq % 3 = 2 then 60.0 + (line_seq - 1) * 14 when line_seq % 3 = 1 then 60.0 + line_seq * 14 else y0 end as y, case when line_seq % 3 = 2 then 60.0 else 36.0 end as x from layout),
+ o as (select *, row_number() over w as rn, lead(tx) over w as nt, coalesce(regexp_matches(tx, '^[0-9]{{1,3}}[.)]$') and abs(lead(y) over w - y) <= 2 and lead(x) over w - 50 between 0 and 24, false) as pair from l window w as (partition by doc_id, page_index order by y, x, line_seq)),
+ r as (select * from o where rn = 1 union all select o.* from r join o on o.doc_id = r.doc_id and o.page_index = r.page_index and o.rn = r.rn + case when r.pair then 2 else 1 end)
+ select doc_id, page_index, line_seq, case when pair then tx || ' ' || nt else tx end as text from r"""
+
+
 def vector_figures(spark, d):
     lay = X.layout(spark, d)
     shapes = lay.selectExpr("doc_id", "page_index", "x0", "y0", "x1", "y0 + 90 as y1")
@@ -167,7 +173,7 @@ QUERIES = {
     "law_profile": (law_profile, "select doc_id, doc_id % 3 < 2 as law from documents"),
     "content_preserved": (content_preserved, PRESERVED_SQL),
     "ocr_callout": (ocr_callout, OCR_SQL),
-    "numeric_fragments": (numeric_fragments, None),
+    "numeric_fragments": (numeric_fragments, NUMBERS_SQL),
     "vector_figures": (vector_figures, None),
     "char_lines": (char_lines, None),
     "image_anchors": (image_anchors, None),
