@@ -114,8 +114,8 @@ def is_indented_topic(line) -> Column:
 
 
 def join_lines(parts, any_hyphen: bool = False) -> Column:
-    """Lines of a paragraph joined by blanks; a word parted by a hyphen at a line's end is put together again."""
-    tail = r"-$" if any_hyphen else r"[A-Za-zÀ-ÿ]-$"
+    """Lines of a paragraph joined by blanks; a word parted by a hyphen at a line's end is put together again: one after a letter, or any but a dash of two."""
+    tail = r"(?:^|[^-])-$" if any_hyphen else r"[A-Za-zÀ-ÿ]-$"
     return F.aggregate(parts, F.lit(""), lambda acc, x: F.when(acc == "", x).when(acc.rlike(tail), F.concat(F.substr(acc, F.lit(1), F.length(acc) - 1), x)).otherwise(F.concat(acc, F.lit(" "), x)))
 
 

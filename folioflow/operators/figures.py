@@ -110,6 +110,12 @@ def figure_region(x0: Column, y0: Column, x1: Column, y1: Column, scale: float =
     return F.struct((x0 - margin).alias("x0"), (y0 - margin).alias("y0"), (x1 + margin).alias("x1"), (y1 + margin).alias("y1"), F.ceil(w * scale).cast("int").alias("pixels_x"), F.ceil(h * scale).cast("int").alias("pixels_y"))
 
 
+def image_counts(figures: DataFrame, tables: DataFrame) -> DataFrame:
+    """(doc_id, n_images): figures, and the parts of tables (doc_id, n_parts, as_image) that are shown as pictures."""
+    parts = tables.where("as_image").select("doc_id", F.col("n_parts").cast("long").alias("n"))
+    return figures.select("doc_id", F.lit(1).cast("long").alias("n")).unionByName(parts).groupBy("doc_id").agg(F.sum("n").alias("n_images"))
+
+
 def coloured_share(pixels: Column) -> Column:
     """Share of pixels (array of red, green, blue from 0 to 255) that are light enough to be paper and yet coloured."""
     luma = lambda p: 0.299 * p[0] + 0.587 * p[1] + 0.114 * p[2]

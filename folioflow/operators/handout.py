@@ -17,6 +17,16 @@ _FOOT = rf"\n([0-9]{{1,4}})[ \t]*\n[ \t]*{T.SITE}[.,;:!?)]*[ \t]*(?:\n|$)"
 _NUMBER_END = r"[ \t]\b[0-9]{1,4}[ \t]+$"
 
 
+def split_pages(notes: DataFrame) -> DataFrame:
+    """(doc_id, page_no, text) from Markdown (doc_id, text) whose pages end with a separator line that has their number, from 0; what follows the last is a page if it
+    is not blank."""
+    mark = r"\n*--- end of page=([0-9]+) ---\n*"
+    numbers = F.regexp_extract_all("text", F.lit(mark), F.lit(1))
+    rows = notes.select("doc_id", F.posexplode(F.arrays_zip(F.split("text", mark, -1).alias("t"), numbers.alias("n"))).alias("at", "p"))
+    page = F.coalesce(F.col("p.n").cast("int") + 1, F.col("at") + 1)
+    return rows.where(F.col("p.n").isNotNull() | (T.strip("p.t") != "")).select("doc_id", page.alias("page_no"), F.col("p.t").alias("text"))
+
+
 def without_footer(pages: DataFrame, physical: str = "page_no") -> DataFrame:
     """pages with the first footer (a number, then a site on a line of its own) taken out and label, its number; without one the page's own."""
     number = F.regexp_extract("text", _FOOT, 1)

@@ -289,3 +289,9 @@ def line_records(spans: DataFrame, width: float) -> DataFrame:
     )
     found = out.withColumn("m", list_marker("spans", F.col("text"), F.col("x0")))
     return found.withColumns({"list_marker": F.col("m.marker"), "list_text_x": F.col("m.text_x")}).drop("m")
+
+
+def paragraph_texts(lines: DataFrame, width: float) -> DataFrame:
+    """(doc_id, page_index, paragraph, text): the lines of each paragraph as one, parted words put together."""
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("y0", "x0", "line_seq", "text"))), lambda x: T.strip(x["text"]))
+    return paragraphs(lines, width).groupBy(*PAGE, "paragraph").agg(T.join_lines(F.filter(parts, lambda x: x != ""), any_hyphen=True).alias("text"))

@@ -14,6 +14,7 @@ from folioflow.operators import layout as L
 from folioflow.operators import postprocess as P
 from folioflow.operators import quality as Q
 from folioflow.operators import tables as B
+from folioflow.plans import layout as M
 from folioflow.plans.markdown import JOINED, NL, START, sql_strip
 
 # a word that tells the line, then the line without signs that mean something in notes
@@ -361,6 +362,31 @@ def table_pairs(spark, d):
     return Q.zipped_or_failed(w.selectExpr("doc_id", "page_no as table_seq"), w.selectExpr("doc_id", "pos as first_pos")).select("doc_id", "table_seq", "first_pos")
 
 
+def page_split(spark, d):
+    rows = _pages(spark, d, "case k when 5 then x || '-' else x end")
+    whole = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "text"))), lambda v: F.concat(v["text"], F.lit("\n\n--- end of page="), (v["page_no"] - 1).cast("string"), F.lit(" ---\n\n"))), "").alias("text"))
+    return H.split_pages(whole)
+
+
+def paragraph_texts(spark, d):
+    """Paragraphs of laid-out lines; some lines end with a hyphen."""
+    lay = X.layout(spark, d).withColumn("text", F.when(F.col("line_seq") % 2 == 1, F.concat("text", F.lit("-"))).otherwise(F.col("text")))
+    return L.paragraph_texts(lay, X.WIDTH).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+# a line's end with a hyphen joins to the next without it; others take a blank
+PARAGRAPHS_SQL = M.PARAGRAPH_SQL.replace("with ", "with ", 1).replace("layout as (select *, y0 + size as y1", "layout as (select * replace (case when line_seq % 2 = 1 then text || '-' else text end as text), y0 + size as y1", 1).rpartition(" select doc_id")[0] + f""", n as (select *, sum(cast(not goes as int)) over (partition by doc_id, page_index order by y0, x0, line_seq) as paragraph from g),
+ t as (select doc_id, page_index, paragraph, list({sql_strip('text')} order by y0, x0, line_seq) as parts from n group by all),
+ j as (select doc_id, list_reduce(list_filter(parts, lambda x: x <> ''), lambda a, x: case when regexp_matches(a, '(?:^|[^-])-$') then substr(a, 1, length(a) - 1) || x else a || ' ' || x end) as text from t where len(list_filter(parts, lambda x: x <> '')) > 0 union all select doc_id, '' from t where len(list_filter(parts, lambda x: x <> '')) = 0)
+ select doc_id, count(*) as n, cast(sum(length(text)) as bigint) as chars from j group by doc_id"""
+
+
+def image_counts(spark, d):
+    lay = X.layout(spark, d)
+    tables = X.boxes(lay).selectExpr("doc_id", "2 as n_parts", "page_index % 2 = 0 as as_image")
+    return G.image_counts(X.figures(lay), tables)
+
+
 QUERIES = {
     "handout_reflow": (handout_reflow, TOPICS_SQL),
     "handout_pages": (handout_pages, PAGES_SQL),
@@ -393,5 +419,8 @@ QUERIES = {
     "job_archive": (job_archive, ARCHIVE_SQL),
     "page_blocks": (page_blocks, BLOCKS_SQL),
     "image_pairs": (image_pairs, f"with {X.SHAPES_SQL} select doc_id, page_index as page_no, figure_seq, 'e' || figure_seq as name from figures where page_index % 2 = 0"),
+    "page_split": (page_split, f"with {BASE} select doc_id, page_no, string_agg(case when k = 5 then x || '-' else x end, {NL} order by pos) as text from w group by all"),
+    "paragraph_texts": (paragraph_texts, PARAGRAPHS_SQL),
+    "image_counts": (image_counts, f"with {X.SHAPES_SQL}, n as (select doc_id, 1 as n from figures union all select doc_id, 2 from boxes where page_index % 2 = 0) select doc_id, cast(sum(n) as bigint) as n_images from n group by doc_id"),
     "table_pairs": (table_pairs, f"with {BASE} select doc_id, page_no as table_seq, pos as first_pos from w where k = 0"),
 }

@@ -5,18 +5,23 @@ from __future__ import annotations
 import importlib
 import importlib.util
 import io
+import logging
 import os
 import shutil
 import zipfile
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from folioflow.functions import text as T
 from folioflow.params import PARAMS
 from folioflow.schemas import LAYOUT_LINES
 
+log = logging.getLogger(__name__)
 #: The compression names of the archive and the presets they stand for.
 COMPRESSION = {"menor": "prepress", "media": "ebook", "maior": "screen"}
 
@@ -52,6 +57,28 @@ def scanned_pages(pages: DataFrame) -> DataFrame:
     return pages.where(F.length(T.strip(F.coalesce("text", F.lit("")))) < PARAMS.ocr_min_chars)
 
 
+def recognise(rows: DataFrame, read: Callable[[bytes], str], image: str = "image") -> DataFrame:
+    """rows with text, what read makes of each picture, in place of the picture; empty where it fails or there is none.
+
+    read is an adapter of an OCR program; it is called on the executors, a batch of rows at a time.
+    """
+
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for picture in batch.column(image).to_pylist():
+                try:
+                    texts.append(read(picture) if picture else "")
+                except Exception as e:  # a figure that can't be read is no reason to lose the document
+                    log.warning("picture not read: %s", e)
+                    texts.append("")
+            kept = [n for n in batch.schema.names if n != image]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(texts, pa.string())], [*kept, "text"])
+
+    fields = [f for f in rows.schema.fields if f.name != image]
+    return rows.mapInArrow(run, S.StructType([*fields, S.StructField("text", S.StringType())]))
+
+
 def splice_ocr(pages: DataFrame, ocr: DataFrame) -> DataFrame:
     """pages with the OCR text appended where the native text (without image links) is too short."""
     bare = T.strip(T.sub(F.coalesce("text", F.lit("")), r"!\[\]\([^\n]+\)"))

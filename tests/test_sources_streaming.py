@@ -63,3 +63,55 @@ def test_status_stream_equals_batch(spark, tmp_path):
     batch = {(r.route, r.id): (r.status, r.n_refused) for r in jobs.status_batch(spark.read.schema(jobs.EVENTS).json(str(data))).collect()}
     assert got == batch == {("apostila", "1"): ("concluido", 1), ("legislacao", "1"): ("cancelado", 0), ("apostila", "2"): ("pendente", 0)}
     assert [r.id for r in jobs.recover(spark.read.schema(jobs.EVENTS).json(str(data))).collect()] == ["2"]
+
+
+def test_recognition_is_an_adapter(spark):
+    rows = spark.createDataFrame([(1, bytearray(b"abc")), (2, None), (3, bytearray(b"bad"))], "figure_seq int, image binary")
+
+    def read(picture):
+        if picture == b"bad":
+            raise OSError("no")
+        return picture.decode().upper()
+
+    assert sorted(tuple(r) for r in readers.recognise(rows, read).collect()) == [(1, "ABC"), (2, ""), (3, "")]
+
+
+def test_files_are_replaced_whole(tmp_path):
+    path = str(tmp_path / "n.md")
+    readers.replace_file(path, "one")
+    readers.replace_file(path, "two")
+    assert open(path).read() == "two" and open(path + ".bak").read() == "one" and sorted(x.name for x in tmp_path.iterdir()) == ["n.md", "n.md.bak"]
+    assert open(readers.keep_original(path, str(tmp_path / "job"))).read() == "two"
+
+
+def test_notes_meet_their_files(spark, tmp_path):
+    (tmp_path / "md").mkdir()
+    (tmp_path / "pdf").mkdir()
+    (tmp_path / "md" / "Acao_1.md").write_text("# a")
+    (tmp_path / "md" / "other.md").write_text("# b")
+    (tmp_path / "pdf" / "Ação 1.PDF").write_bytes(b"p")
+    got = readers.pairs(spark, str(tmp_path / "md"), str(tmp_path / "pdf")).collect()
+    assert [(r.name, r.text) for r in got] == [("acao 1", "# a")]
+
+
+def test_queue_worker_and_cancels(spark, tmp_path):
+    kind = "route string, id string, status string, created_at timestamp"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps({"route": "apostila", "id": i, "status": s, "created_at": f"2024-01-01T00:00:0{t}Z"}) for i, s, t in [("2", "pendente", 2), ("1", "pendente", 1), ("3", "erro", 0)]) + "\n")
+    seen = []
+    jobs.work(jobs.read_events(spark, str(tmp_path / "in")), lambda rows: seen.extend(r.id for r in rows.collect()), str(tmp_path / "c")).awaitTermination(120)
+    assert seen == ["1", "2"]
+    events = spark.read.schema(kind).json(str(tmp_path / "in"))
+    cancels = events.where("id in ('1', '3')").selectExpr("route", "id", "created_at + interval 1 minute as created_at")
+    got = {r.id: (r.status, r.n_refused) for r in jobs.status_batch(jobs.with_cancels(events, cancels)).collect()}
+    assert got == {"1": ("cancelado", 0), "2": ("pendente", 0), "3": ("erro", 1)}
+
+
+def test_uploads_of_one_content_count_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps({"route": r, "file_hash": h, "created_at": f"2024-01-0{t}T00:00:00Z"}) for r, h, t in [("a", "x", 1), ("a", "x", 2), ("b", "x", 1), ("a", "y", 1)]) + "\n")
+    stream = spark.readStream.schema("route string, file_hash string, created_at timestamp").json(str(tmp_path / "in"))
+    got = []
+    query = jobs.first_of_content(stream).writeStream.foreachBatch(lambda df, _: got.extend((r.route, r.file_hash) for r in df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(got) == [("a", "x"), ("a", "y"), ("b", "x")]
