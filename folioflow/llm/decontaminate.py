@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import maybe_broadcast, written
+from folioflow.llm.common import BROADCAST_ROWS, maybe_broadcast, rows_of, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -91,7 +91,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     windows = hits.select("doc", "row", F.greatest(F.lit(0), F.least(begin, F.col("total") - F.col("len"))).alias("start"), "len", "size").distinct()
     windows = written(windows, "windows")
     asked = windows.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "len", "size")).alias("asked"))
-    again = rows.withColumnsRenamed({"doc": "__doc", "row": "__row"}).join(maybe_broadcast(asked), F.col("__doc").eqNullSafe(F.col("doc")) & (F.col("__row") == F.col("row")))
+    # what a document asks for is as large as its windows are many, so the windows decide whether it may be broadcast
+    asked = F.broadcast(asked) if rows_of(windows) <= BROADCAST_ROWS else asked
+    again = rows.withColumnsRenamed({"doc": "__doc", "row": "__row"}).join(asked, F.col("__doc").eqNullSafe(F.col("doc")) & (F.col("__row") == F.col("row")))
     again = again.dropDuplicates(["doc", "row"]).select("doc", "row", "w", F.explode("asked").alias("a")).select("doc", "row", "a.*", F.expr("slice(w, a.start + 1, a.len)").alias("w"))
     again = reduce(lambda a, b: a.union(b), [again.where(F.col("size") == s).select("doc", "row", "start", "len", "size", F.explode(_hashes(F.col("w"), s)).alias("h")) for s in sizes])
     wkey, ikey = ["doc", "row", "start", "len", "size"], ["item", "it", "size"]
