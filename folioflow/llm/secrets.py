@@ -181,7 +181,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q}
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    keyed = rows.withColumn("__key", F.coalesce(F.col("__id").cast("long"), F.lit(-1)))
+    keyed = rows.withColumn("__key", F.coalesce(F.col("__id").cast("long"), F.xxhash64("__text")))
     if indexed:
         grams = sorted({g for q in indexed.values() for c in q for g in c})
         found = candidates(postings(keyed, "__key", "__text", grams), "__key", indexed)
