@@ -370,8 +370,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         unique = keyed.select("doc", "text")
     else:
         digested = rows.withColumn("d", F.sha2("text", 256))
-        found = digested.select("doc_id", "d").distinct().orderBy(F.col("doc_id").asc_nulls_last(), "d").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-        numbers = written(docs.sparkSession.createDataFrame(found, "i long, d string, doc long"), "numbers")
+        # after a sort the partitions are in order, so the ids that rise within and over partitions are too; writing fixes them
+        sorted_ = digested.select(F.col("doc_id").alias("i"), "d").distinct().orderBy(F.col("i").asc_nulls_last(), "d")
+        numbers = written(sorted_.withColumn("doc", F.monotonically_increasing_id()), "numbers")
         keyed = digested.join(numbers.withColumnRenamed("d", "e"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("d") == F.col("e"))).select("doc_id", "text", "doc")
         unique = keyed.groupBy("doc").agg(F.first("text").alias("text"))
     spans = repeated_spans(unique).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
