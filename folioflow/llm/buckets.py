@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm import kernels as K
 from folioflow.llm.common import maybe_broadcast, rows_of, written
 
 BLOCK_BYTES = 4 << 20
@@ -133,5 +134,5 @@ def bucket_links(rows: DataFrame, texts: DataFrame, sets: Callable, threshold: f
         held = held.union(dealt.where("parts > 1").select("band", F.explode(others).alias("part"), F.lit(1).alias("probe"), "id", "root"))
     sent = held.join(mine, "id").select("band", "part", "probe", "id", "root", "text")
     kind = rows.schema["id"].dataType.simpleString()
-    met = sent.repartition("band", "part").sortWithinPartitions("band", "part", "probe").mapInArrow(_compare(sets, threshold), f"a {kind}, b {kind}")
+    met = sent.repartition("band", "part").sortWithinPartitions("band", "part", "probe").mapInArrow(K.lean(_compare(sets, threshold)), f"a {kind}, b {kind}")
     return met.distinct()

@@ -6,7 +6,8 @@ an odd number modulo 2**64, passed through a finaliser; any substring's hash com
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,20 @@ BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
+def lean(run: Callable) -> Callable:
+    """A function over Arrow batches whose worker gives memory back when a task ends: workers are used again, and their pools grow otherwise."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: its pools stay as they are
+            pass
+
+    return wrapped
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["up"]) < n:
         n = max(n, 1 << 20)

@@ -218,7 +218,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     asked = keyed.select(F.col("b").alias("at"), F.lit(1).alias("role"), "a", "part").union(keyed.select(F.col("a").alias("at"), F.lit(0).alias("role"), "a", "part").distinct())
     sent = texts.join(maybe_broadcast(asked) if rows_of(keyed) <= 250_000 else asked, F.col("l1") == F.col("at")).select("a", "part", "role", "l1", "l2", "line")
     dealt = sent.repartition("a", "part").sortWithinPartitions("a", "part", "role")
-    return _ends(dealt.mapInArrow(_verify(threshold), "a1 long, a2 long, b1 long, b2 long").distinct())
+    return _ends(dealt.mapInArrow(K.lean(_verify(threshold)), "a1 long, a2 long, b1 long, b2 long").distinct())
 
 
 def _weighted(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -229,7 +229,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(l1, l2, keep): the earliest (doc, pos) of the component, for each line that is repeated or similar to another."""
     lines = _lines(docs, id_col, text_col).where(F.trim("line") != "")
     reps = written(lines.groupBy("l1", "l2").agg(F.min("place").alias("first"), F.count("*").alias("n")), "lines")
-    signed = written(lines.select("l1", "line").mapInArrow(_sign, "l1 long, m int, bands array<long>"), "signed").select("l1", "m", F.explode("bands").alias("band"))
+    signed = written(lines.select("l1", "line").mapInArrow(K.lean(_sign), "l1 long, m int, bands array<long>"), "signed").select("l1", "m", F.explode("bands").alias("band"))
     # combined before the shuffle, so a line that is very often repeated counts once a task
     shared = written(signed.groupBy("band").agg(F.min("l1").alias("lo"), F.max("l1").alias("hi")).where("lo <> hi").select("band"), "shared")
     members = written(signed.join(maybe_broadcast(shared, BANDS_ROWS), "band", "left_semi").distinct(), "members")

@@ -45,17 +45,14 @@ NEWTON = 20
 BACKING = 20_000.0
 
 
-def _slots(texts) -> tuple[np.ndarray, np.ndarray, int]:
-    """Slot and text number of each word."""
+def _pieces(texts):
+    """(first text, end, slot of each word, its text counted from the first), a piece of the texts at a time."""
     data, offsets = K.buffers(pc.utf8_lower(texts.fill_null("")))
-    slots, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i, j in K.chunks(offsets):
         o = offsets[i : j + 1]
         piece = data[o[0] : o[-1]]
         start, end, text = K.words(piece, o - o[0])
-        slots.append((K.spans_hash(K.prefix_sums(piece), start, end) >> np.uint64(48)).astype(np.int64))
-        of.append(text + i)
-    return np.concatenate(slots), np.concatenate(of), len(offsets) - 1
+        yield i, j, (K.spans_hash(K.prefix_sums(piece), start, end) >> np.uint64(48)).astype(np.int64), text
 
 
 def _domain(quality, toxic):
@@ -67,8 +64,8 @@ def _count(batches):
     total = np.zeros((len(DOMAINS), SLOTS + 1), np.int64)
     for batch in batches:
         domain = batch.column(1).to_numpy(zero_copy_only=False)
-        slot, of, _ = _slots(batch.column(0))
-        np.add.at(total, (domain[of], slot + 1), 1)
+        for i, j, slot, of in _pieces(batch.column(0)):
+            np.add.at(total, (domain[i:j][of], slot + 1), 1)
         np.add.at(total, (domain, np.zeros(len(domain), np.int64)), 1)
     d, s = np.nonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(d.astype(np.int32)), pa.array((s - 1).astype(np.int32)), pa.array(total[d, s])], ["domain", "slot", "n"])
@@ -92,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(FIT_ROWS)
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(maybe_broadcast(written(known, "labels")), "__id")
     rows = rows.withColumn("fold", F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(5)))
-    counts = rows.where("fold > 0").select("text", "domain").mapInArrow(_count, "domain int, slot int, n long").groupBy("domain", "slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.where("fold > 0").select("text", "domain").mapInArrow(K.lean(_count), "domain int, slot int, n long").groupBy("domain", "slot").agg(F.sum("n").alias("n")).toPandas()
     if not len(counts):
         return flat
     total = np.zeros((len(DOMAINS), SLOTS + 1))
@@ -116,18 +113,20 @@ def _temperature(held: DataFrame, odds: np.ndarray, prior: np.ndarray) -> float:
     def loss(batches):
         o, p0 = shared.value
         for batch in batches:
-            slot, of, n = _slots(batch.column(0))
-            y = batch.column(1).to_numpy(zero_copy_only=False)
-            out = [-np.log(np.maximum(posteriors_of(o, p0, t, slot, of, n)[0][np.arange(n), y], 1e-12)).sum() for t in GRID]
+            y, out = batch.column(1).to_numpy(zero_copy_only=False), np.zeros(len(GRID))
+            for i, j, slot, of in _pieces(batch.column(0)):
+                out += [-np.log(np.maximum(posteriors_of(o, p0, t, slot, of, j - i)[0][np.arange(j - i), y[i:j]], 1e-12)).sum() for t in GRID]
             yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in out], [f"t{k}" for k in range(len(GRID))])
 
-    found = held.select("text", "domain").mapInArrow(loss, ", ".join(f"t{k} double" for k in range(len(GRID)))).agg(*[F.sum(f"t{k}") for k in range(len(GRID))]).first()
+    found = held.select("text", "domain").mapInArrow(K.lean(loss), ", ".join(f"t{k} double" for k in range(len(GRID)))).agg(*[F.sum(f"t{k}") for k in range(len(GRID))]).first()
     return GRID[int(np.argmin(found))] if found[0] is not None else 0.0
 
 
 def _posteriors(model, batch_text):
-    slot, of, n = _slots(batch_text)
-    return posteriors_of(*model, slot, of, n)
+    p, words = np.zeros((len(batch_text), len(DOMAINS))), np.zeros(len(batch_text), np.int64)
+    for i, j, slot, of in _pieces(batch_text):
+        p[i:j], words[i:j] = posteriors_of(*model, slot, of, j - i)
+    return p, words
 
 
 def replay(p: np.ndarray, steps: np.ndarray) -> np.ndarray:
@@ -162,7 +161,7 @@ def solve(table: DataFrame, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in np.concatenate(found)], outs[: len(tried) * (d + d * d + 2)])
 
         used = outs[: len(tried) * (d + d * d + 2)]
-        found = table.select("words", *names).mapInArrow(run, ", ".join(f"{c} double" for c in used)).agg(*[F.sum(c) for c in used]).first()
+        found = table.select("words", *names).mapInArrow(K.lean(run), ", ".join(f"{c} double" for c in used)).agg(*[F.sum(c) for c in used]).first()
         found = np.array([x or 0.0 for x in found]).reshape(len(tried), -1) / total
         return [(x[:d], x[d:-2].reshape(d, d), x[-2], x[-1]) for x in found]
 
@@ -220,7 +219,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
             p, words = _posteriors(shared.value, batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), *[pa.array(p[:, k]) for k in range(len(names))]], ["words", *names])
 
-    table = written(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(weigh, "words long, " + ", ".join(f"{c} double" for c in names)), "posteriors")
+    table = written(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(K.lean(weigh), "words long, " + ", ".join(f"{c} double" for c in names)), "posteriors")
     wanted = np.array([(targets or TARGETS).get(d, 0.0) for d in DOMAINS], float) * (model[1] > 0)
     steps, _ = solve(table, wanted / (wanted.sum() or 1.0))
     new = ["words", *[f"post_{d}" for d in DOMAINS], "rate"]
@@ -233,4 +232,4 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
             p, words = _posteriors(shared.value, batch.column(at).cast(pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words.astype(np.int64)), *[pa.array(p[:, k]) for k in range(len(names))], pa.array(replay(p, steps))], [*kept, *new])
 
-    return docs.select(*kept).mapInArrow(rate, schema)
+    return docs.select(*kept).mapInArrow(K.lean(rate), schema)

@@ -135,7 +135,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
     sent = texts.select("id", "text").join(maybe_broadcast(asked), "id").select("a", "part", "role", "b", "text")
     # the pivot's text comes before those of its part, as role sorts first
     dealt = sent.repartition("a", "part").sortWithinPartitions("a", "part", "role", "b")
-    return dealt.mapInArrow(_verify(threshold), "a long, b long, similarity double").dropDuplicates(["a", "b"])
+    return dealt.mapInArrow(K.lean(_verify(threshold)), "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
 
 def _sets(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least id.  An empty table gives an empty one.  Other columns are not read, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
-    sig = written(rows.mapInArrow(_signatures, "id long, d1 long, d2 long, bands array<long>, " + ", ".join(f"{k} long" for k in SKETCH)), "signatures")
+    sig = written(rows.mapInArrow(K.lean(_signatures), "id long, d1 long, d2 long, bands array<long>, " + ", ".join(f"{k} long" for k in SKETCH)), "signatures")
     exact = sig.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     member = written(sig.select("id", "d1", "d2").join(exact, ["d1", "d2"]).select("id", "rep").distinct(), "copies")
     reps = member.where("id = rep").select("id")
