@@ -1,4 +1,4 @@
-"""Fuzzy line deduplication: MinHash signatures, banding, exact Jaccard, distributed union-find.
+"""Fuzzy line deduplication in DataFrame functions only: MinHash signatures, banding, exact Jaccard, distributed union-find.
 
 A line's shingles are its 5-character substrings at every place (a line of fewer characters is its own shingle), as a set of 64-bit
 hashes.  The hashes, in order, close to a ring that is cut into STARTS equal arcs.  A band is the run of the next few hashes from an arc's
@@ -6,26 +6,18 @@ beginning on, a MinHash sketch of as many rows: two lines of similarity s agree
 so 16 bands find a pair of similarity 0.8 with probability 0.97; lines of fewer shingles, whose runs overlap, have shorter runs and a second
 ring of rehashed shingles.  LEVELS overlap, so lines of similar enough sizes always have a level in common.
 
-In each bucket the member that shares most buckets with others is paired with the rest (a star); these pairs are verified by the exact
-Jaccard index of all shingles, and union-find joins them.  The star's centre has then been compared with all of its bucket; what else is in different
+In each bucket a centre is paired with the rest (a star): first the member that shares most buckets with others, then, where
+different components are left, another one.  These pairs are verified by the exact Jaccard index of all shingles, and union-find joins
+them.  A centre that has been compared with all of its bucket leaves it; what then is in different
 components of one bucket is compared inside a join, by the same index, so only links leave it.  Equal lines
 meet by 128 bits of hash before any of this.  Of each component the earliest line stays.
-
-Signatures and sets of shingles are made from Arrow buffers, the rest is DataFrame functions: hashing every shingle by higher-order
-functions gives the same result, but costs more than the check tool allows (figures in the README).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm import kernels as K
-from folioflow.llm.buckets import bucket_links, open_buckets
 from folioflow.llm.common import components, maybe_broadcast, rows_of, written
 
 THRESHOLD = 0.8
@@ -34,163 +26,38 @@ WIDTH = 5
 LEVELS = ((3, 3, 2), (4, 8, 2), (5, 20, 2), (7, 64, 1))
 STARTS_BITS = 4
 STARTS = 1 << STARTS_BITS
-#: Bits of a hash that order the ring; the others hold the number of the line while a piece of text is sorted.
-RING_BITS = 48
-LINES = 1 << (64 - RING_BITS)
+STARS = 2
 #: Shared bands, one number each, that may be broadcast (16 MB of numbers); with more, they meet by shuffle.
 BANDS_ROWS = 2_000_000
-#: Other members of a bucket that are verified against one copy of the pivot's line.
-MEMBERS = 1024
-_FACTOR = np.random.default_rng(5).integers(1, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and line number of the shingle at each place of each line; of a line of fewer characters one hash of all of it."""
-    at = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][offsets]
-    raw = data.tobytes()
-    text = raw.decode("utf-8", "surrogateescape")
-    char = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if len(char) != at[-1]:  # bytes that are no UTF-8 count as a character each
-        at = np.r_[0, np.cumsum([len(raw[a:b].decode("utf-8", "surrogateescape")) for a, b in zip(offsets[:-1], offsets[1:])])]
-    size = np.diff(at)
-    line = np.repeat(np.arange(len(size)), size)
-    n = len(char) - WIDTH + 1
-    out, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    if n > 0:
-        h = char[:n] * _FACTOR[0]
-        for k in range(1, WIDTH):
-            h += char[k : k + n] * _FACTOR[k]
-        whole = line[:n] == line[WIDTH - 1 :]
-        out.append(K.mix(h[whole]))
-        of.append(line[:n][whole])
-    short = np.flatnonzero((size < WIDTH) & (size > 0))
-    if len(short):
-        h = size[short].astype(np.uint64) * K.BASE
-        for k in range(WIDTH - 1):
-            has = size[short] > k
-            h[has] += char[at[short][has] + k] * _FACTOR[k]
-        out.append(K.mix(h + np.uint64(1)))
-        of.append(short)
-    return np.concatenate(out), np.concatenate(of)
-
-
-def _ring(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes of each line in order, with the line's number in the upper bits; the lines that have any, and where each begins."""
-    key = np.sort((line.astype(np.uint64) << np.uint64(RING_BITS)) | (h >> np.uint64(64 - RING_BITS)))
-    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
-    begin = np.flatnonzero(np.r_[True, (key[1:] >> np.uint64(RING_BITS)) != (key[:-1] >> np.uint64(RING_BITS))]) if len(key) else np.zeros(0, np.int64)
-    return key, (key[begin] >> np.uint64(RING_BITS)).astype(np.int64), begin
-
-
-def _runs(key: np.ndarray, begin: np.ndarray, count: np.ndarray, chosen: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """Place in begin and band key of each run of the chosen lines: from the first hash of each arc on, round the ring."""
-    arc = key >> np.uint64(RING_BITS - STARTS_BITS)
-    lead = np.flatnonzero(np.r_[True, arc[1:] != arc[:-1]])
-    of = np.searchsorted(begin, lead, "right") - 1
-    lead, of = lead[chosen[of]], of[chosen[of]]
-    out, ring = np.full(len(lead), run, np.uint64), np.uint64((1 << RING_BITS) - 1)
-    for k in range(run):
-        at = lead + k
-        at -= count[of] * (at >= begin[of] + count[of])
-        out = K.mix(out * K.BASE + (key[at] & ring))
-    return of, out
-
-
-def bands(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Line number and band key, distinct and in order; and the number of shingles of each line.  At most LINES lines."""
-    h, line = _shingles(data, offsets)
-    sizes = np.zeros(len(offsets) - 1, np.int32)
-    if not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), sizes
-    key, which, begin = _ring(h, line)
-    count = np.diff(np.r_[begin, len(key)])
-    sizes[which] = count
-    few = np.flatnonzero(count < LEVELS[0][1])  # sets of one or two: only equal ones are similar enough
-    found = [(which[few], _few(key, begin[few], count[few]))]
-    rings = [(key, which, begin, count)]
-    small = sizes[line] < LEVELS[-1][1]
-    if small.any():
-        again, second, start = _ring(K.mix(h[small] ^ K.BASE), line[small])
-        rings.append((again, second, start, np.diff(np.r_[start, len(again)])))
+
+
+def _shingles(line: str) -> Column:
+    """The set of 64-bit hashes of the 5-character shingles at every place of a line; of a shorter line its own hash."""
+    grams = F.transform(F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{5}))"), F.lit(1)), lambda x: F.xxhash64(x))
+    return F.when(F.length(line) < WIDTH, F.array(F.xxhash64(line))).otherwise(F.array_distinct(grams))
+
+
+def _runs(ring: str, arcs: str, run: int, low: int, high: int) -> Column:
+    """Of sorted hashes, low <= number < high: from the first hash of each arc on, a hash of it and the next run - 1, round the ring."""
+    first = F.transform(F.array(*[F.lit(k).cast("long") for k in range(STARTS)]), lambda a: F.array_position(arcs, a).cast("int"))
+    leads = F.array_remove(first, 0)
+    keys = F.transform(leads, lambda i: F.xxhash64(F.lit(run), *[F.get(ring, F.pmod(i + k - 1, F.size(ring))) for k in range(run)]))
+    return F.when((F.size(ring) >= low) & (F.size(ring) < high), keys).otherwise(F.array().cast("array<bigint>"))
+
+
+def _banded(lines: DataFrame) -> DataFrame:
+    """lines with bands, the band keys of each, in place of line."""
+    rings = lines.withColumn("ring0", F.sort_array(_shingles("line")))
+    short = F.size("ring0") < LEVELS[-1][1]
+    rings = rings.withColumn("ring1", F.when(short, F.sort_array(F.transform("ring0", lambda x: F.xxhash64(F.lit(2), x)))).otherwise(F.array().cast("array<bigint>")))
+    for r in (0, 1):
+        rings = rings.withColumn(f"arcs{r}", F.transform(f"ring{r}", lambda x: F.shiftrightunsigned(x, 64 - STARTS_BITS)))
+    # sets of one or two shingles: only equal ones are similar enough
+    keys = [F.when(F.size("ring0") < LEVELS[0][1], F.array(F.xxhash64(F.lit(1), "ring0"))).otherwise(F.array().cast("array<bigint>"))]
     for k, (run, least, many) in enumerate(LEVELS):
-        low, high = max(run, int(least * THRESHOLD)), LEVELS[k + 1][1] if k + 1 < len(LEVELS) else 1 << 62
-        for r, (key, which, begin, count) in enumerate(rings[:many]):
-            of, band = _runs(key, begin, count, (count >= low) & (count < high), run)
-            found.append((which[of], band + np.uint64(r)))
-    line, band = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((band, line))
-    line, band = line[order], band[order]
-    new = np.r_[True, (line[1:] != line[:-1]) | (band[1:] != band[:-1])]
-    return line[new], band[new], sizes
-
-
-def _few(key: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """One key for all of a set of at most two."""
-    ring = np.uint64((1 << RING_BITS) - 1)
-    out = K.mix((key[begin] & ring) + np.uint64(1))
-    two = count == 2
-    out[two] = K.mix(out[two] * K.BASE + (key[begin[two] + 1] & ring))
-    return out
-
-
-def _pieces(offsets: np.ndarray):
-    """Ranges of lines of a bounded size and at most LINES lines."""
-    for i, j in K.chunks(offsets):
-        for a in range(i, j, LINES):
-            yield a, min(j, a + LINES)
-
-
-def _sign(batches):
-    """(l1, m, bands) from (l1, line)."""
-    for batch in batches:
-        data, offsets = K.buffers(batch.column(1))
-        keys, counts, sizes = [], [], []
-        for i, j in _pieces(offsets):
-            o = offsets[i : j + 1]
-            line, band, m = bands(data[o[0] : o[-1]], o - o[0])
-            keys.append(band)
-            counts.append(np.bincount(line, minlength=j - i))
-            sizes.append(m)
-        n, flat, m = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((counts, np.int64), (keys, np.uint64), (sizes, np.int32)))
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), K.as_long(flat))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m, pa.int32()), lists], ["l1", "m", "bands"])
-
-
-def _sets(texts) -> Iterator[np.ndarray]:
-    """The distinct shingle hashes of each line, in order; a piece of the lines at a time."""
-    data, offsets = K.buffers(texts)
-    for i, j in K.chunks(offsets):
-        o = offsets[i : j + 1]
-        h, line = _shingles(data[o[0] : o[-1]], o - o[0])
-        order = np.lexsort((h, line))
-        h, line = h[order], line[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])] if len(h) else np.zeros(0, bool)
-        h, line = h[new], line[new]
-        cut = np.searchsorted(line, np.arange(j - i + 1))
-        yield from (h[cut[k] : cut[k + 1]] for k in range(j - i))
-
-
-def _verify(threshold: float):
-    """Links from rows (a, part, role, l1, l2, line): the lines of a pivot a, role 0, come before those that it is compared with."""
-
-    def run(batches):
-        pivot: tuple = (None, [])
-        for batch in batches:
-            role, a, l1, l2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("role", "a", "l1", "l2"))
-            out = []
-            for k, mine in enumerate(_sets(batch.column("line"))):
-                if role[k] == 0:
-                    pivot = (a[k], pivot[1] if pivot[0] == a[k] else [])
-                    pivot[1].append((l1[k], l2[k], mine.copy()))
-                elif pivot[0] == a[k]:
-                    for p1, p2, other in pivot[1]:
-                        both = np.count_nonzero(other[np.minimum(np.searchsorted(other, mine), len(other) - 1)] == mine)
-                        if both >= threshold * (len(mine) + len(other) - both):
-                            out.append((p1, p2, l1[k], l2[k]))
-            cols = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a1", "a2", "b1", "b2"])
-
-    return run
+        low, high = max(run, int(least * THRESHOLD)), LEVELS[k + 1][1] if k + 1 < len(LEVELS) else 1 << 31
+        keys += [_runs(f"ring{r}", f"arcs{r}", run, low, high) for r in range(many)]
+    return rings.withColumn("bands", F.array_distinct(F.concat(*keys))).drop("line", "ring0", "ring1", "arcs0", "arcs1")
 
 
 def _place() -> Column:
@@ -207,49 +74,79 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumns({"l1": F.xxhash64("line"), "l2": F.xxhash64(F.lit(1), "line"), "place": _place()})
 
 
-def _ends(links: DataFrame) -> DataFrame:
-    return links.select(F.struct(F.col("a1").alias("l1"), F.col("a2").alias("l2")).alias("a"), F.struct(F.col("b1").alias("l1"), F.col("b2").alias("l2")).alias("b"))
+def _similar(a: str, b: str, both: Column, threshold: float) -> Column:
+    """Whether sets of a and b members, both of them common, have a Jaccard index of at least threshold."""
+    return both >= threshold * (F.col(a) + F.col(b) - both)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links among pairs (a, b) of l1; each pivot's line goes once to a part of the lines that it is compared with."""
-    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    keyed = written(pairs.join(maybe_broadcast(written(counts, "counts")), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / MEMBERS)).alias("part")), "dealt")
-    asked = keyed.select(F.col("b").alias("at"), F.lit(1).alias("role"), "a", "part").union(keyed.select(F.col("a").alias("at"), F.lit(0).alias("role"), "a", "part").distinct())
-    sent = texts.join(maybe_broadcast(asked) if rows_of(keyed) <= 250_000 else asked, F.col("l1") == F.col("at")).select("a", "part", "role", "l1", "l2", "line")
-    dealt = sent.repartition("a", "part").sortWithinPartitions("a", "part", "role")
-    return _ends(dealt.mapInArrow(K.lean(_verify(threshold)), "a1 long, a2 long, b1 long, b2 long").distinct())
+    """Pairs (a, b) of l1 whose lines are similar enough, as structs (l1, l2)."""
+    # sets of too different sizes can't be similar enough, whatever they share
+    sizes = maybe_broadcast(written(texts.select("l1", "l2", "m"), "sizes"))
+    met = pairs.join(sizes.toDF("a", "a2", "ma"), "a").join(sizes.toDF("b", "b2", "mb"), "b")
+    met = met.where(F.least("ma", "mb") >= threshold * F.greatest("ma", "mb"))
+    # the lines travel, not their shingles, which are eight times as large
+    met = met.join(texts.select("l1", "l2", "line").toDF("a", "a2", "la"), ["a", "a2"]).join(texts.select("l1", "l2", "line").toDF("b", "b2", "lb"), ["b", "b2"])
+    met = met.withColumn("both", F.size(F.array_intersect(_shingles("la"), _shingles("lb"))))
+    met = met.where(_similar("ma", "mb", F.col("both"), threshold))
+    return met.select(F.struct(F.col("a").alias("l1"), F.col("a2").alias("l2")).alias("a"), F.struct(F.col("b").alias("l1"), F.col("b2").alias("l2")).alias("b")).distinct()
 
 
-def _weighted(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    return ((h, np.ones(len(h), np.int64)) for h in _sets(texts))
+def _rooted(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component, with the root of each line (itself, if it has no link)."""
+    of = written(roots.groupBy(F.col("id.l1").alias("l1")).agg(F.min("root").alias("r")), "of")
+    rooted = buckets.join(maybe_broadcast(of), "l1", "left").withColumn("root", F.coalesce("r", F.struct("l1", F.lit(None).cast("long").alias("l2")))).drop("r")
+    open_ = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    return written(rooted.join(open_, "band"), "mixed")
+
+
+def _rest(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between lines of one bucket in different components.
+
+    The exact index is part of the join's condition: what is compared never leaves the join, only links do.  Two lines that share
+    several buckets are compared in the least of them only.
+    """
+    mine = mixed.groupBy("l1").agg(F.collect_set("band").alias("bands"), F.min("root").alias("root"))
+    sets = mine.join(texts, "l1").select("l1", "l2", "root", "bands", "m", _shingles("line").alias("g"))
+    rows = written(sets.withColumn("band", F.explode("bands")), "compared")
+    x, y = (rows.select(*[F.col(c).alias(f"{s}{c}") for c in rows.columns]) for s in "xy")
+    near = (F.col("xband") == F.col("yband")) & (F.struct("xl1", "xl2") < F.struct("yl1", "yl2")) & (F.col("xroot") != F.col("yroot"))
+    near = near & (F.least("xm", "ym") >= threshold * F.greatest("xm", "ym")) & (F.array_min(F.array_intersect("xbands", "ybands")) == F.col("xband"))
+    links = x.join(y, near & _similar("xm", "ym", F.size(F.array_intersect("xg", "yg")), threshold))
+    return links.select(F.struct(F.col("xl1").alias("l1"), F.col("xl2").alias("l2")).alias("a"), F.struct(F.col("yl1").alias("l1"), F.col("yl2").alias("l2")).alias("b"))
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(l1, l2, keep): the earliest (doc, pos) of the component, for each line that is repeated or similar to another."""
     lines = _lines(docs, id_col, text_col).where(F.trim("line") != "")
     reps = written(lines.groupBy("l1", "l2").agg(F.min("place").alias("first"), F.count("*").alias("n")), "lines")
-    signed = written(lines.select("l1", "line").mapInArrow(K.lean(_sign), "l1 long, m int, bands array<long>"), "signed").select("l1", "m", F.explode("bands").alias("band"))
+    signed = written(_banded(lines.select("l1", "line")), "signed").select("l1", F.explode("bands").alias("band"))
     # combined before the shuffle, so a line that is very often repeated counts once a task
     shared = written(signed.groupBy("band").agg(F.min("l1").alias("lo"), F.max("l1").alias("hi")).where("lo <> hi").select("band"), "shared")
-    members = written(signed.join(maybe_broadcast(shared, BANDS_ROWS), "band", "left_semi").distinct(), "members")
-    weights = written(members.groupBy("l1").agg(F.count("*").alias("w")), "weights")
+    buckets = written(signed.join(maybe_broadcast(shared, BANDS_ROWS), "band", "left_semi").distinct(), "members")
+    weights = written(buckets.groupBy("l1").agg(F.count("*").alias("w")), "weights")
+    buckets = written(buckets.join(maybe_broadcast(weights), "l1"), "buckets")
     # of each line in a bucket its text, from its earliest occurrence
     asked = written(reps.join(maybe_broadcast(weights), "l1", "left_semi").select(F.col("l1").alias("a1"), F.col("l2").alias("a2"), "first"), "asked")
-    texts = written(lines.join(maybe_broadcast(asked), F.expr("l1 = a1 and l2 = a2 and place = first")).select("l1", "l2", "line").dropDuplicates(["l1", "l2"]), "texts")
-    weighted = members.join(maybe_broadcast(weights), "l1")
-    centre = weighted.groupBy("band").agg(F.max_by(F.struct("l1", "m"), F.struct("w", "l1")).alias("p")).select("band", F.col("p.l1").alias("pivot"), F.col("p.m").alias("pm"))
-    star = written(members.join(maybe_broadcast(written(centre, "centres")), "band").where("l1 <> pivot"), "star")
-    # sets of too different sizes can't be similar enough, whatever they share
-    pairs = star.where(F.least("m", "pm") >= threshold * F.greatest("m", "pm")).select(F.col("pivot").alias("a"), F.col("l1").alias("b")).distinct()
-    links = written(_verified(pairs, texts, threshold), "links")
-    roots = written(components(links), "roots")
-    # the centre has been compared with all others of its bucket
-    ids = asked.select(F.col("a1").alias("l1"), F.struct(F.col("a1").alias("l1"), F.col("a2").alias("l2")).alias("id"))
-    mixed = open_buckets(star.select("band", "l1").join(maybe_broadcast(written(ids, "ids")), "l1").select("band", "id"), roots)
-    if rows_of(mixed):
-        found = bucket_links(mixed, texts.select(F.struct("l1", "l2").alias("id"), F.col("line").alias("text")), _weighted, threshold)
-        roots = written(components(links.union(found)), "roots")
+    texts = lines.join(maybe_broadcast(asked), F.expr("l1 = a1 and l2 = a2 and place = first")).select("l1", "l2", "line").dropDuplicates(["l1", "l2"])
+    texts = written(texts.withColumn("m", F.size(_shingles("line"))), "texts")
+    links, mixed = None, buckets.withColumn("root", F.struct("l1", F.lit(None).cast("long").alias("l2")))
+    for star in range(STARS):
+        order = F.struct("w", "l1") if star == 0 else F.struct(F.xxhash64("l1", F.lit(star)))
+        centres = mixed.groupBy("band").agg(F.max_by(F.struct("l1", "root"), order).alias("p")).select("band", F.col("p.l1").alias("centre"), F.col("p.root").alias("croot"))
+        met = written(mixed.join(centres, "band").where("l1 <> centre"), "met")
+        pairs = met.where(F.col("root") != F.col("croot")).select(F.least("l1", "centre").alias("a"), F.greatest("l1", "centre").alias("b")).distinct()
+        found = _verified(written(pairs, "pairs"), texts, threshold)
+        links = written(found if links is None else links.union(found).distinct(), "links")
+        roots = written(components(links), "roots")
+        # the centre has been compared with all others of its bucket
+        mixed = _rooted(met.select("band", "l1", "w"), roots)
+        if not rows_of(mixed):
+            break
+    else:
+        more = written(_rest(mixed.select("band", "l1", "root"), texts, threshold), "rest")
+        if rows_of(more):
+            roots = written(components(links.union(more)), "roots")
     line = reps.select("l1", "l2", "first", "n", F.struct("l1", "l2").alias("id"))
     rooted = line.join(maybe_broadcast(roots), "id", "left")
     earliest = rooted.where("root is not null").groupBy("root").agg(F.min("first").alias("best"))
