@@ -185,7 +185,7 @@ RECORD_SQL = f"""with {_PARTS}
  select doc_id, pos, {sql_strip("case when sign <> '' then sign || " + _GAP("sign", "a") + " || body else body end")} as text, case when len(seen) > 0 then cast(10 + pos % 3 as double) else 12.0 end as size, cast(12 as double) as height,
  len(seen) > 0 and sign = '' and note = '' and (not outer_seen or fl in (16, 18)) as bold, b_seen or (outer_seen and fl in (16, 18)) as any_bold, len(seen) > 0 and sign = '' and note = '' and not b_seen and fl in (2, 18) as italic,
  case when sign <> '' then abs(300 - 306) <= 18.36 when note <> '' then abs(312 - 306) <= 18.36 else true end as centered,
- case when sign <> '' and (trim(a) <> '' or trim(b) <> '' or trim(c) <> '' or note <> '') then sign end as list_marker, case when sign = '' then null when trim(a) <> '' then 100.0 when trim(b) <> '' then 200.0 when trim(c) <> '' then 302.0 when note <> '' then 520.0 end as list_text_x from t"""
+ case when sign <> '' and (trim(a) <> '' or trim(b) <> '' or trim(c) <> '' or note <> '') then sign end as list_marker, cast(case when sign = '' then null when trim(a) <> '' then 100 when trim(b) <> '' then 200 when trim(c) <> '' then 302 when note <> '' then 520 end as double) as list_text_x from t"""
 
 
 def _tables(spark, d):

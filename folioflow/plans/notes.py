@@ -274,7 +274,7 @@ def drawn_figures(spark, d):
     return rows.select("doc_id", G.is_drawn_figure(F.col("fill"), F.lit(10.0), F.lit(20.0), F.col("x1"), F.lit(520.5), F.col("rect"), X.WIDTH, X.HEIGHT).alias("drawn"), G.is_raster(F.col("kind"), F.col("bytes")).alias("raster"), region["pixels_x"].alias("px"), region["pixels_y"].alias("py"), G.coloured_share(pixels).alias("coloured"))
 
 
-DRAWN_SQL = "select doc_id, doc_id % 4 <> 3 as drawn, doc_id % 4 = 0 as raster, case when doc_id % 4 = 3 then 1192 else 392 end as px, 1013 as py, case when doc_id % 4 = 0 then 0.5 else 0.25 end as coloured from documents"
+DRAWN_SQL = "select doc_id, doc_id % 4 <> 3 as drawn, doc_id % 4 = 0 as raster, case when doc_id % 4 = 3 then 1192 else 392 end as px, 1013 as py, cast(case when doc_id % 4 = 0 then 0.5 else 0.25 end as double) as coloured from documents"
 
 
 def note_names(spark, d):
