@@ -108,7 +108,8 @@ def _rest(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """
     mine = mixed.groupBy("l1").agg(F.collect_set("band").alias("bands"), F.min("root").alias("root"))
     sets = mine.join(texts, "l1").select("l1", "l2", "root", "bands", "m", _shingles("line").alias("g"))
-    rows = written(sets.withColumn("band", F.explode("bands")), "compared")
+    # written once a line, not once a bucket that it is in
+    rows = written(sets, "compared").withColumn("band", F.explode("bands"))
     x, y = (rows.select(*[F.col(c).alias(f"{s}{c}") for c in rows.columns]) for s in "xy")
     near = (F.col("xband") == F.col("yband")) & (F.struct("xl1", "xl2") < F.struct("yl1", "yl2")) & (F.col("xroot") != F.col("yroot"))
     near = near & (F.least("xm", "ym") >= threshold * F.greatest("xm", "ym")) & (F.array_min(F.array_intersect("xbands", "ybands")) == F.col("xband"))
