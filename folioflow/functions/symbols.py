@@ -30,6 +30,12 @@ _CUE = _ALONE % _EITHER(CUES)
 _LEFT, _RIGHT = r"(?<=[A-Za-z0-9)~¬])", r"(?=[A-Za-z(~¬])"
 #: A letter by itself, or the bracket on that side.
 _ONE_LEFT, _ONE_RIGHT = r"((?<![A-Za-z0-9])[A-Za-z]|\))", r"([A-Za-z](?![A-Za-z0-9])|\()"
+#: A between operands.  As a proposition's name A only goes with capitals, and three or more of it in a row are a word that is repeated, no formula.
+_AND = {
+    r"((?<![A-Za-z0-9])[B-Za-z]|\))\s+A\s+([B-Za-z](?![A-Za-z0-9])|\()": "$1 ∧ $2",
+    r"((?<![A-Za-z0-9])[B-Z]|\))\s+A\s+A(?![A-Za-z0-9]|\s+A(?![A-Za-z0-9]))": "$1 ∧ A",
+    r"((?:^|[^A\s]|[A-Za-z0-9]A)\s+|^|[^A-Za-z0-9\s])A\s+A\s+([B-Z](?![A-Za-z0-9])|\()": "$1A ∧ $2",
+}
 _UNKNOWN = r"(?<=[A-Za-z(~])\s*\?\s*(?=[A-Za-z)])"
 _GLYPH = r"(?<=[A-Z)])(\s*)\p{Co}(\s*)(?=[A-Z(])"
 
@@ -60,7 +66,8 @@ def _signed(line: Column) -> Column:
         x = T.sub(x, rf"{_ONE_LEFT}\s*{one}\s*{_ONE_RIGHT}", f"$1 {by} $2")
     for words, by in SPELLED.items():
         x = T.sub(x, rf"(?i){_ALONE % words.replace(' ', r'\s+')}", by)
-    x = T.sub(x, rf"{_ONE_LEFT}\s+A\s+{_ONE_RIGHT}", "$1 ∧ $2")
+    for words, by in _AND.items():
+        x = T.sub(x, words, by)
     x = T.sub(x, rf"{_ONE_LEFT}\s+[vV]\s+{_ONE_RIGHT}", "$1 ∨ $2")
     return T.sub(x, rf"{_ONE_LEFT}\s*\^\s*{_ONE_RIGHT}", "$1 ∧ $2")
 

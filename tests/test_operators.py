@@ -22,6 +22,16 @@ def test_symbols(spark, text, want):
     assert one(spark, symbols.symbols(F.col("t")), t=text) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("P -> Q . " + "A " * 24 + "iner.", "P → Q . " + "A " * 24 + "iner."), ("A A A", "A A A"), ("of. A A A A a a", "of. A A A A a a"), ("y A A a a", "y A A a a"), ("P A A A Q", "P A A A Q"),
+        ("A A B", "A ∧ B"), ("P A A", "P ∧ A"), ("~A A (B v C), ¬A A B", "¬A ∧ (B ∨ C), ¬A ∧ B"), ("(P v Q) A A", "(P ∨ Q) ∧ A"), ("e: p A q", "e: p ∧ q"), ("BA A B; P A A B", "BA A B; P ∧ A B")],
+)
+def test_a_repeated_word_is_no_formula(spark, text, want):
+    assert one(spark, symbols.symbols(F.col("t")), t=text) == want
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [("a<!-- x\ny -->b", "ab"), ("a<br>b", "a\nb"), ("| a<br>b |", "| a<br>b |"), ("<u>x</u>\r\n\r\n\r\n\r\ny", "x\n\ny"), ("<script>s</script>", "<script>s</script>")],
