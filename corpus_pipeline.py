@@ -25,7 +25,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is the threshold or more go.  A null or empty text has the score of a text of unknown words; each row is judged by its text
     alone, so repeated rows go or stay together; an empty table stays empty."""
-    return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"), models=toxicity.word_model)
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
