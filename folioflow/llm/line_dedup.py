@@ -26,38 +26,55 @@ WIDTH = 5
 LEVELS = ((3, 3, 2), (4, 8, 2), (5, 20, 2), (7, 64, 1))
 STARTS_BITS = 4
 STARTS = 1 << STARTS_BITS
+#: The least number of each arc.
+EDGES = tuple((k << (64 - STARTS_BITS)) - (1 << 63) for k in range(STARTS))
 STARS = 2
 #: Shared bands, one number each, that may be broadcast (16 MB of numbers); with more, they meet by shuffle.
 BANDS_ROWS = 2_000_000
 
 
+def _grams(line: str) -> Column:
+    """The 64-bit hashes of the 5-character shingles at every place of a line, repeated ones too; of a shorter line its own hash."""
+    # four bytes a character, so that a shingle is found by its place; bound by a lambda, or else the line would be encoded for each shingle
+    size = 4 * WIDTH
+    places = lambda wide: F.sequence(F.lit(1), F.octet_length(wide) - (size - 1), F.lit(4))
+    grams = lambda wide: F.transform(places(wide), lambda i: F.xxhash64(F.call_function("substring", wide, i, F.lit(size))))
+    found = F.transform(F.array(F.encode(line, "UTF-32")), lambda wide: F.when(F.octet_length(wide) < size, F.array(F.xxhash64(wide))).otherwise(grams(wide)))
+    return F.get(found, F.lit(0))
+
+
 def _shingles(line: str) -> Column:
-    """The set of 64-bit hashes of the 5-character shingles at every place of a line; of a shorter line its own hash."""
-    grams = F.transform(F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{5}))"), F.lit(1)), lambda x: F.xxhash64(x))
-    return F.when(F.length(line) < WIDTH, F.array(F.xxhash64(line))).otherwise(F.array_distinct(grams))
+    """The set of a line's shingles."""
+    return F.array_distinct(_grams(line))
+
+
+def _runs(r: int, run: int, low: int, high: int) -> Column:
+    """Of the hashes of ring r, low <= number < high: from the first hash of each arc on, a hash of it and the next run - 1, round the ring."""
+    keys = F.transform(f"leads{r}", lambda i: F.xxhash64(F.lit(run), F.slice(f"round{r}", i, F.lit(run))))
+    return F.when((F.size(f"ring{r}") >= low) & (F.size(f"ring{r}") < high), keys).otherwise(F.array().cast("array<bigint>"))
 
 
-def _runs(ring: str, arcs: str, run: int, low: int, high: int) -> Column:
-    """Of sorted hashes, low <= number < high: from the first hash of each arc on, a hash of it and the next run - 1, round the ring."""
-    first = F.transform(F.array(*[F.lit(k).cast("long") for k in range(STARTS)]), lambda a: F.array_position(arcs, a).cast("int"))
-    leads = F.array_remove(first, 0)
-    keys = F.transform(leads, lambda i: F.xxhash64(F.lit(run), *[F.get(ring, F.pmod(i + k - 1, F.size(ring))) for k in range(run)]))
-    return F.when((F.size(ring) >= low) & (F.size(ring) < high), keys).otherwise(F.array().cast("array<bigint>"))
+def _leads(marks: str) -> Column:
+    """Of each arc the place of its first hash in a ring, from marks, the ring sorted with EDGES: an edge stands behind as many edges as its number."""
+    return F.array(*[(F.array_position(marks, F.lit(e)) - k).cast("int") for k, e in enumerate(EDGES)])
 
 
 def _banded(lines: DataFrame) -> DataFrame:
     """lines with bands, the band keys of each, in place of line."""
-    rings = lines.withColumn("ring0", F.sort_array(_shingles("line")))
-    short = F.size("ring0") < LEVELS[-1][1]
-    rings = rings.withColumn("ring1", F.when(short, F.sort_array(F.transform("ring0", lambda x: F.xxhash64(F.lit(2), x)))).otherwise(F.array().cast("array<bigint>")))
-    for r in (0, 1):
-        rings = rings.withColumn(f"arcs{r}", F.transform(f"ring{r}", lambda x: F.shiftrightunsigned(x, 64 - STARTS_BITS)))
+    none = F.array().cast("array<bigint>")
+    marks = lambda ring: F.sort_array(F.concat(ring, F.array(*[F.lit(e) for e in EDGES])))
+    # an arc without hashes has the run of the next one, the last ones that of the first
+    round_ = lambda ring: F.concat(ring, F.slice(ring, 1, LEVELS[-1][0]))
+    spans = [(run, max(run, int(least * THRESHOLD)), LEVELS[k + 1][1] if k + 1 < len(LEVELS) else 1 << 31, many) for k, (run, least, many) in enumerate(LEVELS)]
+    keys = lambda r: F.concat(*[_runs(r, run, low, high) for run, low, high, many in spans if many > r])
     # sets of one or two shingles: only equal ones are similar enough
-    keys = [F.when(F.size("ring0") < LEVELS[0][1], F.array(F.xxhash64(F.lit(1), "ring0"))).otherwise(F.array().cast("array<bigint>"))]
-    for k, (run, least, many) in enumerate(LEVELS):
-        low, high = max(run, int(least * THRESHOLD)), LEVELS[k + 1][1] if k + 1 < len(LEVELS) else 1 << 31
-        keys += [_runs(f"ring{r}", f"arcs{r}", run, low, high) for r in range(many)]
-    return rings.withColumn("bands", F.array_distinct(F.concat(*keys))).drop("line", "ring0", "ring1", "arcs0", "arcs1")
+    tiny = F.when(F.size("ring0") < LEVELS[0][1], F.array(F.xxhash64(F.lit(1), "ring0"))).otherwise(none)
+    again = F.when(F.size("ring0") < LEVELS[-1][1], F.sort_array(F.transform("ring0", lambda x: F.xxhash64(F.lit(2), x)))).otherwise(none)
+    rings = lines.withColumn("ring0", F.sort_array(_shingles("line"))).withColumns({"marks0": marks("ring0"), "round0": round_("ring0")})
+    # leads stand beside a lambda: such a projection is compiled in pieces, without one as a single method, which is too long for the JIT compiler
+    rings = rings.withColumns({"leads0": _leads("marks0"), "ring1": again}).withColumns({"marks1": marks("ring1"), "round1": round_("ring1")})
+    rings = rings.withColumns({"leads1": _leads("marks1"), "keys0": keys(0)}).withColumn("bands", F.array_distinct(F.concat(tiny, "keys0", keys(1))))
+    return rings.select(*[c for c in lines.columns if c != "line"], "bands")
 
 
 def _place() -> Column:
@@ -76,7 +93,11 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _similar(a: str, b: str, both: Column, threshold: float) -> Column:
     """Whether sets of a and b members, both of them common, have a Jaccard index of at least threshold."""
-    return both >= threshold * (F.col(a) + F.col(b) - both)
+    total = F.col(a) + F.col(b)
+    enough = lambda n: n >= threshold * (total - n)
+    # against the least number that is enough: a filter or join evaluates each mention of both anew, and it is the dear part
+    n = F.floor(threshold * total / (1 + threshold))
+    return both >= F.when(enough(n - 1), n - 1).when(enough(n), n).when(enough(n + 1), n + 1).otherwise(n + 2)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -87,7 +108,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     met = met.where(F.least("ma", "mb") >= threshold * F.greatest("ma", "mb"))
     # the lines travel, not their shingles, which are eight times as large
     met = met.join(texts.select("l1", "l2", "line").toDF("a", "a2", "la"), ["a", "a2"]).join(texts.select("l1", "l2", "line").toDF("b", "b2", "lb"), ["b", "b2"])
-    met = met.withColumn("both", F.size(F.array_intersect(_shingles("la"), _shingles("lb"))))
+    met = met.withColumn("both", F.size(F.array_intersect(_grams("la"), _grams("lb"))))
     met = met.where(_similar("ma", "mb", F.col("both"), threshold))
     return met.select(F.struct(F.col("a").alias("l1"), F.col("a2").alias("l2")).alias("a"), F.struct(F.col("b").alias("l1"), F.col("b2").alias("l2")).alias("b")).distinct()
 
@@ -120,8 +141,10 @@ def _rest(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(l1, l2, keep): the earliest (doc, pos) of the component, for each line that is repeated or similar to another."""
     lines = _lines(docs, id_col, text_col).where(F.trim("line") != "")
-    reps = written(lines.groupBy("l1", "l2").agg(F.min("place").alias("first"), F.count("*").alias("n")), "lines")
-    signed = written(_banded(lines.select("l1", "line")), "signed").select("l1", F.explode("bands").alias("band"))
+    # one pass over the texts gives both
+    marked = written(_banded(lines.select("l1", "l2", "place", "line")), "signed")
+    reps = written(marked.groupBy("l1", "l2").agg(F.min("place").alias("first"), F.count("*").alias("n")), "lines")
+    signed = marked.select("l1", F.explode("bands").alias("band"))
     # combined before the shuffle, so a line that is very often repeated counts once a task
     shared = written(signed.groupBy("band").agg(F.min("l1").alias("lo"), F.max("l1").alias("hi")).where("lo <> hi").select("band"), "shared")
     buckets = written(signed.join(maybe_broadcast(shared, BANDS_ROWS), "band", "left_semi").distinct(), "members")

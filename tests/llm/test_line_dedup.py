@@ -115,3 +115,30 @@ def test_a_large_group_of_near_copies(spark):
         rows.append((i, "".join(w)))
     got = {r.doc_id: r.text for r in L.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i, _ in rows] == brute(rows) and 3 < sum(x != "" for x in got.values()) < 60
+
+
+def test_each_shingle_and_common_part_is_made_once(spark):
+    """Shingles are cut by place from a line that is encoded once, characters beyond 16 bits are one each, and pairs are intersected once."""
+    from pyspark.sql import functions as F
+
+    lines = ["", "abcd", "abcde", "a\U0001f600b\U0001f600cde", "\u00e9\u00df" * 9, "\U0001f600" * 7, "x" * 40]
+    docs = spark.createDataFrame([(k, 0, x) for k, x in enumerate(lines)], "l1 long, l2 long, line string")
+    got = {r.line: set(r.g) for r in docs.select("line", L._shingles("line").alias("g")).collect()}
+    assert [len(got[x]) for x in lines] == [len(grams(x)) for x in lines]
+    assert all(len(got[x] & got[y]) == len(grams(x) & grams(y)) for x in lines for y in lines)
+    plan = L._banded(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and plan.count("UTF-32") == 1
+    pairs = docs.select(F.col("l1").alias("a"), (F.col("l1") + 1).alias("b"))
+    plan = L._verified(pairs, docs.withColumn("m", F.size(L._shingles("line"))), 0.8)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") == 1
+
+
+def test_least_common_part(spark):
+    """The bound is the one of both / (a + b - both) >= threshold, for all sizes, at the threshold too."""
+    from pyspark.sql import functions as F
+
+    sizes = spark.range(1, 120).toDF("a").crossJoin(spark.range(1, 120).toDF("b"))
+    rows = sizes.withColumn("both", F.explode(F.sequence(F.lit(0), F.least("a", "b"))))
+    for threshold in (0.5, 0.7, 0.8, 0.9, 1.0):
+        plain = F.col("both") >= threshold * (F.col("a") + F.col("b") - F.col("both"))
+        assert not rows.where(plain != L._similar("a", "b", F.col("both"), threshold)).limit(1).count()
